@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BLOCK_TAGS, HIDDEN_TAGS
-from .text import squeeze
+from .text import let, squeeze
 
 # Rest of a tag: quoted attribute values may hold '>'.
 _TAG_REST = r"""(?:[\s/][^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)?>"""
@@ -48,8 +48,11 @@ def _code_point(number: Column) -> Column:
 
 def _replace_each(text: Column, pattern: str, value_of) -> Column:
     """Replace every distinct match of ``pattern`` by ``value_of(match)``."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.aggregate(found, text, lambda acc, m: F.replace(acc, m, F.coalesce(value_of(m), m)))
+    def fold(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+        return F.aggregate(found, t, lambda acc, m: F.replace(acc, m, F.coalesce(value_of(m), m)))
+
+    return let(text, fold)
 
 
 def unescape_entities(text: Column) -> Column:
@@ -65,13 +68,17 @@ def unescape_entities(text: Column) -> Column:
         digits = F.regexp_extract(m, r"&#[xX]([0-9a-fA-F]+)", 1)
         return _code_point(F.conv(digits, 16, 10).try_cast("bigint"))
 
-    out = _replace_each(text, r"&#(?!0*38(?![0-9]))[0-9]+;?", decimal)
-    out = _replace_each(out, r"&#[xX](?!0*26(?![0-9a-fA-F]))[0-9a-fA-F]+;?", hexadecimal)
-    out = _replace_each(out, r"&[A-Za-z][A-Za-z0-9]*;", lambda m: F.try_element_at(closed, m))
     legacy_pattern = "(?:" + "|".join(open_names) + ")"
-    out = _replace_each(out, legacy_pattern, lambda m: F.try_element_at(legacy, m))
-    out = F.regexp_replace(out, _AMPERSAND, "&")
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        out = _replace_each(t, r"&#(?!0*38(?![0-9]))[0-9]+;?", decimal)
+        out = _replace_each(out, r"&#[xX](?!0*26(?![0-9a-fA-F]))[0-9a-fA-F]+;?", hexadecimal)
+        out = _replace_each(out, r"&[A-Za-z][A-Za-z0-9]*;", lambda m: F.try_element_at(closed, m))
+        out = _replace_each(out, legacy_pattern, lambda m: F.try_element_at(legacy, m))
+        out = F.regexp_replace(out, _AMPERSAND, "&")
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(text, decode)
 
 
 def html_to_text(raw: Column, unescape_first: bool = True) -> Column:

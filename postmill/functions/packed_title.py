@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import REMOTE_WORD, SALARY_FROM_WORD, SALARY_TO_WORD, TITLE_SEPARATOR_WORD, WS
-from .text import strip
+from .text import let, strip
 
 
 def _amount(digits: Column) -> Column:
@@ -46,26 +46,43 @@ def parse_packed_title(raw: Column) -> Column:
     word itself. Tail segments that are neither salary nor the remote word are
     kept as location.
     """
-    pieces = F.split(raw, rf"{WS}+{TITLE_SEPARATOR_WORD}{WS}+")
-    packed = F.size(pieces) >= 2
-    head = strip(F.array_join(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        f" {TITLE_SEPARATOR_WORD} "))
-    tail = F.filter(
-        F.transform(F.split(F.element_at(pieces, -1), ","), strip), lambda s: s != "")
-    rest = F.slice(tail, F.lit(2), F.size(tail))
-    salaries = F.filter(F.transform(rest, parse_salary_text), lambda s: s.isNotNull())
-    salary = F.try_element_at(salaries, F.lit(-1))
-    places = F.filter(rest, lambda s: (s != REMOTE_WORD) & parse_salary_text(s).isNull())
     none = F.lit(None).cast("double")
-    return F.struct(
-        F.when(packed, head).otherwise(strip(raw)).alias("title"),
-        F.when(packed, F.coalesce(F.try_element_at(tail, F.lit(1)), F.lit("")))
-        .otherwise(F.lit("")).alias("company"),
-        F.when(packed, F.array_join(places, ", ")).otherwise(F.lit("")).alias("location"),
-        F.when(packed, F.exists(rest, lambda s: s == REMOTE_WORD))
-        .otherwise(F.lit(False)).alias("remote"),
-        F.when(packed, salary["low"]).otherwise(none).alias("salary_min"),
-        F.when(packed, salary["high"]).otherwise(none).alias("salary_max"),
-        F.when(packed & salary.isNotNull(), F.lit("USD")).otherwise(F.lit("")).alias("salary_currency"),
-    )
+
+    def fields(p: Column) -> Column:
+        packed = F.size(p["tail"]) > 0
+        first = F.try_element_at(p["tail"], F.lit(1))
+        rest = F.slice(p["tail"], F.lit(2), F.size(p["tail"]))
+        marked = F.transform(rest, lambda s: F.struct(
+            s.alias("text"), parse_salary_text(s).alias("salary"), (s == REMOTE_WORD).alias("remote")))
+        return let(marked, lambda segments: F.struct(
+            p["title"].alias("title"),
+            F.when(packed, first).otherwise(F.lit("")).alias("company"),
+            F.array_join(F.transform(
+                F.filter(segments, lambda s: ~s["remote"] & s["salary"].isNull()),
+                lambda s: s["text"]), ", ").alias("location"),
+            F.exists(segments, lambda s: s["remote"]).alias("remote"),
+            *_salary_fields(segments, none),
+        ))
+
+    def divide(pieces: Column) -> Column:
+        head = F.array_join(
+            F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
+            f" {TITLE_SEPARATOR_WORD} ")
+        tail = F.filter(F.transform(F.split(F.element_at(pieces, -1), ","), strip), lambda s: s != "")
+        return F.struct(
+            strip(head).alias("title"),
+            F.when(F.size(pieces) >= 2, tail).otherwise(F.array().cast("array<string>")).alias("tail"))
+
+    pieces = F.split(raw, rf"{WS}+{TITLE_SEPARATOR_WORD}{WS}+")
+    return let(let(pieces, divide), fields)
+
+
+def _salary_fields(segments: Column, none: Column) -> list[Column]:
+    """The last salary segment decides."""
+    paid = F.filter(segments, lambda s: s["salary"].isNotNull())
+    salary = F.try_element_at(paid, F.lit(-1))["salary"]
+    return [
+        F.coalesce(salary["low"], none).alias("salary_min"),
+        F.coalesce(salary["high"], none).alias("salary_max"),
+        F.when(salary.isNotNull(), F.lit("USD")).otherwise(F.lit("")).alias("salary_currency"),
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,15 @@ from ..constants import (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Nested string expressions would otherwise be copied into every use, and the
+    copies multiply with each level.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def quote(literal: str) -> str:
     """Escape ``literal`` for a regex; valid in Java and RE2."""
     return "".join("\\" + ch if ch.isascii() and not (ch.isalnum() or ch in " \n\t") else ch
@@ -72,9 +81,11 @@ def any_keyword(text: Column, keywords: Sequence[str], when_empty: bool) -> Colu
     return found
 
 
-def primary_seniority(title: Column, levels: Sequence[str] = SENIORITY_LEVELS) -> Column:
-    """The level whose first plain occurrence comes earliest, among whole-word matches."""
-    lowered = F.lower(title)
+def primary_seniority(lowered: Column, levels: Sequence[str] = SENIORITY_LEVELS) -> Column:
+    """The level whose first plain occurrence comes earliest, among whole-word matches.
+
+    ``lowered`` is the lower-cased title.
+    """
     found = F.array_compact(F.array(*[
         F.when(word_mentioned(lowered, level),
                F.struct(F.locate(level, lowered).alias("pos"), F.lit(level).alias("level")))
@@ -107,11 +118,12 @@ def marker_prefix_length(description: Column, markers: Sequence[str] = REQUIREME
 
 def reorder_description(description: Column, prefix_length: Column | None = None) -> Column:
     """Move the text from the earliest heading to the front; nothing is lost."""
-    cut = marker_prefix_length(description) if prefix_length is None else prefix_length
-    moved = F.concat(
-        F.substr(description, cut + 1), F.lit(" "), F.substr(description, F.lit(1), cut)
-    )
-    return F.when(cut > 0, moved).otherwise(description)
+    def move(cut: Column) -> Column:
+        moved = F.concat(
+            F.substr(description, cut + 1), F.lit(" "), F.substr(description, F.lit(1), cut))
+        return F.when(cut > 0, moved).otherwise(description)
+
+    return let(marker_prefix_length(description), move) if prefix_length is None else move(prefix_length)
 
 
 def embedding_text(title: Column, description: Column, prefix_length: Column | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     FENCE_PATTERN, PROMPT_DESCRIPTION_LIMIT, SCORING_PROMPT, WRITING_CONTEXT,
 )
-from .text import truncate
+from .text import let, truncate
 
 
 def parse_verdict(returncode: Column, timed_out: Column, stdout: Column) -> Column:
@@ -18,40 +18,53 @@ def parse_verdict(returncode: Column, timed_out: Column, stdout: Column) -> Colu
     api_error, parse_error, success. A score that is not an integer is a
     parse_error; a missing one is 0.
     """
-    envelope = F.try_parse_json(stdout)
-    answer = F.try_variant_get(envelope, "$.result", "string")
-    body = F.when(
-        answer.rlike(FENCE_PATTERN), F.regexp_extract(answer, FENCE_PATTERN, 1)
-    ).otherwise(answer)
-    verdict = F.try_parse_json(body)
-    failed = F.coalesce(F.try_variant_get(envelope, "$.is_error", "boolean"), F.lit(False))
-    is_object = F.schema_of_variant(verdict).startswith("OBJECT")
-    given = F.to_json(F.try_variant_get(verdict, "$.score", "variant"))
-    has_score = F.contains(F.schema_of_variant(verdict), F.lit("score:"))
-    digits = F.regexp_extract(given, r'\A"?\s*([+-]?\d+)\s*"?\z', 1)
-    number = F.when(given.rlike(r"\A-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z"), given.try_cast("double"))
-    score = (
-        F.when(~has_score, F.lit(0))
-        .when(digits != "", digits.try_cast("int"))
-        .when(given.isin("true", "false"), (given == "true").cast("int"))
-        .otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("int"))
-    )
-    outcome = (
-        F.when(timed_out, F.lit("timeout"))
-        .when(returncode != 0, F.lit("nonzero_exit"))
-        .when(envelope.isNull(), F.lit("bad_stdout"))
-        .when(failed, F.lit("api_error"))
-        .when(verdict.isNull() | ~is_object | score.isNull(), F.lit("parse_error"))
-        .otherwise(F.lit("success"))
-    )
+    def from_envelope(envelope: Column) -> Column:
+        answer = F.try_variant_get(envelope, "$.result", "string")
+        body = let(answer, lambda a: F.when(
+            a.rlike(FENCE_PATTERN), F.regexp_extract(a, FENCE_PATTERN, 1)).otherwise(a))
+        failed = F.coalesce(F.try_variant_get(envelope, "$.is_error", "boolean"), F.lit(False))
+        early = (
+            F.when(timed_out, F.lit("timeout"))
+            .when(returncode != 0, F.lit("nonzero_exit"))
+            .when(envelope.isNull(), F.lit("bad_stdout"))
+            .when(failed, F.lit("api_error"))
+        )
+        return let(F.try_parse_json(body), lambda verdict: let(
+            _score(verdict), lambda score: let(
+                F.coalesce(early, F.when(score.isNull(), F.lit("parse_error")), F.lit("success")),
+                lambda outcome: _fields(outcome, score, verdict))))
+
+    return let(F.try_parse_json(stdout), from_envelope)
+
+
+def _score(verdict: Column) -> Column:
+    """Whole-number score, 0 when absent, NULL when unusable."""
+    def read(given: Column) -> Column:
+        digits = F.regexp_extract(given, r'\A"?\s*([+-]?\d+)\s*"?\z', 1)
+        number = F.when(
+            given.rlike(r"\A-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z"), given.try_cast("double"))
+        return (
+            F.when(given.isNull(), F.lit(0))
+            .when(digits != "", digits.try_cast("int"))
+            .when(given.isin("true", "false"), (given == "true").cast("int"))
+            .otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("int"))
+        )
+
+    fields = F.try_variant_get(verdict, "$", "map<string,variant>")
+    return let(fields, lambda f: F.when(
+        f.isNotNull(), read(F.to_json(F.try_element_at(f, F.lit("score"))))))
+
+
+def _fields(outcome: Column, score: Column, verdict: Column) -> Column:
     good = outcome == "success"
+    no_concerns = F.array().cast("array<string>")
     return F.struct(
         outcome.alias("outcome"),
         F.when(good, score).alias("score"),
         F.when(good, F.coalesce(F.try_variant_get(verdict, "$.reasoning", "string"), F.lit("")))
         .alias("reasoning"),
-        F.when(good, F.coalesce(F.try_variant_get(verdict, "$.concerns", "array<string>"),
-                                F.array().cast("array<string>"))).alias("concerns"),
+        F.when(good, F.coalesce(
+            F.try_variant_get(verdict, "$.concerns", "array<string>"), no_concerns)).alias("concerns"),
     )
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     FEEDBACK_DELTA, FEEDBACK_MARGIN, FEEDBACK_MIN_SAMPLES, FEEDBACK_TOTAL_LIMIT, NEGATIVE_STATUSES,
+    SENIORITY_LEVELS,
 )
 from ..functions.text import (
-    clean_words, haystack, mentioned_words, norm_company, primary_seniority,
+    clean_words, haystack, mentioned_words, norm_company, primary_seniority, word_mentioned,
 )
 from ..session import fits_broadcast
 
@@ -71,12 +72,16 @@ def category_feedback(tracked: DataFrame, categories: Column, keep_silent: bool
     return counted if keep_silent else counted.filter(F.col("delta").isNotNull())
 
 
-def _search_text(separator: str) -> Column:
-    return haystack(F.col("title"), F.col("description"), F.col("tags"), separator)
+def searchable(posting: DataFrame, separator: str = ",") -> DataFrame:
+    """Add the lower-cased search text ``hay`` and ``lower_title``, each computed once."""
+    return posting.withColumn(
+        "hay", haystack(F.col("title"), F.col("description"), F.col("tags"), separator)
+    ).withColumn("lower_title", F.lower("title"))
 
 
-def skill_categories(skills: Sequence[str], separator: str = ",") -> Column:
-    return mentioned_words(_search_text(separator), clean_words(skills))
+def skill_categories(skills: Sequence[str]) -> Column:
+    """Skills found in ``hay``."""
+    return mentioned_words(F.col("hay"), clean_words(skills))
 
 
 def remote_categories() -> Column:
@@ -84,12 +89,13 @@ def remote_categories() -> Column:
     return F.when(F.col("remote"), F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>"))
 
 
-def seniority_categories() -> Column:
-    return F.array_compact(F.array(primary_seniority(F.col("title"))))
+def seniority_categories(levels: Sequence[str] = SENIORITY_LEVELS) -> Column:
+    return F.array_compact(F.array(primary_seniority(F.col("lower_title"), levels)))
 
 
 def skill_feedback(posting: DataFrame, application: DataFrame, skills: Sequence[str]) -> DataFrame:
-    tracked = tracked_rows(posting, application, categories=skill_categories(skills))
+    tracked = tracked_rows(
+        searchable(posting), application, categories=skill_categories(skills))
     return category_feedback(tracked, F.col("categories"))
 
 
@@ -99,20 +105,24 @@ def remote_feedback(posting: DataFrame, application: DataFrame) -> DataFrame:
 
 
 def seniority_feedback(posting: DataFrame, application: DataFrame) -> DataFrame:
-    tracked = tracked_rows(posting, application, categories=seniority_categories())
+    tracked = tracked_rows(searchable(posting), application, categories=seniority_categories())
     return category_feedback(tracked, F.col("categories"))
 
 
-def all_feedback(posting: DataFrame, application: DataFrame, skills: Sequence[str]) -> DataFrame:
+def _tag(dimension: str, categories: Column) -> Column:
+    return F.transform(categories, lambda c: F.struct(
+        F.lit(dimension).alias("dimension"), c.alias("category")))
+
+
+def all_feedback(
+    posting: DataFrame, application: DataFrame, skills: Sequence[str],
+    levels: Sequence[str] = SENIORITY_LEVELS,
+) -> DataFrame:
     """The three signals from one pass: ``(dimension, category, total, negatives, delta)``."""
-    def tag(dimension: str, categories: Column) -> Column:
-        return F.transform(categories, lambda c: F.struct(
-            F.lit(dimension).alias("dimension"), c.alias("category")))
-
-    tracked = tracked_rows(posting, application, categories=F.concat(
-        tag("skill", skill_categories(skills)),
-        tag("remote", remote_categories()),
-        tag("seniority", seniority_categories()),
+    tracked = tracked_rows(searchable(posting), application, categories=F.concat(
+        _tag("skill", skill_categories(skills)),
+        _tag("remote", remote_categories()),
+        _tag("seniority", seniority_categories(levels)),
     ))
     return category_feedback(tracked, F.col("categories")).select("category.*", "total", "negatives", "delta")
 
@@ -143,35 +153,29 @@ def score_adjustment(parts: Column) -> Column:
         F.lit(-FEEDBACK_TOTAL_LIMIT), F.least(F.lit(FEEDBACK_TOTAL_LIMIT), parts)).cast("int")
 
 
-def posting_categories(skills: Sequence[str]) -> Column:
-    """Every ``(dimension, category)`` of a posting at scoring time, each once."""
-    distinct = list(dict.fromkeys(clean_words(skills)))
-
-    def tag(dimension: str, categories: Column) -> Column:
-        return F.transform(categories, lambda c: F.struct(
-            F.lit(dimension).alias("dimension"), c.alias("category")))
-
-    return F.concat(
-        tag("skill", mentioned_words(_search_text(" "), distinct)),
-        tag("remote", remote_categories()),
-        tag("seniority", seniority_categories()),
-    )
-
-
-def with_adjustment(df: DataFrame, feedback: DataFrame, skills: Sequence[str]) -> DataFrame:
+def with_adjustment(
+    df: DataFrame, feedback: DataFrame, skills: Sequence[str],
+    levels: Sequence[str] = SENIORITY_LEVELS,
+) -> DataFrame:
     """Add ``adjustment`` per row.
 
     ``feedback`` has at most one row per given skill, one for remote and one per
     level, so it travels as one small map instead of a join.
     """
-    entries = F.collect_list(F.struct(F.concat_ws("\t", "dimension", "category"), "delta"))
+    entries = F.collect_list(F.struct(F.concat_ws("\t", "dimension", "category"), F.col("delta")))
     deltas = feedback.agg(F.map_from_entries(entries).alias("m")).scalar()
-    total = F.aggregate(
-        posting_categories(skills), F.lit(0),
-        lambda acc, c: acc + F.coalesce(
-            F.try_element_at(deltas, F.concat_ws("\t", c["dimension"], c["category"])), F.lit(0)),
-    )
-    return df.withColumn("adjustment", score_adjustment(total))
+
+    def delta(dimension: str, category: Column) -> Column:
+        return F.coalesce(
+            F.try_element_at(deltas, F.concat(F.lit(f"{dimension}\t"), category)), F.lit(0))
+
+    total = F.when(F.col("remote"), delta("remote", F.lit("remote"))).otherwise(F.lit(0))
+    total = total + delta("seniority", primary_seniority(F.col("lower_title"), levels))
+    for skill in dict.fromkeys(clean_words(skills)):
+        total = total + F.when(
+            word_mentioned(F.col("hay"), skill), delta("skill", F.lit(skill))).otherwise(F.lit(0))
+    return searchable(df, " ").withColumn("adjustment", score_adjustment(total)).drop(
+        "hay", "lower_title")
 
 
 def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:
@@ -185,8 +189,8 @@ def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "
 
 def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str = ",") -> DataFrame:
     """``(id, word)`` for every word of a short list found in a posting; no join at all."""
-    return posting.select(
-        "id", F.explode(skill_categories(words, separator)).alias("word"))
+    return searchable(posting, separator).select(
+        "id", F.explode(skill_categories(words)).alias("word"))
 
 
 def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str = ",") -> DataFrame:
@@ -204,7 +208,6 @@ def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str
         .filter(F.col("word").rlike(rf"\A{run}\z"))
         .distinct()
     )
-    found = F.array_distinct(
-        F.regexp_extract_all(_search_text(separator), F.lit(run), F.lit(0)))
-    return posting.select("id", F.explode(found).alias("word")).join(vocabulary, "word").select(
+    found = F.array_distinct(F.regexp_extract_all("hay", F.lit(run), F.lit(0)))
+    return searchable(posting, separator).select("id", F.explode(found).alias("word")).join(vocabulary, "word").select(
         "id", "word")

@@ -26,13 +26,17 @@ def cosine_score(cos: Column) -> Column:
     return (F.lit(1.0) + cos) / 2
 
 
+def _vector(values: Sequence[float]) -> Column:
+    return F.lit([float(v) for v in values])
+
+
 def _check_k(k: int) -> None:
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
 
 
 def knn_topk(
-    index: DataFrame, query: Column, k: int, sources: Sequence[str] | None = None,
+    index: DataFrame, query: Sequence[float], k: int, sources: Sequence[str] | None = None,
 ) -> DataFrame:
     """The ``k`` index rows nearest to one query vector, with ``raw`` score.
 
@@ -42,7 +46,7 @@ def knn_topk(
     _check_k(k)
     return (
         filter_sources(index, sources)
-        .withColumn("raw", cosine_score(cosine(F.col("embedding"), query)))
+        .withColumn("raw", cosine_score(cosine(F.col("embedding"), _vector(query))))
         .drop("embedding")
         .orderBy(F.col("raw").desc(), F.col("vacancy_id"))
         .limit(k)
@@ -63,7 +67,7 @@ def knn_topk_many(
     scored = filter_sources(index, sources).withColumn("hit", F.explode(F.array(*[
         F.struct(
             F.lit(int(pid)).cast("bigint").alias("profile_id"),
-            cosine_score(cosine(F.col("embedding"), F.lit([float(x) for x in vec]))).alias("raw"))
+            cosine_score(cosine(F.col("embedding"), _vector(vec))).alias("raw"))
         for pid, vec in queries
     ]))).select("*", "hit.*").drop("hit", "embedding")
     best = Window.partitionBy("profile_id").orderBy(F.col("raw").desc(), F.col("vacancy_id"))

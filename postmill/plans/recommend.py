@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FRESH_DAYS, MAX_SHORTLIST
+from ..constants import FRESH_DAYS, MAX_SHORTLIST, SENIORITY_LEVELS
 from ..functions.text import norm_company
 from ..functions.values import days_before, display_score
 from ..functions.verdict import parse_verdict
@@ -60,8 +60,8 @@ def resort_stable(df: DataFrame) -> DataFrame:
 
 
 def recommend(
-    posting: DataFrame, application: DataFrame, index: DataFrame, query: Column,
-    skills: Sequence[str], request: Request,
+    posting: DataFrame, application: DataFrame, index: DataFrame, query: Sequence[float],
+    skills: Sequence[str], request: Request, levels: Sequence[str] = SENIORITY_LEVELS,
 ) -> DataFrame:
     """kNN, then joins, four filters, feedback, clamp, re-sort and the score floor.
 
@@ -87,8 +87,8 @@ def recommend(
         .filter(not_hidden(F.col("application_status")))
         .join(excluded.select("company_key"), "company_key", "left_anti")
     )
-    feedback = all_feedback(posting, application, skills)
-    scored = with_adjustment(candidates, feedback, skills).withColumn(
+    feedback = all_feedback(posting, application, skills, levels)
+    scored = with_adjustment(candidates, feedback, skills, levels).withColumn(
         "score", display_score(F.col("raw"), F.col("adjustment")))
     return resort_stable(
         scored.filter(F.col("score") >= request.min_score).select(

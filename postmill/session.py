@@ -26,6 +26,7 @@ def local_session(app: str = "postmill", cpus: int | str = 8, partitions: int =
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("POSTMILL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -59,7 +60,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for ``df`` (file sizes for plain scans)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:
