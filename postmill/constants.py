@@ -114,10 +114,8 @@ WRITING_CONTEXT = (
 DURATION_BOUNDS = (1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0, 90.0)
 QUANTILE = 0.95
 
-# --- Fixed values: character classes usable in Java regex and RE2 alike -------
+# --- Fixed values: character classes (Java regex) -------------------------------
 # Everything Python's str.strip()/split() calls white space.
-WS = (
-    r"[\t-\r\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+WS = r"(?U:[\s\x{001C}-\x{001F}])"
+# What str.isalnum() says no to.
 NOT_ALNUM = r"[^\p{L}\p{N}]"

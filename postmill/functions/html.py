@@ -21,7 +21,8 @@ from .text import let, squeeze
 
 # Rest of a tag: quoted attribute values may hold '>'.
 _TAG_REST = r"""(?:[\s/][^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)?>"""
-_AMPERSAND = r"&(?:amp;?|AMP;?|#0*38;?|#[xX]0*26;?)"
+_AMPERSAND = r"&(?:amp;?|AMP;?|#0*38(?![0-9]);?|#[xX]0*26(?![0-9a-fA-F]);?)"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 
 def _named_entities(closed: bool) -> dict[str, str]:
@@ -34,9 +35,9 @@ def _named_entities(closed: bool) -> dict[str, str]:
 
 
 def _lookup(table: dict[str, str]) -> Column:
-    return F.map_from_arrays(
-        F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(v) for v in table.values()])
-    )
+    """A constant map. One string literal builds it, so the plan stays small."""
+    pairs = "\u0002".join(f"{name}\u0001{value}" for name, value in table.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0001"))
 
 
 def _code_point(number: Column) -> Column:
@@ -46,37 +47,38 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(hexed), "UTF-32")
 
 
-def _replace_each(text: Column, pattern: str, value_of) -> Column:
-    """Replace every distinct match of ``pattern`` by ``value_of(match)``."""
-    def fold(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-        return F.aggregate(found, t, lambda acc, m: F.replace(acc, m, F.coalesce(value_of(m), m)))
-
-    return let(text, fold)
-
-
 def unescape_entities(text: Column) -> Column:
-    """Decode HTML entities. The ampersand comes last so nothing is decoded twice."""
+    """Decode HTML entities.
+
+    One scan collects the distinct references of a text; they are replaced longest
+    first, so ``&lt`` never cuts into ``&lt;``. The ampersand itself comes last, so
+    nothing is decoded twice.
+    """
     closed = _lookup(_named_entities(closed=True))
-    open_names = sorted(_named_entities(closed=False), key=len, reverse=True)
     legacy = _lookup(_named_entities(closed=False))
-
-    def decimal(m: Column) -> Column:
-        return _code_point(F.regexp_extract(m, r"([0-9]+)", 1).try_cast("bigint"))
-
-    def hexadecimal(m: Column) -> Column:
-        digits = F.regexp_extract(m, r"&#[xX]([0-9a-fA-F]+)", 1)
-        return _code_point(F.conv(digits, 16, 10).try_cast("bigint"))
-
-    legacy_pattern = "(?:" + "|".join(open_names) + ")"
+    names = sorted(_named_entities(closed=False), key=len, reverse=True)
+    legacy_prefix = r"\A&(?:" + "|".join(name[1:] for name in names) + ")"
+
+    def value_of(token: Column) -> Column:
+        number = F.when(
+            token.rlike("^&#[xX]"),
+            F.conv(F.regexp_extract(token, "([0-9a-fA-F]+);?$", 1), 16, 10).try_cast("bigint"),
+        ).otherwise(F.regexp_extract(token, "([0-9]+)", 1).try_cast("bigint"))
+        prefix = F.regexp_extract(token, legacy_prefix, 0)
+        by_prefix = F.concat(F.try_element_at(legacy, prefix), F.substr(token, F.length(prefix) + 1))
+        return (
+            F.when(token.rlike(rf"\A{_AMPERSAND}"), token)
+            .when(token.startswith("&#"), _code_point(number))
+            .otherwise(F.coalesce(F.try_element_at(closed, token), by_prefix, token))
+        )
 
     def decode(t: Column) -> Column:
-        out = _replace_each(t, r"&#(?!0*38(?![0-9]))[0-9]+;?", decimal)
-        out = _replace_each(out, r"&#[xX](?!0*26(?![0-9a-fA-F]))[0-9a-fA-F]+;?", hexadecimal)
-        out = _replace_each(out, r"&[A-Za-z][A-Za-z0-9]*;", lambda m: F.try_element_at(closed, m))
-        out = _replace_each(out, legacy_pattern, lambda m: F.try_element_at(legacy, m))
-        out = F.regexp_replace(out, _AMPERSAND, "&")
-        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)))
+        longest_first = F.transform(
+            F.sort_array(F.transform(found, lambda m: F.struct(-F.length(m), m.alias("m")))),
+            lambda p: p["m"])
+        out = F.aggregate(longest_first, t, lambda acc, m: F.replace(acc, m, value_of(m)))
+        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(out, _AMPERSAND, "&")).otherwise(t)
 
     return let(text, decode)
 
@@ -88,17 +90,16 @@ def html_to_text(raw: Column, unescape_first: bool = True) -> Column:
     and comments vanish, entities are decoded and white space is collapsed. Set
     ``unescape_first`` for payloads whose tags are themselves entity-escaped.
     """
+    def hidden(tag: str) -> str:
+        return rf"<{tag}{_TAG_REST}.*?(?:</{tag}\s*>|\z)"
+
     text = unescape_entities(raw) if unescape_first else raw
-    # One pass per hidden element: RE2 and Java agree without back references.
-    for tag in HIDDEN_TAGS[:2]:
-        text = F.regexp_replace(text, rf"(?is)<{tag}{_TAG_REST}.*?(?:</{tag}\s*>|\z)", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    for tag in HIDDEN_TAGS[2:]:
-        text = F.regexp_replace(text, rf"(?is)<{tag}{_TAG_REST}.*?(?:</{tag}\s*>|\z)", "")
+    # Raw-text elements and comments first: what they hold is no markup. Every
+    # alternative names its own end tag.
+    text = F.regexp_replace(text, rf"(?is){hidden('script')}|{hidden('style')}|<!--.*?-->", "")
+    text = F.regexp_replace(text, rf"(?is){hidden('template')}|{hidden('head')}", "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)}){_TAG_REST}", " ")
-    text = F.regexp_replace(
-        text, r"""</?[a-zA-Z][^\s/>]*(?:[\s/][^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)?>""", "")
-    text = F.regexp_replace(text, r"<[!?][^>]*>", "")
+    text = F.regexp_replace(text, rf"</?[a-zA-Z][^\s/>]*{_TAG_REST}|<[!?][^>]*>", "")
     return squeeze(unescape_entities(text))
 
 

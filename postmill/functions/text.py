@@ -1,4 +1,4 @@
-"""String helpers. Patterns stay inside what Java regex and RE2 both understand."""
+"""String helpers."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def quote(literal: str) -> str:
-    """Escape ``literal`` for a regex; valid in Java and RE2."""
+    """Escape ``literal`` for a regex."""
     return "".join("\\" + ch if ch.isascii() and not (ch.isalnum() or ch in " \n\t") else ch
                    for ch in literal)
 
