@@ -63,11 +63,16 @@ def category_feedback(tracked: DataFrame, categories: Column, keep_silent: bool
     category holding most rows costs no more than any other.
     """
     baseline = tracked.agg(F.avg(F.col("negative").cast("double")).alias("b")).scalar()
+    # explode_outer, not explode: the latter makes Spark infer a filter on the array,
+    # push it below the join and search every text a second time.
     counted = (
-        tracked.select("negative", F.explode(categories).alias("category"))
+        tracked.select("negative", F.explode_outer(categories).alias("category"))
+        .filter(F.col("category").isNotNull())
         .groupBy("category")
         .agg(F.count(F.lit(1)).alias("total"), F.count_if("negative").alias("negatives"))
-        .withColumn("delta", _signal(F.col("total"), F.col("negatives"), baseline))
+        .withColumn("_baseline", baseline)
+        .withColumn("delta", _signal(F.col("total"), F.col("negatives"), F.col("_baseline")))
+        .drop("_baseline")
     )
     return counted if keep_silent else counted.filter(F.col("delta").isNotNull())
 
@@ -166,16 +171,19 @@ def with_adjustment(
     deltas = feedback.agg(F.map_from_entries(entries).alias("m")).scalar()
 
     def delta(dimension: str, category: Column) -> Column:
-        return F.coalesce(
-            F.try_element_at(deltas, F.concat(F.lit(f"{dimension}\t"), category)), F.lit(0))
+        key = F.concat(F.lit(f"{dimension}\t"), category)
+        return F.coalesce(F.try_element_at(F.col("_deltas"), key), F.lit(0))
 
     total = F.when(F.col("remote"), delta("remote", F.lit("remote"))).otherwise(F.lit(0))
     total = total + delta("seniority", primary_seniority(F.col("lower_title"), levels))
     for skill in dict.fromkeys(clean_words(skills)):
         total = total + F.when(
             word_mentioned(F.col("hay"), skill), delta("skill", F.lit(skill))).otherwise(F.lit(0))
-    return searchable(df, " ").withColumn("adjustment", score_adjustment(total)).drop(
-        "hay", "lower_title")
+    return (
+        searchable(df, " ").withColumn("_deltas", deltas)
+        .withColumn("adjustment", score_adjustment(total))
+        .drop("hay", "lower_title", "_deltas")
+    )
 
 
 def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:
@@ -190,7 +198,8 @@ def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "
 def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str = ",") -> DataFrame:
     """``(id, word)`` for every word of a short list found in a posting; no join at all."""
     return searchable(posting, separator).select(
-        "id", F.explode(skill_categories(words)).alias("word"))
+        "id", F.explode_outer(skill_categories(words)).alias("word")
+    ).filter(F.col("word").isNotNull())
 
 
 def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str = ",") -> DataFrame:
@@ -209,5 +218,9 @@ def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str
         .distinct()
     )
     found = F.array_distinct(F.regexp_extract_all("hay", F.lit(run), F.lit(0)))
-    return searchable(posting, separator).select("id", F.explode(found).alias("word")).join(vocabulary, "word").select(
-        "id", "word")
+    return (
+        searchable(posting, separator)
+        .select("id", F.explode_outer(found).alias("word"))
+        .join(vocabulary, "word")
+        .select("id", "word")
+    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def cosine(a: Column, b: Column) -> Column:
             F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
             F.lit(0.0), lambda acc, v: acc + v)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def cosine_score(cos: Column) -> Column:
@@ -26,13 +28,56 @@ def cosine_score(cos: Column) -> Column:
     return (F.lit(1.0) + cos) / 2
 
 
-def _vector(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values])
-
-
-def _check_k(k: int) -> None:
+def _best_rows(raw: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best rows: score descending, then id. NaN never qualifies."""
+    rows = np.flatnonzero(~np.isnan(raw))
+    if len(rows) > k:
+        kth = np.partition(raw[rows], len(rows) - k)[len(rows) - k]
+        rows = rows[raw[rows] >= kth]
+    return rows[np.lexsort((ids[rows], -raw[rows]))][:k]
+
+
+def _scan_batches(
+    profile_ids: Sequence[int], queries: np.ndarray, k: int, keep: Sequence[str],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Score Arrow batches by matrix product and keep ``k`` rows per query and batch."""
+    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = flat.astype(np.float64).reshape(batch.num_rows, unit.shape[1])
+            ids = batch.column("vacancy_id").to_numpy(zero_copy_only=False)
+            with np.errstate(invalid="ignore"):
+                scores = (1 + vectors @ unit.T / np.linalg.norm(vectors, axis=1)[:, None]) / 2
+            for column, profile_id in enumerate(profile_ids):
+                rows = pa.array(_best_rows(scores[:, column], ids, k), pa.int64())
+                chosen = [batch.column(name).take(rows) for name in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*chosen, pa.array(np.full(len(rows), profile_id), pa.int64()),
+                     pa.array(scores[:, column]).take(rows)],
+                    [*keep, "profile_id", "raw"])
+
+    return scan
+
+
+def _candidates(
+    index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int,
+    sources: Sequence[str] | None,
+) -> DataFrame:
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
+    keep = [c for c in index.columns if c != "embedding"]
+    matrix = np.array([vector for _, vector in queries], dtype=np.float64)
+    types = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in keep)
+    return (
+        filter_sources(index, sources)
+        .filter(F.size("embedding") == matrix.shape[1])
+        .select(*keep, "embedding")
+        .mapInArrow(
+            _scan_batches([int(pid) for pid, _ in queries], matrix, k, keep),
+            f"{types}, profile_id bigint, raw double")
+    )
 
 
 def knn_topk(
@@ -40,14 +85,14 @@ def knn_topk(
 ) -> DataFrame:
     """The ``k`` index rows nearest to one query vector, with ``raw`` score.
 
-    Exact: one narrow scan, no shuffle, a heap of ``k`` rows per task. The source
-    filter applies inside the search; everything else comes after the cut.
+    Exact: one scan, no shuffle. Each Arrow batch is scored by one matrix product and
+    reduced to its ``k`` best rows, then each task to ``k``, then all tasks to ``k``.
+    The source filter applies inside the search; everything else comes after the
+    cut. A zero vector has no direction and is never a hit.
     """
-    _check_k(k)
     return (
-        filter_sources(index, sources)
-        .withColumn("raw", cosine_score(cosine(F.col("embedding"), _vector(query))))
-        .drop("embedding")
+        _candidates(index, [(0, query)], k, sources)
+        .drop("profile_id")
         .orderBy(F.col("raw").desc(), F.col("vacancy_id"))
         .limit(k)
     )
@@ -57,18 +102,14 @@ def knn_topk_many(
     index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int,
     sources: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Top ``k`` for a small set of ``(profile_id, vector)`` queries in one scan.
+    """Top ``k`` for a set of ``(profile_id, vector)`` queries in one scan.
 
-    The queries ride along as constants, so there is no join. Spark cuts each
-    task's rows to ``k`` per profile before the shuffle (partial rank limit), so
-    what moves is ``k`` rows per profile and task, whatever the size of the index.
+    The queries ride along as one matrix, so there is no join, and only ``k`` rows per
+    profile and batch ever leave the scan, whatever the size of the index.
     """
-    _check_k(k)
-    scored = filter_sources(index, sources).withColumn("hit", F.explode(F.array(*[
-        F.struct(
-            F.lit(int(pid)).cast("bigint").alias("profile_id"),
-            cosine_score(cosine(F.col("embedding"), _vector(vec))).alias("raw"))
-        for pid, vec in queries
-    ]))).select("*", "hit.*").drop("hit", "embedding")
     best = Window.partitionBy("profile_id").orderBy(F.col("raw").desc(), F.col("vacancy_id"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return (
+        _candidates(index, queries, k, sources)
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+    )

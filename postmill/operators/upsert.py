@@ -117,7 +117,7 @@ def upsert_postings(
 
 def snapshot(upserted: DataFrame) -> DataFrame:
     """The table columns of an upsert result."""
-    return upserted.select(*[f.name for f in POSTING.fields])
+    return upserted.select(*POSTING)
 
 
 def upsert_counts(upserted: DataFrame) -> DataFrame:

@@ -1,77 +1,89 @@
-"""Explicit schemas; nothing is inferred."""
+"""Explicit schemas; nothing is inferred.
+
+Tables are ``{column: type}``; ``ddl`` turns one into the text Spark's readers take.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
 
-#: Columns an upsert overwrites.
-CONTENT = (
-    "title", "company", "location", "remote", "url", "description", "tags", "posted_at",
-    "salary_min", "salary_max", "salary_currency", "salary_period", "salary_is_predicted",
-)
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
-_CONTENT_DDL = (
-    "title string, company string, location string, remote boolean, url string, "
-    "description string, tags array<string>, posted_at timestamp, salary_min double, "
-    "salary_max double, salary_currency string, salary_period string, "
-    "salary_is_predicted boolean"
-)
+
+_CONTENT = {
+    "title": "string", "company": "string", "location": "string", "remote": "boolean",
+    "url": "string", "description": "string", "tags": "array<string>", "posted_at": "timestamp",
+    "salary_min": "double", "salary_max": "double", "salary_currency": "string",
+    "salary_period": "string", "salary_is_predicted": "boolean",
+}
+#: Columns an upsert overwrites.
+CONTENT = tuple(_CONTENT)
+#: One posting as fetched.
+BATCH = {"source": "string", "external_id": "string", **_CONTENT}
+#: One stored posting.
+POSTING = {
+    "id": "bigint", **BATCH, "first_seen_at": "timestamp", "last_seen_at": "timestamp",
+    "status": "string", "missed_run_count": "int", "embedding_queued_at": "timestamp",
+}
+APPLICATION = {
+    "id": "bigint", "vacancy_id": "bigint", "status": "string", "notes": "string",
+    "follow_up_at": "date", "created_at": "timestamp", "updated_at": "timestamp",
+}
+APPLICATION_EVENT = {
+    "id": "bigint", "application_id": "bigint", "status": "string", "note": "string",
+    "created_at": "timestamp",
+}
+ARTIFACT = {
+    "id": "bigint", "vacancy_id": "bigint", "artifact_type": "string", "content": "string",
+    "vacancy_title": "string", "vacancy_company": "string", "vacancy_url": "string",
+    "created_at": "timestamp",
+}
+INGESTION_RUN = {
+    "id": "bigint", "source": "string", "keywords": "string", "location": "string",
+    "started_at": "timestamp", "finished_at": "timestamp", "fetched_count": "int",
+    "new_count": "int", "updated_count": "int", "error": "string",
+}
 
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+def _profile(date: str) -> dict[str, str]:
+    span = f"start_date:{date},end_date:{date}"
+    return {
+        "full_name": "string", "location": "string", "email": "string", "phone": "string",
+        "linkedin_url": "string", "github_url": "string", "summary": "string",
+        "languages": "string",
+        "skills": "array<struct<name:string,category:string>>",
+        "experiences": "array<struct<title:string,company:string,location:string,"
+                       f"{span},highlights:string>>",
+        "educations": f"array<struct<institution:string,degree:string,field:string,{span}>>",
+    }
 
 
-#: One posting as fetched.
-BATCH = _ddl(f"source string, external_id string, {_CONTENT_DDL}")
-#: One stored posting.
-POSTING = _ddl(
-    f"id bigint, source string, external_id string, {_CONTENT_DDL}, first_seen_at timestamp, "
-    "last_seen_at timestamp, status string, missed_run_count int, embedding_queued_at timestamp")
-APPLICATION = _ddl(
-    "id bigint, vacancy_id bigint, status string, notes string, follow_up_at date, "
-    "created_at timestamp, updated_at timestamp")
-APPLICATION_EVENT = _ddl(
-    "id bigint, application_id bigint, status string, note string, created_at timestamp")
-ARTIFACT = _ddl(
-    "id bigint, vacancy_id bigint, artifact_type string, content string, vacancy_title string, "
-    "vacancy_company string, vacancy_url string, created_at timestamp")
-INGESTION_RUN = _ddl(
-    "id bigint, source string, keywords string, location string, started_at timestamp, "
-    "finished_at timestamp, fetched_count int, new_count int, updated_count int, error string")
-SKILLS_DDL = "array<struct<name:string,category:string>>"
-EXPERIENCES_DDL = (
-    "array<struct<title:string,company:string,location:string,start_date:{d},end_date:{d},"
-    "highlights:string>>")
-EDUCATIONS_DDL = (
-    "array<struct<institution:string,degree:string,field:string,start_date:{d},end_date:{d}>>")
-_PROFILE_HEAD = (
-    "full_name string, location string, email string, phone string, linkedin_url string, "
-    "github_url string, summary string, languages string, ")
 #: The profile file: dates are still ISO text.
-PROFILE_FILE = _ddl(
-    _PROFILE_HEAD + f"skills {SKILLS_DDL}, experiences {EXPERIENCES_DDL.format(d='string')}, "
-    f"educations {EDUCATIONS_DDL.format(d='string')}")
-PROFILE = _ddl(
-    "id bigint, " + _PROFILE_HEAD
-    + f"skills {SKILLS_DDL}, experiences {EXPERIENCES_DDL.format(d='date')}, "
-    f"educations {EDUCATIONS_DDL.format(d='date')}")
-EMBEDDING_INDEX = _ddl(
-    "vacancy_id bigint, source string, title string, company string, url string, "
-    "embedding array<float>")
-CHANGE = _ddl("vacancy_id bigint, published_at timestamp")
+PROFILE_FILE = _profile("string")
+PROFILE = {"id": "bigint", **_profile("date")}
+EMBEDDING_INDEX = {
+    "vacancy_id": "bigint", "source": "string", "title": "string", "company": "string",
+    "url": "string", "embedding": "array<float>",
+}
+CHANGE = {"vacancy_id": "bigint", "published_at": "timestamp"}
 
 #: Landed payloads.
-JSON_PAGE = _ddl(
-    "results array<struct<id:string,title:string,company:struct<display_name:string>,"
-    "location:struct<display_name:string>,redirect_url:string,description:string,"
-    "category:struct<label:string>,created:string,salary_min:double,salary_max:double,"
-    "salary_is_predicted:string>>")
-JSON_TAGGED_PAGE = _ddl(
-    "data array<struct<slug:string,company_name:string,title:string,description:string,"
-    "remote:boolean,url:string,tags:array<string>,job_types:array<string>,location:string,"
-    "created_at:bigint>>, links struct<next:string>")
-RSS_ITEM = _ddl("title string, link string, description string, pubDate string, guid string")
-SITEMAP_ENTRY = _ddl("loc string")
-RAW_PAGE = _ddl("url string, html string, status int, was_redirected boolean")
-RESPONSE = _ddl("vacancy_id bigint, returncode int, timed_out boolean, stdout string")
+JSON_PAGE = {
+    "results": "array<struct<id:string,title:string,company:struct<display_name:string>,"
+               "location:struct<display_name:string>,redirect_url:string,description:string,"
+               "category:struct<label:string>,created:string,salary_min:double,"
+               "salary_max:double,salary_is_predicted:string>>",
+}
+JSON_TAGGED_PAGE = {
+    "data": "array<struct<slug:string,company_name:string,title:string,description:string,"
+            "remote:boolean,url:string,tags:array<string>,job_types:array<string>,"
+            "location:string,created_at:bigint>>",
+    "links": "struct<next:string>",
+}
+RSS_ITEM = {
+    "title": "string", "link": "string", "description": "string", "pubDate": "string",
+    "guid": "string",
+}
+SITEMAP_ENTRY = {"loc": "string"}
+RAW_PAGE = {"url": "string", "html": "string", "status": "int", "was_redirected": "boolean"}
+RESPONSE = {"vacancy_id": "bigint", "returncode": "int", "timed_out": "boolean", "stdout": "string"}

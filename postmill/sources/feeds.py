@@ -18,19 +18,19 @@ from ..functions.packed_title import parse_packed_title
 from ..functions.text import any_keyword
 from ..functions.urls import id_in_url, without_query
 from ..functions.values import clean_text, country_currency, rfc2822_to_epoch
-from ..schemas import JSON_PAGE, JSON_TAGGED_PAGE, RSS_ITEM, SITEMAP_ENTRY
+from ..schemas import JSON_PAGE, JSON_TAGGED_PAGE, RSS_ITEM, SITEMAP_ENTRY, ddl
 
 _XML = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 
 
-def from_payload(payloads: DataFrame, schema, column: str = "payload") -> DataFrame:
+def from_payload(payloads: DataFrame, schema: dict[str, str], column: str = "payload") -> DataFrame:
     """Parse a text column of JSON documents into ``schema`` columns; the rest is kept."""
     rest = [c for c in payloads.columns if c != column]
-    return payloads.select(*rest, F.from_json(column, schema).alias("_doc")).select(*rest, "_doc.*")
+    return payloads.select(*rest, F.from_json(column, ddl(schema)).alias("_doc")).select(*rest, "_doc.*")
 
 
 def read_json_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JSON_PAGE).option("multiLine", True).json(path)
+    return spark.read.schema(ddl(JSON_PAGE)).option("multiLine", True).json(path)
 
 
 def scan_json_jobs(pages: DataFrame, country: Column) -> DataFrame:
@@ -54,7 +54,7 @@ def scan_json_jobs(pages: DataFrame, country: Column) -> DataFrame:
 
 
 def read_tagged_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JSON_TAGGED_PAGE).option("multiLine", True).json(path)
+    return spark.read.schema(ddl(JSON_TAGGED_PAGE)).option("multiLine", True).json(path)
 
 
 def scan_json_jobs_tagged(pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -82,13 +82,13 @@ def scan_json_jobs_tagged(pages: DataFrame, keywords: Sequence[str]) -> DataFram
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("xml").options(rowTag="item", **_XML).schema(RSS_ITEM).load(path)
+    return spark.read.format("xml").options(rowTag="item", **_XML).schema(ddl(RSS_ITEM)).load(path)
 
 
 def rss_items(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """A text column holding one ``<item>`` each."""
     rest = [c for c in payloads.columns if c != column]
-    parsed = F.from_xml(F.col(column), RSS_ITEM.simpleString(), {**_XML, "rowTag": "item"})
+    parsed = F.from_xml(F.col(column), ddl(RSS_ITEM), {**_XML, "rowTag": "item"})
     return payloads.select(*rest, parsed.alias("_item")).select(*rest, "_item.*")
 
 
@@ -113,7 +113,7 @@ def scan_rss_items(items: DataFrame) -> DataFrame:
 def read_sitemap(spark: SparkSession, path: str, row_tag: str = "url") -> DataFrame:
     """``loc`` entries of landed sitemap files; ``row_tag`` is 'sitemap' for the index."""
     return (
-        spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE").schema(SITEMAP_ENTRY)
+        spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE").schema(ddl(SITEMAP_ENTRY))
         .load(path).filter("loc is not null")
     )
 

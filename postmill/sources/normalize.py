@@ -26,7 +26,7 @@ def to_batch(jobs: DataFrame, source: str, **columns: Column) -> DataFrame:
     }
     have = {c: F.col(c) for c in jobs.columns}
     chosen = {**defaults, **have, **columns, "source": F.lit(source)}
-    return jobs.select(*[chosen[f.name].cast(f.dataType).alias(f.name) for f in BATCH.fields])
+    return jobs.select(*[chosen[name].cast(kind).alias(name) for name, kind in BATCH.items()])
 
 
 def normalize_adzuna(jobs: DataFrame) -> DataFrame:

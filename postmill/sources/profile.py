@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import clean_text, iso_date
 from ..operators.ordered import nest_in_parts
-from ..schemas import EDUCATIONS_DDL, EXPERIENCES_DDL, PROFILE, PROFILE_FILE, SKILLS_DDL
+from ..schemas import PROFILE, PROFILE_FILE, ddl
 
 _TEXTS = (
     "location", "email", "phone", "linkedin_url", "github_url", "summary", "languages",
@@ -15,7 +15,7 @@ _TEXTS = (
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE_FILE).option("multiLine", True).json(path)
+    return spark.read.schema(ddl(PROFILE_FILE)).option("multiLine", True).json(path)
 
 
 def _dated(entries: str, fields: tuple[str, ...], default: str) -> Column:
@@ -42,12 +42,12 @@ def scan_profile(documents: DataFrame, profile_id: Column) -> tuple[DataFrame, D
         F.col("id").cast("bigint"),
         "full_name",
         *[clean_text(F.col(c)).alias(c) for c in _TEXTS],
-        F.coalesce("skills", F.array().cast(SKILLS_DDL)).alias("skills"),
+        F.coalesce("skills", F.array().cast(PROFILE["skills"])).alias("skills"),
         _dated("experiences",
                ("title", "company", "location", "start_date", "end_date", "highlights"),
-               EXPERIENCES_DDL.format(d="date")).alias("experiences"),
+               PROFILE["experiences"]).alias("experiences"),
         _dated("educations", ("institution", "degree", "field", "start_date", "end_date"),
-               EDUCATIONS_DDL.format(d="date")).alias("educations"),
+               PROFILE["educations"]).alias("educations"),
     )
     return good, marked.filter("_broken").drop("_broken")
 
@@ -58,7 +58,7 @@ def replace_profile(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     One write of the result is one atomic step, since children live in the row.
     """
     kept = stored.join(fresh.select("id"), "id", "left_anti")
-    return kept.unionByName(fresh.select(*[f.name for f in PROFILE.fields]))
+    return kept.unionByName(fresh.select(*PROFILE))
 
 
 def first_profile(profiles: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def nest_children(
 
 def append_resume_version(profiles: DataFrame, label: str, as_of: Column) -> DataFrame:
     """A labelled snapshot row per profile, the whole profile as JSON text."""
-    fields = [f.name for f in PROFILE.fields]
+    fields = list(PROFILE)
     return profiles.select(
         F.col("id").alias("profile_id"), F.lit(label).alias("label"),
         F.to_json(F.struct(*fields)).alias("content"), as_of.alias("created_at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import POSTING
+from ..schemas import POSTING, ddl
 
 
 def scan_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -16,7 +16,7 @@ def scan_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 def scan_posting(spark: SparkSession, path: str) -> DataFrame:
     """Stored postings; columns added later get their default for old files."""
-    rows = spark.read.schema(POSTING).parquet(path)
+    rows = spark.read.schema(ddl(POSTING)).parquet(path)
     return rows.withColumn("status", F.coalesce("status", F.lit("active"))).withColumn(
         "missed_run_count", F.coalesce("missed_run_count", F.lit(0)))
 

@@ -18,7 +18,7 @@ from ..operators.upsert import snapshot, upsert_counts, upsert_postings
 
 
 def scan_change_stream(
-    spark: SparkSession, directory: str, schema: StructType, glob: str | None = None,
+    spark: SparkSession, directory: str, schema: StructType | str, glob: str | None = None,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Change rows landed as Parquet files."""
