@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("ranking", "text")
+_MODULES = ("ranking", "text", "lifecycle", "tracking", "sources", "metrics")
 
 
 def load():

@@ -178,7 +178,8 @@ def _knn_many(spark, d):
 
 def _hits(spark, d, k=50):
     return pin_hits(
-        knn_topk(index(spark, d), profile_vector(spark, d), k).select("vacancy_id", "raw"))
+        knn_topk(index(spark, d).select("vacancy_id", "source", "embedding"),
+                 profile_vector(spark, d), k).select("vacancy_id", "raw"))
 
 
 @query("join_hits_posting", f"""{KNN}, {hits_sql(50)}

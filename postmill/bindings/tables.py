@@ -123,7 +123,11 @@ RUN_SOURCE = "1-URGENT"
 
 
 def order_versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(
+    return versions_of(table(spark, d, "orders"))
+
+
+def versions_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("ordinal"),
         F.col("o_orderpriority").alias("source"),
         F.col("o_custkey").cast("string").alias("external_id"),

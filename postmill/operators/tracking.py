@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import APPLICATION_STATUSES, ARTIFACT_TYPES, ERROR_TEXT_LIMIT
 from ..functions.text import truncate
 from .filters import run_state, validate_enum
-from .ordered import nest_in_parts, with_previous
+from .ordered import CHUNK_ROWS, nest_in_parts, with_previous
 
 
 def status_order(status: Column) -> Column:
@@ -21,10 +21,12 @@ def current_status(log: DataFrame, key: str = "application_id", order: str = "id
     return log.groupBy(key).agg(F.max_by("status", order).alias("status"))
 
 
-def status_transitions(log: DataFrame, key: str = "application_id", order: str = "id") -> DataFrame:
+def status_transitions(
+    log: DataFrame, key: str = "application_id", order: str = "id", width: int = CHUNK_ROWS,
+) -> DataFrame:
     """Rows whose status differs from the preceding one of the same key."""
     return (
-        with_previous(log, [key], order, F.col("status"), "previous_status")
+        with_previous(log, [key], order, F.col("status"), "previous_status", width)
         .filter(~F.col("status").eqNullSafe(F.col("previous_status")))
     )
 
@@ -116,11 +118,11 @@ def pipeline_counts(application: DataFrame, posting: DataFrame) -> DataFrame:
 def run_log(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     """Run view from append-only start and finish rows; the last finish row counts.
 
-    A run without a finish row is still open.
+    ``finishes`` carries ``seq``, the order its rows were appended in. A run without
+    a finish row is still open.
     """
     last = finishes.groupBy("run_id").agg(F.max_by(F.struct(
-        "finished_at", "fetched_count", "new_count", "updated_count", "error"),
-        F.struct("finished_at", "error")).alias("f"))
+        "finished_at", "fetched_count", "new_count", "updated_count", "error"), "seq").alias("f"))
     return (
         starts.join(last, "run_id", "left")
         .select(

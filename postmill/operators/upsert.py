@@ -133,18 +133,19 @@ def upsert_counts(upserted: DataFrame) -> DataFrame:
 def anti_join_missing(stored: DataFrame, source: str, seen: DataFrame) -> DataFrame:
     """Stored rows of ``source`` whose external id is not in ``seen`` (empty: all rows)."""
     return stored.filter(F.col("source") == source).join(
-        seen.select("external_id").distinct(), "external_id", "left_anti")
+        seen.select(F.lit(source).alias("source"), "external_id"), KEY, "left_anti")
 
 
 def mark_missing(stored: DataFrame, source: str, seen: DataFrame) -> DataFrame:
     """Bump the streak of every unseen row of ``source`` and recompute its status."""
-    marks = seen.select("external_id").distinct().withColumn("_seen", F.lit(True))
+    marks = seen.select(F.lit(source).alias("source"), "external_id").distinct().withColumn(
+        "_seen", F.lit(True))
     gone = (F.col("source") == source) & F.col("_seen").isNull()
     bumped = F.coalesce("missed_run_count", F.lit(0)) + 1
     old_status = F.coalesce("status", F.lit("active"))
     new_status = F.when(gone, posting_status(F.col("source"), bumped)).otherwise(old_status)
     return (
-        stored.join(marks, "external_id", "left")
+        stored.join(marks, KEY, "left")
         .withColumn("newly_removed", gone & (new_status == "removed") & (old_status != "removed"))
         .withColumn("_status", new_status)
         .withColumn("missed_run_count", F.when(gone, bumped)
@@ -171,8 +172,10 @@ def missed_run_streak(runs: DataFrame, sightings: DataFrame) -> DataFrame:
     """Successful runs of a posting's own source since it was last seen.
 
     ``runs(source, run)`` holds successful runs only, with an integer run number;
-    ``sightings(source, external_id, run)`` the postings each of them returned.
+    ``sightings(source, external_id, run)`` the postings any run returned. What a
+    failed run saw does not count, nor does the run itself.
     """
+    sightings = sightings.join(runs.select("source", "run"), ["source", "run"], "left_semi")
     numbered = number_rows(runs.select("source", "run").distinct(), ["source"], "run", "run_no")
     latest = numbered.groupBy("source").agg(F.max("run_no").alias("latest_no"))
     last_seen = sightings.groupBy(*KEY).agg(F.max("run").alias("run"))

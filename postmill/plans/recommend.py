@@ -39,17 +39,19 @@ def pin_hits(hits: DataFrame) -> DataFrame:
     return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
 
 
+def hit_ids(hits: DataFrame) -> list[int]:
+    return [row.vacancy_id for row in hits.select("vacancy_id").collect()]
+
+
 def join_hits_posting(hits: DataFrame, posting: DataFrame) -> DataFrame:
-    """Hits with their posting row; a hit without one is dropped."""
-    wanted = [r.vacancy_id for r in hits.select("vacancy_id").collect()]
-    rows = posting.filter(F.col("id").isin(wanted))
+    """Pinned hits with their posting row; a hit without one is dropped."""
+    rows = posting.filter(F.col("id").isin(hit_ids(hits)))
     return rows.join(F.broadcast(hits.select("vacancy_id", "raw")), F.col("id") == F.col("vacancy_id"))
 
 
 def join_hits_application(hits: DataFrame, application: DataFrame) -> DataFrame:
-    """Add ``application_status`` (NULL for untracked hits)."""
-    wanted = [r.vacancy_id for r in hits.select("vacancy_id").collect()]
-    state = application.filter(F.col("vacancy_id").isin(wanted)).select(
+    """Add ``application_status`` to pinned hits (NULL for untracked ones)."""
+    state = application.filter(F.col("vacancy_id").isin(hit_ids(hits))).select(
         "vacancy_id", F.col("status").alias("application_status"))
     return hits.join(state, "vacancy_id", "left")
 
@@ -68,8 +70,9 @@ def recommend(
     ``top_k`` cuts before the filters, so fewer rows may return. The feedback reads
     the whole decision history in one aggregated pass.
     """
-    hits = pin_hits(knn_topk(index, query, request.top_k, request.sources).select("vacancy_id", "raw"))
-    wanted = [r.vacancy_id for r in hits.collect()]
+    vectors = index.select("vacancy_id", "source", "embedding")
+    hits = pin_hits(knn_topk(vectors, query, request.top_k, request.sources).drop("source"))
+    wanted = hit_ids(hits)
     found = posting.filter(F.col("id").isin(wanted)).withColumn(
         "company_key", norm_company(F.col("company")))
     if request.freshness == "status":
