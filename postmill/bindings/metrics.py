@@ -10,9 +10,10 @@ from ..session import shared_dir
 from ..streaming import jobs
 from .lifecycle import upsert_sql
 from .registry import query
-from .tables import RUN_AT, RUN_SOURCE, RUN_START, ntz, order_store, posting, table, versions_of
+from .tables import (
+    RUN_AT, RUN_SOURCE, RUN_START, ntz, order_store, posting, row_count, table, versions_of,
+)
 
-N = F.count(F.lit(1)).alias("n")
 BOUNDS = [*DURATION_BOUNDS]
 
 
@@ -123,7 +124,7 @@ def _plain(rows):
 
 @query("scan_change_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _scan_change_stream(spark, d):
-    counted = stream_of(spark, d, "events").groupBy("event_type").agg(N)
+    counted = stream_of(spark, d, "events").groupBy("event_type").agg(row_count())
     return _complete(spark, counted, "change-counts")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_company, word_mentioned
+from ..functions.text import haystack, norm_company, primary_seniority, word_mentioned
 from ..functions.values import days_before
 from ..functions.verdict import parse_verdict
 from ..operators import feedback as fb
 from ..operators import filters as fl
+from ..operators.metrics import outcome_counts
+from ..operators.tracking import join_posting_application
 from ..operators.knn import knn_topk, knn_topk_many
 from ..plans.recommend import (
     Request, join_hits_application, join_hits_posting, pin_hits, recommend, rerank_with_scores,
@@ -330,7 +332,6 @@ def _verdict_outcomes(spark, d):
 @query("outcome_counts", f"""SELECT 'score_vacancy' AS operation, {OUTCOME_SQL} AS outcome, count(*) AS n
 FROM documents GROUP BY ALL""")
 def _outcome_counts(spark, d):
-    from ..operators.metrics import outcome_counts
     v = parse_verdict(F.col("returncode"), F.col("timed_out"), F.col("stdout"))
     return outcome_counts(
         responses(spark, d).select(F.lit("score_vacancy").alias("operation"),
@@ -400,7 +401,6 @@ def _filter_applications(spark, d):
 SELECT p.id, p.company, a.status AS application_status
 FROM posting p JOIN application a ON a.vacancy_id = p.id""")
 def _join_posting_application(spark, d):
-    from ..operators.tracking import join_posting_application
     return join_posting_application(posting(spark, d), application(spark, d)).select(
         "id", "company", "application_status")
 
@@ -435,7 +435,6 @@ SELECT location, count(*) FILTER (WHERE {mentioned_sql(hay_sql(), "'la'")}) AS w
        count(*) FILTER (WHERE contains({hay_sql()}, 'la')) AS substring
 FROM posting GROUP BY location""")
 def _word_mentioned(spark, d):
-    from ..functions.text import haystack
     rows = posting(spark, d).select(
         "location", haystack(F.col("title"), F.col("description"), F.col("tags"), ",").alias("hay"))
     return rows.groupBy("location").agg(
@@ -465,19 +464,25 @@ FROM p LEFT JOIN feedback f
 GROUP BY p.id""")
 def _score_adjustment(spark, d):
     p = posting(spark, d)
-    signals = fb.all_feedback(p, application(spark, d), SKILLS, LEVELS)
+    signals = fb.collect_signals(fb.all_feedback(p, application(spark, d), SKILLS, LEVELS))
     return fb.with_adjustment(p, signals, SKILLS, LEVELS).select("id", "adjustment")
 
 
 @query("seniority_mix", f"""{BASE}
 SELECT {primary_sql('lower(title)')} AS level, location, count(*) AS n FROM posting GROUP BY ALL""")
 def _seniority_mix(spark, d):
-    from ..functions.text import primary_seniority
     return posting(spark, d).groupBy(
         primary_seniority(F.lower("title"), LEVELS).alias("level"), "location"
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("primary_seniority", f"""{BASE}
+SELECT id, {primary_sql('lower(title)')} AS level FROM posting""")
+def _primary_seniority(spark, d):
+    return posting(spark, d).select(
+        "id", primary_seniority(F.lower("title"), LEVELS).alias("level"))
+
+
 @query("age_cutoff", f"""SELECT event_type, count(*) AS n FROM events
 WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 5 DAY GROUP BY 1""")
 def _age_cutoff(spark, d):

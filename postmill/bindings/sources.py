@@ -8,10 +8,11 @@ from ..operators.filters import filter_sources
 from ..schemas import JSON_PAGE, JSON_TAGGED_PAGE
 from ..sources import feeds, normalize, pages
 from .registry import query
-from .tables import table
+from .tables import (
+    row_count, table,
+)
 from .text import HIGH_SQL, HOST_SQL, LOW_SQL, html_sql, packed_parts
 
-N = F.count(F.lit(1)).alias("n")
 
 
 def _json(struct):
@@ -330,7 +331,7 @@ def _normalize_source(spark, d):
 
 @query("union_sources", f"WITH {ALL_SQL} SELECT source, count(*) AS n FROM everything GROUP BY source")
 def _union_sources(spark, d):
-    return normalize.union_sources(batches(spark, d)).groupBy("source").agg(N)
+    return normalize.union_sources(batches(spark, d)).groupBy("source").agg(row_count())
 
 
 @query("fetch_all", f"""WITH {ALL_SQL}
@@ -354,4 +355,4 @@ FROM everything WHERE source IN ('dou', 'djinni') GROUP BY ALL""")
 def _feed_parse(spark, d):
     rows = filter_sources(normalize.union_sources(batches(spark, d)), ["dou", "djinni"])
     return rows.groupBy("source", "salary_period").agg(
-        N, F.count("salary_min").alias("with_salary"), F.count_if("remote").alias("remote_jobs"))
+        row_count(), F.count("salary_min").alias("with_salary"), F.count_if("remote").alias("remote_jobs"))

@@ -216,3 +216,7 @@ STATUS_LOG_SQL = """status_log AS (
               WHEN 'error' THEN 'dismissed' END AS status,
          props AS note, ts AS created_at, value
   FROM events)"""
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1)).alias("n")

@@ -20,9 +20,10 @@ from ..schemas import PROFILE_FILE
 from ..sources.feeds import from_payload
 from ..sources.profile import first_profile, scan_profile
 from .registry import query
-from .tables import POSTING_SQL, posting, profile_vector, table
+from .tables import (
+    POSTING_SQL, posting, profile_vector, row_count, table,
+)
 
-N = F.count(F.lit(1)).alias("n")
 
 # --- HTML ------------------------------------------------------------------------
 
@@ -180,7 +181,7 @@ def _embedding_budget(spark, d):
         "location", "cut", words("description").alias("words"),
         words(F.substr("description", F.lit(1), F.col("cut"))).alias("before"))
     return rows.groupBy("location").agg(
-        N, F.count_if(F.col("cut") > 0).alias("moved"),
+        row_count(), F.count_if(F.col("cut") > 0).alias("moved"),
         F.count_if(F.col("words") > 512).alias("over_budget"),
         F.count_if((F.col("cut") > 0) & (F.col("before") >= 512)).alias("rescued"))
 
@@ -365,7 +366,7 @@ def _pairs(spark, d):
         F.col("p.id").alias("id"), F.struct("p.*").alias("posting"), F.struct("f.*").alias("profile"))
 
 
-@query("prompt_text_scoring", f"""WITH {POSTING_SQL}, {PROFILE_SQL}
+@query("prompt_text", f"""WITH {POSTING_SQL}, {PROFILE_SQL}
 SELECT p.id, md5({_prompt_sql(
     SCORING_PROMPT, 'f.summary', 'f.skills', JOBS_SQL, 'p.title', 'p.company', 'p.location',
     "CASE WHEN p.remote THEN 'True' ELSE 'False' END", DESCRIPTION_SQL)}) AS prompt_md5
@@ -421,7 +422,7 @@ def _iso_date(spark, d):
   FROM orders) GROUP BY label""")
 def _month_label(spark, d):
     day = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
-    return table(spark, d, "orders").groupBy(V.month_label(day).alias("label")).agg(N)
+    return table(spark, d, "orders").groupBy(V.month_label(day).alias("label")).agg(row_count())
 
 
 # --- money and scores --------------------------------------------------------------
@@ -471,7 +472,7 @@ FROM salaries GROUP BY period""")
 def _salary_normalised(spark, d):
     m = V.monthly_salary(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))
     return salaries(spark, d).select("salary_period", m.alias("m")).groupBy("salary_period").agg(
-        N, F.count("m").alias("known"), F.min("m.low").alias("lowest"),
+        row_count(), F.count("m").alias("known"), F.min("m.low").alias("lowest"),
         F.max("m.high").alias("highest"))
 
 
@@ -497,7 +498,7 @@ def _posting_card(spark, d):
 SELECT CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'mid' ELSE 'low' END AS band, count(*) AS n
 FROM salaries GROUP BY 1""")
 def _score_band(spark, d):
-    return salaries(spark, d).groupBy(V.score_band(F.col("score")).alias("band")).agg(N)
+    return salaries(spark, d).groupBy(V.score_band(F.col("score")).alias("band")).agg(row_count())
 
 
 @query("display_score", """SELECT o_orderkey, greatest(0, least(100,
@@ -532,7 +533,7 @@ GROUP BY ALL""")
 def _map_lookup(spark, d):
     code = F.element_at(F.array(*[F.lit(c) for c in CODES]), F.col("c_nationkey") + 1)
     return table(spark, d, "customer").select(code.alias("code")).groupBy(
-        "code", V.country_currency(F.col("code")).alias("currency")).agg(N)
+        "code", V.country_currency(F.col("code")).alias("currency")).agg(row_count())
 
 
 @query("json_path_or_default", """SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k, '' AS missing FROM events""")
@@ -553,4 +554,4 @@ def _tags_join(spark, d):
 def _tags_split(spark, d):
     stored = V.tags_join(F.array("lang", F.lit(""), "source"))
     return table(spark, d, "documents").select(
-        F.explode(V.tags_split(stored)).alias("tag")).groupBy("tag").agg(N)
+        F.explode(V.tags_split(stored)).alias("tag")).groupBy("tag").agg(row_count())

@@ -11,11 +11,11 @@ from ..operators.ordered import carry_forward
 from ..sources.profile import append_resume_version, nest_children, replace_profile
 from .registry import query
 from .tables import (
-    APPLICATION_SQL, POSTING_SQL, RUN_AT, STATUS_LOG_SQL, application, ntz, posting, status_log, table,
+    APPLICATION_SQL, POSTING_SQL, RUN_AT, STATUS_LOG_SQL, application, ntz, posting, row_count,
+    status_log, table,
 )
 from .text import PROFILE_SQL, profiles
 
-N = F.count(F.lit(1)).alias("n")
 
 
 @query("current_status", f"""WITH {STATUS_LOG_SQL}
@@ -92,7 +92,7 @@ WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY 1""")
 def _validate_enum(spark, d):
     """The quarantine side: event types outside an allowed list."""
     _, bad = fl.validate_enum(table(spark, d, "events"), "event_type", ("view", "click", "purchase"))
-    return bad.groupBy("event_type").agg(N)
+    return bad.groupBy("event_type").agg(row_count())
 
 
 # --- artifacts ---------------------------------------------------------------------------
@@ -252,7 +252,7 @@ def _run_log(spark, d):
 def _run_log_start(spark, d):
     """Started rows without a finish are the open runs."""
     return tr.run_log(*run_rows(spark, d)).groupBy("source").agg(
-        F.count_if(F.col("state") == "running").alias("open_runs"), N)
+        F.count_if(F.col("state") == "running").alias("open_runs"), row_count())
 
 
 @query("run_log_finish", f"""WITH {RUNS_SQL}

@@ -158,32 +158,34 @@ def score_adjustment(parts: Column) -> Column:
         F.lit(-FEEDBACK_TOTAL_LIMIT), F.least(F.lit(FEEDBACK_TOTAL_LIMIT), parts)).cast("int")
 
 
+def collect_signals(feedback: DataFrame) -> dict[tuple[str, str], int]:
+    """``(dimension, category) -> delta``; at most one row per asked skill and level, plus remote."""
+    rows = feedback.select("dimension", "category", "delta").collect()
+    return {(row.dimension, row.category): row.delta for row in rows}
+
+
 def with_adjustment(
-    df: DataFrame, feedback: DataFrame, skills: Sequence[str],
+    df: DataFrame, signals: dict[tuple[str, str], int], skills: Sequence[str],
     levels: Sequence[str] = SENIORITY_LEVELS,
 ) -> DataFrame:
-    """Add ``adjustment`` per row.
+    """Add ``adjustment`` per row from the few signals that hold, as constants.
 
-    ``feedback`` has at most one row per given skill, one for remote and one per
-    level, so it travels as one small map instead of a join.
+    Only skills that carry a signal are searched for; each counts once.
     """
-    entries = F.collect_list(F.struct(F.concat_ws("\t", "dimension", "category"), F.col("delta")))
-    deltas = feedback.agg(F.map_from_entries(entries).alias("m")).scalar()
-
-    def delta(dimension: str, category: Column) -> Column:
-        key = F.concat(F.lit(f"{dimension}\t"), category)
-        return F.coalesce(F.try_element_at(F.col("_deltas"), key), F.lit(0))
-
-    total = F.when(F.col("remote"), delta("remote", F.lit("remote"))).otherwise(F.lit(0))
-    total = total + delta("seniority", primary_seniority(F.col("lower_title"), levels))
+    total = F.lit(0)
     for skill in dict.fromkeys(clean_words(skills)):
-        total = total + F.when(
-            word_mentioned(F.col("hay"), skill), delta("skill", F.lit(skill))).otherwise(F.lit(0))
-    return (
-        searchable(df, " ").withColumn("_deltas", deltas)
-        .withColumn("adjustment", score_adjustment(total))
-        .drop("hay", "lower_title", "_deltas")
-    )
+        delta = signals.get(("skill", skill))
+        if delta:
+            total = total + F.when(word_mentioned(F.col("hay"), skill), delta).otherwise(0)
+    if ("remote", "remote") in signals:
+        total = total + F.when(F.col("remote"), signals["remote", "remote"]).otherwise(0)
+    ranked = {name: delta for (kind, name), delta in signals.items() if kind == "seniority"}
+    if ranked:
+        level = primary_seniority(F.col("lower_title"), levels)
+        pairs = [F.lit(item) for pair in ranked.items() for item in pair]
+        total = total + F.coalesce(F.try_element_at(F.create_map(*pairs), level), F.lit(0))
+    return searchable(df, " ").withColumn("adjustment", score_adjustment(total)).drop(
+        "hay", "lower_title")
 
 
 def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:

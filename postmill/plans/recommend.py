@@ -12,7 +12,9 @@ from ..constants import FRESH_DAYS, MAX_SHORTLIST, SENIORITY_LEVELS
 from ..functions.text import norm_company
 from ..functions.values import days_before, display_score
 from ..functions.verdict import parse_verdict
-from ..operators.feedback import all_feedback, excluded_companies, with_adjustment
+from ..operators.feedback import (
+    all_feedback, collect_signals, excluded_companies, with_adjustment,
+)
 from ..operators.filters import not_hidden
 from ..operators.knn import knn_topk
 
@@ -68,7 +70,9 @@ def recommend(
     """kNN, then joins, four filters, feedback, clamp, re-sort and the score floor.
 
     ``top_k`` cuts before the filters, so fewer rows may return. The feedback reads
-    the whole decision history in one aggregated pass.
+    the whole decision history in one aggregated pass. Two small results come to
+    the driver while the plan is built: the hits (at most ``top_k``) and the signals
+    (at most one per skill and level).
     """
     vectors = index.select("vacancy_id", "source", "embedding")
     hits = pin_hits(knn_topk(vectors, query, request.top_k, request.sources).drop("source"))
@@ -90,8 +94,8 @@ def recommend(
         .filter(not_hidden(F.col("application_status")))
         .join(excluded.select("company_key"), "company_key", "left_anti")
     )
-    feedback = all_feedback(posting, application, skills, levels)
-    scored = with_adjustment(candidates, feedback, skills, levels).withColumn(
+    signals = collect_signals(all_feedback(posting, application, skills, levels))
+    scored = with_adjustment(candidates, signals, skills, levels).withColumn(
         "score", display_score(F.col("raw"), F.col("adjustment")))
     return resort_stable(
         scored.filter(F.col("score") >= request.min_score).select(
