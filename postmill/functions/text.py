@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column that later filters cannot copy.
+
+    Catalyst pushes a filter below the projection it refers to and evaluates an
+    expensive expression there a second time; it does not push below a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def quote(literal: str) -> str:
     """Escape ``literal`` for a regex."""
     return "".join("\\" + ch if ch.isascii() and not (ch.isalnum() or ch in " \n\t") else ch

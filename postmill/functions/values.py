@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     COUNTRY_CURRENCY, DAYS_PER_MONTH, HOURS_PER_DAY, SCORE_HIGH, SCORE_MID, UNIT_PERIOD,
 )
+from .text import let
 
 # Zone names mail dates may carry instead of an offset.
 _ZONES = {
@@ -42,26 +43,25 @@ def rfc2822_to_epoch(text: Column) -> Column:
     """Mail-style date to epoch seconds, NULL when it cannot be read."""
     shape = (
         r"\A\s*(?:[A-Za-z]+,\s*)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{2,4})\s+"
-        r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[A-Za-z]+))?"
+        r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[A-Za-z]+))?.*"
     )
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, shape, group)
-
-    year = part(3).try_cast("int")
-    full_year = (
-        F.when(F.length(part(3)) > 2, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    )
-    zone = F.when(part(7).rlike(r"\A[+-]"), part(7)).otherwise(
-        map_lookup(_ZONES, F.upper(part(7)), "+0000"))
-    assembled = F.concat(
-        F.lpad(part(1), 2, "0"), F.lit(" "), F.initcap(part(2)), F.lit(" "),
-        F.lpad(full_year.cast("string"), 4, "0"), F.lit(" "),
-        F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"),
-        F.when(part(6) == "", F.lit("00")).otherwise(part(6)), F.lit(" "), zone,
-    )
-    stamp = F.try_to_timestamp(assembled, F.lit("dd MMM yyyy HH:mm:ss Z"))
-    return F.when(text.rlike(shape), F.unix_seconds(stamp))
+    def read(p: Column) -> Column:
+        year = p[2].try_cast("int")
+        full_year = (
+            F.when(F.length(p[2]) > 2, year).when(year > 68, year + 1900).otherwise(year + 2000))
+        zone = F.when(p[6].rlike(r"\A[+-]"), p[6]).otherwise(
+            map_lookup(_ZONES, F.upper(p[6]), "+0000"))
+        assembled = F.concat_ws(
+            " ", F.lpad(p[0], 2, "0"), F.initcap(p[1]), F.lpad(full_year.cast("string"), 4, "0"),
+            F.concat_ws(":", F.lpad(p[3], 2, "0"), p[4], F.when(p[5] == "", "00").otherwise(p[5])),
+            zone)
+        stamp = F.try_to_timestamp(assembled, F.lit("dd MMM yyyy HH:mm:ss Z"))
+        return F.unix_seconds(stamp)
+
+    # One pass of the pattern; text that does not fit stays in one piece.
+    parts = F.split(F.regexp_replace(text, shape, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
+    return let(parts, lambda p: F.when(F.size(p) == 7, read(p)))
 
 
 def iso_date(text: Column) -> Column:

@@ -121,13 +121,14 @@ def run_log(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     ``finishes`` carries ``seq``, the order its rows were appended in. A run without
     a finish row is still open.
     """
-    last = finishes.groupBy("run_id").agg(F.max_by(F.struct(
+    short = finishes.withColumn("error", truncate(F.col("error"), ERROR_TEXT_LIMIT))
+    last = short.groupBy("run_id").agg(F.max_by(F.struct(
         "finished_at", "fetched_count", "new_count", "updated_count", "error"), "seq").alias("f"))
     return (
         starts.join(last, "run_id", "left")
         .select(
             *starts.columns, "f.finished_at", "f.fetched_count", "f.new_count", "f.updated_count",
-            truncate(F.col("f.error"), ERROR_TEXT_LIMIT).alias("error"))
+            "f.error")
         .withColumn("state", run_state(F.col("finished_at"), F.col("error")))
     )
 

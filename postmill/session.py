@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,10 @@ DEFAULTS = {
 }
 
 
-def local_session(app: str = "postmill", cpus: int | str = 8, partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench."""
+def local_session(
+    app: str = "postmill", cpus: int | str = 8, partitions: int = 8, **settings: str,
+) -> SparkSession:
+    """A local session for tests and the bench; ``settings`` use ``_`` for the dots."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -30,7 +33,8 @@ def local_session(app: str = "postmill", cpus: int | str = 8, partitions: int =
         .config("spark.driver.memory", os.environ.get("POSTMILL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in DEFAULTS.items():
+    extra = {f"spark.{key.replace('_', '.')}": value for key, value in settings.items()}
+    for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -41,15 +45,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Only a local session without that setting falls back to a temporary folder;
     on a cluster a machine-local folder would be invisible to other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     path = shared_dir(df.sparkSession, name)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import FEED_ID_PATTERN
 from ..functions.html import unescape_entities
 from ..functions.packed_title import parse_packed_title
-from ..functions.text import any_keyword
+from ..functions.text import any_keyword, once
 from ..functions.urls import id_in_url, without_query
 from ..functions.values import clean_text, country_currency, rfc2822_to_epoch
 from ..schemas import JSON_PAGE, JSON_TAGGED_PAGE, RSS_ITEM, SITEMAP_ENTRY, ddl
@@ -26,7 +26,8 @@ _XML = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 def from_payload(payloads: DataFrame, schema: dict[str, str], column: str = "payload") -> DataFrame:
     """Parse a text column of JSON documents into ``schema`` columns; the rest is kept."""
     rest = [c for c in payloads.columns if c != column]
-    return payloads.select(*rest, F.from_json(column, ddl(schema)).alias("_doc")).select(*rest, "_doc.*")
+    parsed = once(payloads, "_doc", F.from_json(column, ddl(schema)))
+    return parsed.select(*rest, "_doc.*")
 
 
 def read_json_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +37,8 @@ def read_json_pages(spark: SparkSession, path: str) -> DataFrame:
 def scan_json_jobs(pages: DataFrame, country: Column) -> DataFrame:
     """``results[]`` of search pages. Yearly salaries, currency implied by the country."""
     job = F.col("job")
-    return pages.select(F.explode("results").alias("job"), country.alias("_country")).select(
+    jobs = pages.select(F.explode_outer("results").alias("job"), country.alias("_country"))
+    return jobs.filter(job.isNotNull()).select(
         job["id"].alias("external_id"),
         clean_text(job["title"]).alias("title"),
         clean_text(job["company"]["display_name"]).alias("company"),
@@ -65,7 +67,8 @@ def scan_json_jobs_tagged(pages: DataFrame, keywords: Sequence[str]) -> DataFram
         " ", clean_text(job["title"]), clean_text(job["description"]),
         F.array_join(F.coalesce(job["tags"], no_tags), " ")))
     return (
-        pages.select(F.explode("data").alias("job"))
+        pages.select(F.explode_outer("data").alias("job"))
+        .filter(job.isNotNull())
         .filter(any_keyword(text, keywords, when_empty=False))
         .select(
             job["slug"].alias("external_id"),
@@ -89,18 +92,19 @@ def rss_items(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """A text column holding one ``<item>`` each."""
     rest = [c for c in payloads.columns if c != column]
     parsed = F.from_xml(F.col(column), ddl(RSS_ITEM), {**_XML, "rowTag": "item"})
-    return payloads.select(*rest, parsed.alias("_item")).select(*rest, "_item.*")
+    return once(payloads, "_item", parsed).select(*rest, "_item.*")
 
 
 def scan_rss_items(items: DataFrame) -> DataFrame:
     """Feed items to job rows; items without link, title or numeric id are dropped."""
-    url = without_query(F.col("link"))
-    return (
+    titled = (
         items.filter((F.coalesce("link", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
-        .withColumn("url", url)
+        .withColumn("url", without_query(F.col("link")))
         .withColumn("external_id", id_in_url(F.col("url"), FEED_ID_PATTERN))
         .filter(F.col("external_id").isNotNull())
-        .withColumn("_t", parse_packed_title(unescape_entities(F.col("title"))))
+    )
+    return (
+        once(titled, "_t", parse_packed_title(unescape_entities(F.col("title"))))
         .select(
             "external_id", "_t.title", "_t.company", "_t.location", "_t.remote", "url",
             clean_text(F.col("description")).alias("description"),
@@ -128,11 +132,11 @@ def scan_sitemap_urls(index: DataFrame, parts: DataFrame) -> DataFrame:
         schema = f"struct<{tag}:array<struct<loc:string>>>"
         return F.from_xml(F.col("payload"), schema, {"mode": "PERMISSIVE"})[tag]
 
-    named = index.select(F.explode(locations("sitemap")).alias("e")).select(
-        F.col("e.loc").alias("part_url")).distinct()
+    named = index.select(F.explode_outer(locations("sitemap")).alias("e")).select(
+        F.col("e.loc").alias("part_url")).filter("part_url is not null")
     return (
         parts.join(named, "part_url", "left_semi")
-        .select(F.explode(locations("url")).alias("e"))
+        .select(F.explode_outer(locations("url")).alias("e"))
         .select(F.col("e.loc").alias("url"))
         .filter("url is not null")
     )

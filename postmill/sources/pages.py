@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import (
     JSON_LD_PATTERN, LISTING_BASE_URL, LISTING_ID_PATTERN, LISTING_LINK_PATTERN,
 )
+from ..functions.text import let, once
 from ..functions.urls import id_in_url, last_segment
 from ..functions.values import clean_text, place, unit_period
 
@@ -22,13 +23,14 @@ def extract_listing_links(
     counts. Both steps are aggregates, so a crawl of any length is fine.
     """
     links = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    read = listing.select("crawl", "page", links.alias("links"), (
-        (F.col("status") != 200) | F.col("was_redirected") | (F.size(links) == 0)).alias("bad"))
+    read = once(listing, "links", links).select("crawl", "page", "links", (
+        (F.col("status") != 200) | F.col("was_redirected") | (F.size("links") == 0)).alias("bad"))
     first_bad = read.filter("bad").groupBy("crawl").agg(F.min("page").alias("stop"))
     return (
         read.join(first_bad, "crawl", "left")
         .filter(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
-        .select("crawl", "page", F.posexplode("links").alias("pos", "path"))
+        .select("crawl", "page", F.posexplode_outer("links").alias("pos", "path"))
+        .filter("path is not null")
         .groupBy("crawl", F.concat(F.lit(base_url), "path").alias("url"))
         .agg(F.min(F.struct("page", "pos")).alias("first"))
         .select("crawl", "url", "first.page", "first.pos")
@@ -41,20 +43,18 @@ def extract_jsonld(pages: DataFrame, fall_back_to_first: bool = False) -> DataFr
     One board uses the first block when none is a JobPosting
     (``fall_back_to_first``). A malformed block drops its page and no other.
     """
+    def choose(docs: Column) -> Column:
+        matching = F.filter(
+            docs, lambda d: F.try_variant_get(d, "$['@type']", "string") == "JobPosting")
+        job = F.try_element_at(matching, F.lit(1))
+        if fall_back_to_first:
+            job = F.coalesce(job, F.try_element_at(docs, F.lit(1)))
+        return F.when(~F.exists(docs, lambda d: d.isNull()), job)
+
     blocks = F.regexp_extract_all("html", F.lit(JSON_LD_PATTERN), F.lit(1))
-    parsed = (
-        pages.filter(F.coalesce("status", F.lit(200)) == 200)
-        .select("url", blocks.alias("blocks"))
-        .filter(F.size("blocks") > 0)
-        .select("url", F.transform("blocks", lambda b: F.try_parse_json(b)).alias("docs"))
-        .filter(~F.exists("docs", lambda d: d.isNull()))
-    )
-    matching = F.filter(
-        "docs", lambda d: F.try_variant_get(d, "$['@type']", "string") == "JobPosting")
-    job = F.try_element_at(matching, F.lit(1))
-    if fall_back_to_first:
-        job = F.coalesce(job, F.element_at("docs", 1))
-    return parsed.select("url", job.alias("job")).filter("job is not null")
+    job = let(F.transform(blocks, lambda b: F.try_parse_json(b)), choose)
+    read = pages.filter(F.coalesce("status", F.lit(200)) == 200).select("url", "html")
+    return once(read, "job", job).select("url", "job").filter("job is not null")
 
 
 def _text(path: str) -> Column:
@@ -105,4 +105,8 @@ def jobposting_to_job(blocks: DataFrame, id_from_block_url: bool = True) -> tupl
         | (F.col("_high").isNotNull() & F.col("salary_max").isNull())
     )
     helper = ["_posted", "_low", "_high"]
-    return rows.filter(~broken).drop(*helper), rows.filter(broken).select("url", "external_id", *helper)
+    marked = once(rows, "_broken", F.coalesce(broken, F.lit(False)))
+    return (
+        marked.filter(~F.col("_broken")).drop("_broken", *helper),
+        marked.filter("_broken").select("url", "external_id", *helper),
+    )
