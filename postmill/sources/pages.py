@@ -22,17 +22,23 @@ def extract_listing_links(
     redirected or holds no link ends its crawl: neither it nor anything after it
     counts. Both steps are aggregates, so a crawl of any length is fine.
     """
-    links = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    read = once(listing, "links", links).select("crawl", "page", "links", (
-        (F.col("status") != 200) | F.col("was_redirected") | (F.size("links") == 0)).alias("bad"))
-    first_bad = read.filter("bad").groupBy("crawl").agg(F.min("page").alias("stop"))
-    return (
-        read.join(first_bad, "crawl", "left")
-        .filter(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
-        .select("crawl", "page", F.posexplode_outer("links").alias("pos", "path"))
-        .filter("path is not null")
+    bad = (F.col("status") != 200) | F.col("was_redirected")
+    links = F.when(~bad, F.regexp_extract_all("html", F.lit(pattern), F.lit(1)))
+    # A bad page explodes to one row without a path and marks its crawl's end. The
+    # mark is an aggregate and the join null-safe, so nothing can be pushed into one
+    # side only and both sides share one shuffle of one scan.
+    first_places = (
+        listing.select("crawl", "page", F.posexplode_outer(links).alias("pos", "path"))
         .groupBy("crawl", F.concat(F.lit(base_url), "path").alias("url"))
-        .agg(F.min(F.struct("page", "pos")).alias("first"))
+        .agg(F.min(F.struct("page", "pos")).alias("first"),
+             F.bool_or(F.col("path").isNull()).alias("is_end"))
+    )
+    ends = first_places.filter("is_end").select(
+        F.col("crawl").alias("ended"), F.col("first.page").alias("stop"))
+    return (
+        first_places.filter(~F.col("is_end"))
+        .join(ends, F.col("crawl").eqNullSafe(F.col("ended")), "left")
+        .filter(F.col("stop").isNull() | (F.col("first.page") < F.col("stop")))
         .select("crawl", "url", "first.page", "first.pos")
     )
 

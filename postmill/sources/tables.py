@@ -27,6 +27,15 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) ->
         "parquet").saveAsTable(table)
 
 
+def write_by_source(df: DataFrame, path: str) -> None:
+    """Store rows in one folder per source, so a source filter reads only its folders.
+
+    Rows stay in the tasks they are in: a source holding a third of them is written
+    by all of those, not by one.
+    """
+    df.write.mode("errorifexists").partitionBy("source").parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append rows to a log table."""
     df.write.mode("append").parquet(path)

@@ -44,8 +44,14 @@ def index_rows(changes: DataFrame, posting: DataFrame, vectors: DataFrame) -> Da
     ``failed`` has an id that is no number or a posting without a vector.
     """
     ids = changes.select("vacancy_id").distinct()
-    card = posting.select(
-        F.col("id").alias("vacancy_id"), "source", "title", "company", "url", F.lit(True).alias("_row"))
+    # Semi-joins first: a small batch of ids is broadcast and the big tables are
+    # scanned where they lie, instead of being shuffled for every batch.
+    card = (
+        posting.select(F.col("id").alias("vacancy_id"), "source", "title", "company", "url")
+        .join(ids, "vacancy_id", "left_semi")
+        .withColumn("_row", F.lit(True))
+    )
+    found = vectors.select("vacancy_id", "embedding").join(ids, "vacancy_id", "left_semi")
     status = (
         F.when(F.col("vacancy_id").isNull(), F.lit("failed"))
         .when(F.col("_row").isNull(), F.lit("not_found"))
@@ -54,7 +60,7 @@ def index_rows(changes: DataFrame, posting: DataFrame, vectors: DataFrame) -> Da
     )
     return (
         ids.join(card, "vacancy_id", "left")
-        .join(vectors.select("vacancy_id", "embedding"), "vacancy_id", "left")
+        .join(found, "vacancy_id", "left")
         .withColumn("status", status)
         .drop("_row")
     )

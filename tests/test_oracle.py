@@ -1,6 +1,4 @@
-"""Every registered query beside its oracle, and what its plan must not hold."""
-
-import re
+"""Every registered query beside its oracle; the comparison also refuses all-pairs joins."""
 
 import __spark_entry__ as entry
 import pytest
@@ -25,14 +23,10 @@ def test_query_matches_oracle(spark, duck, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "stream" not in n and n != "late_data"))
-def test_plan_has_no_all_pairs_join(spark, name):
-    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", plan)
-
-
 def test_scan_pushes_filter_and_columns(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["scan_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(l_returnflag,R)" in plan and "GreaterThanOrEqual(l_shipdate" in plan
     assert "l_extendedprice" not in plan
 

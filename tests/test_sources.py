@@ -1,7 +1,7 @@
 import json
 
 from postmill.sources import feeds, normalize, pages, profile
-from postmill.sources.tables import append, backfill, scan_posting
+from postmill.sources.tables import append, backfill, scan_posting, write_by_source
 from pyspark.sql import functions as F
 
 
@@ -181,3 +181,13 @@ def test_stored_posting_gets_defaults_for_old_files(spark, tmp_path):
     row = scan_posting(spark, path).first()
     assert (row.status, row.missed_run_count, row.title) == ("active", 0, "T")
     assert [r.vacancy_id for r in backfill(scan_posting(spark, path), F.current_timestamp()).collect()] == [1]
+
+
+def test_source_filter_prunes_folders(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(i, "abc"[i % 3], [1.0]) for i in range(9)], "vacancy_id bigint, source string, embedding array<float>")
+    write_by_source(rows, path)
+    from postmill.operators.filters import filter_sources
+    kept = filter_sources(spark.read.parquet(path), ["a", "c"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [source" in plan and kept.count() == 6
