@@ -16,7 +16,8 @@ from ..constants import (
     SENIORITY_LEVELS,
 )
 from ..functions.text import (
-    clean_words, haystack, mentioned_words, norm_company, primary_seniority, word_mentioned,
+    clean_words, haystack, mentioned_words, norm_company, once, primary_seniority,
+    word_mentioned,
 )
 from ..session import fits_broadcast
 
@@ -214,9 +215,12 @@ def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str
     belong in ``theta_join_words``.
     """
     run = r"[\p{L}\p{N}]+"
+    lowered = words.select(F.lower(F.trim("word")).alias("word"))
+    # Behind ``once``, or the test would be inferred for every token of every text.
     vocabulary = (
-        words.select(F.lower(F.trim("word")).alias("word"))
-        .filter(F.col("word").rlike(rf"\A{run}\z"))
+        once(lowered, "_single", F.col("word").rlike(rf"\A{run}\z"))
+        .filter("_single")
+        .select("word")
         .distinct()
     )
     found = F.array_distinct(F.regexp_extract_all("hay", F.lit(run), F.lit(0)))

@@ -37,26 +37,37 @@ def _best_rows(raw: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], -raw[rows]))][:k]
 
 
-def _scan_batches(
+def _trim(rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    raw = rows.column("raw").to_numpy(zero_copy_only=False)
+    ids = rows.column("vacancy_id").to_numpy(zero_copy_only=False)
+    return rows.take(pa.array(_best_rows(raw, ids, k), pa.int64()))
+
+
+def _scan_task(
     profile_ids: Sequence[int], queries: np.ndarray, k: int, keep: Sequence[str],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Score Arrow batches by matrix product and keep ``k`` rows per query and batch."""
+    """Score Arrow batches by matrix product; a task emits ``k`` rows per query at its end."""
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.RecordBatch] = {}
         for batch in batches:
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = flat.astype(np.float64).reshape(batch.num_rows, unit.shape[1])
-            ids = batch.column("vacancy_id").to_numpy(zero_copy_only=False)
             with np.errstate(invalid="ignore"):
                 scores = (1 + vectors @ unit.T / np.linalg.norm(vectors, axis=1)[:, None]) / 2
             for column, profile_id in enumerate(profile_ids):
-                rows = pa.array(_best_rows(scores[:, column], ids, k), pa.int64())
-                chosen = [batch.column(name).take(rows) for name in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*chosen, pa.array(np.full(len(rows), profile_id), pa.int64()),
-                     pa.array(scores[:, column]).take(rows)],
-                    [*keep, "profile_id", "raw"])
+                found = _trim(pa.RecordBatch.from_arrays(
+                    [*[batch.column(name) for name in keep],
+                     pa.array(np.full(batch.num_rows, profile_id), pa.int64()),
+                     pa.array(np.ascontiguousarray(scores[:, column]))],
+                    [*keep, "profile_id", "raw"]), k)
+                if profile_id in best and found.num_rows:
+                    both = pa.Table.from_batches([best[profile_id], found]).combine_chunks()
+                    best[profile_id] = _trim(both.to_batches()[0], k)
+                elif found.num_rows:
+                    best[profile_id] = found
+        yield from best.values()
 
     return scan
 
@@ -75,7 +86,7 @@ def _candidates(
         .filter(F.size("embedding") == matrix.shape[1])
         .select(*keep, "embedding")
         .mapInArrow(
-            _scan_batches([int(pid) for pid, _ in queries], matrix, k, keep),
+            _scan_task([int(pid) for pid, _ in queries], matrix, k, keep),
             f"{types}, profile_id bigint, raw double")
     )
 
@@ -85,8 +96,8 @@ def knn_topk(
 ) -> DataFrame:
     """The ``k`` index rows nearest to one query vector, with ``raw`` score.
 
-    Exact: one scan, no shuffle. Each Arrow batch is scored by one matrix product and
-    reduced to its ``k`` best rows, then each task to ``k``, then all tasks to ``k``.
+    Exact: one scan, no shuffle. Each Arrow batch is scored by one matrix product, each
+    task emits its ``k`` best rows, and those are merged to ``k``.
     The source filter applies inside the search; everything else comes after the
     cut. A zero vector has no direction and is never a hit.
     """
@@ -105,7 +116,7 @@ def knn_topk_many(
     """Top ``k`` for a set of ``(profile_id, vector)`` queries in one scan.
 
     The queries ride along as one matrix, so there is no join, and only ``k`` rows per
-    profile and batch ever leave the scan, whatever the size of the index.
+    profile and task ever leave the scan, whatever the size of the index.
     """
     best = Window.partitionBy("profile_id").orderBy(F.col("raw").desc(), F.col("vacancy_id"))
     return (

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call-site capture costs several gateway calls per Column operation.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
