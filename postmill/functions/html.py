@@ -9,7 +9,7 @@ simple for (nested hidden elements, broken tags).
 from __future__ import annotations
 
 import html.entities
-from html import unescape
+import io
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -104,45 +104,46 @@ def html_to_text(raw: Column, unescape_first: bool = True) -> Column:
 
 
 class _VisibleText(HTMLParser):
-    """Small per-row helper for the Arrow path."""
+    """Per-row helper of the Arrow path: visible text, white space as it comes."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def _tag(self, tag: str, step: int) -> None:
-        if tag in HIDDEN_TAGS:
-            self.hidden = max(0, self.hidden + step)
-        elif tag in BLOCK_TAGS:
-            self.parts.append(" ")
+        self.text = io.StringIO()
+        self.depth = 0
 
     def handle_starttag(self, tag, attrs):
-        self._tag(tag, 1)
+        if tag in HIDDEN_TAGS:
+            self.depth += 1
+        self._separate(tag)
 
     def handle_endtag(self, tag):
-        self._tag(tag, -1)
+        if tag in HIDDEN_TAGS and self.depth:
+            self.depth -= 1
+        self._separate(tag)
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+        if self.depth == 0:
+            self.text.write(data)
 
+    def _separate(self, tag):
+        if tag in BLOCK_TAGS:
+            self.text.write(" ")
 
-def _visible(markup: str | None) -> str | None:
-    if markup is None:
-        return None
+
+def _visible(markup: str) -> str:
     parser = _VisibleText()
     parser.feed(markup)
     parser.close()
-    return " ".join("".join(parser.parts).split())
+    return parser.text.getvalue()
 
 
 def html_to_text_parser(raw: Column, unescape_first: bool = True) -> Column:
-    """Same result through the standard library parser, one Arrow batch at a time."""
+    """Same result through the standard library parser, one Arrow batch at a time.
 
+    Only the markup walk is Python; entities and white space stay with Spark.
+    """
     @F.pandas_udf("string")
-    def extract(values: pd.Series) -> pd.Series:
-        opened = values.map(lambda v: unescape(v) if v is not None else None) if unescape_first else values
-        return opened.map(_visible)
+    def walk(values: pd.Series) -> pd.Series:
+        return values.map(_visible, na_action="ignore")
 
-    return extract(raw)
+    return squeeze(walk(unescape_entities(raw) if unescape_first else raw))

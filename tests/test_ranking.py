@@ -183,3 +183,17 @@ def test_theta_join_by_tokens_equals_literal_search(spark):
     table = spark.createDataFrame([(w,) for w in words] + [("Go",)], "word string")
     a = sorted(fb.theta_join_words(p, words).collect())
     assert a == sorted(fb.theta_join_single_words(p, table).collect()) and len(a) > 3
+
+
+def test_recommendation_properties(spark):
+    """Hits only, ordered, adjusted within the cap - on the shared tables."""
+    from postmill.bindings import load
+    sf = "/root/testdata/sf0.001"
+    queries, _ = load()
+    rows = queries["recommend"](spark, sf).collect()
+    from postmill.bindings.tables import index, profile_vector
+    hits = {r.vacancy_id for r in knn_topk(index(spark, sf), profile_vector(spark, sf), 100).collect()}
+    assert {r.vacancy_id for r in rows} <= hits
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+    assert all(-20 <= r.adjustment <= 20 and 40 <= r.score <= 100 for r in rows)
+    assert all(r.application_status not in ("dismissed", "rejected") for r in rows)
