@@ -70,11 +70,22 @@ def word_mentioned(text: Column, word: str) -> Column:
     return F.contains(text, F.lit(word)) & text.rlike(word_pattern(word))
 
 
+def word_marks(
+    text: Column, words: Sequence[str], mark: Callable[[str], Column] = F.lit,
+) -> Column:
+    """``mark(word)`` for every entry of ``words`` found in ``text``, NULL for the others.
+
+    Dropping the NULLs here would take a higher-order function and with it the
+    projection out of whole-stage code generation; explode and filter instead.
+    """
+    return F.array(*[F.when(word_mentioned(text, w), mark(w)) for w in words])
+
+
 def mentioned_words(text: Column, words: Sequence[str]) -> Column:
     """The entries of ``words`` found in ``text``; a repeated entry counts again."""
     if not words:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(word_mentioned(text, w), F.lit(w)) for w in words]))
+    return F.array_compact(word_marks(text, words))
 
 
 def clean_words(words: Sequence[str]) -> list[str]:
@@ -95,12 +106,9 @@ def primary_seniority(lowered: Column, levels: Sequence[str] = SENIORITY_LEVELS)
 
     ``lowered`` is the lower-cased title.
     """
-    found = F.array_compact(F.array(*[
-        F.when(word_mentioned(lowered, level),
-               F.struct(F.locate(level, lowered).alias("pos"), F.lit(level).alias("level")))
-        for level in levels
-    ]))
-    return F.array_min(found)["level"]
+    found = word_marks(lowered, levels, lambda level: F.struct(
+        F.locate(level, lowered).alias("pos"), F.lit(level).alias("level")))
+    return F.array_min(found)["level"]  # skips NULL entries
 
 
 def marker_pattern(markers: Sequence[str] = REQUIREMENT_MARKERS) -> str:

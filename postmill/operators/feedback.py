@@ -16,8 +16,7 @@ from ..constants import (
     SENIORITY_LEVELS,
 )
 from ..functions.text import (
-    clean_words, haystack, mentioned_words, norm_company, once, primary_seniority,
-    word_mentioned,
+    clean_words, haystack, norm_company, once, primary_seniority, word_marks, word_mentioned,
 )
 from ..session import fits_broadcast
 
@@ -86,17 +85,18 @@ def searchable(posting: DataFrame, separator: str = ",") -> DataFrame:
 
 
 def skill_categories(skills: Sequence[str]) -> Column:
-    """Skills found in ``hay``."""
-    return mentioned_words(F.col("hay"), clean_words(skills))
+    """Skills found in ``hay``; NULL entries stand for the others and never count."""
+    words = clean_words(skills)
+    return word_marks(F.col("hay"), words) if words else F.array().cast("array<string>")
 
 
 def remote_categories() -> Column:
     """Only ``remote``: an unset flag does not mean on site."""
-    return F.when(F.col("remote"), F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>"))
+    return F.array(F.when(F.col("remote"), F.lit("remote")))
 
 
 def seniority_categories(levels: Sequence[str] = SENIORITY_LEVELS) -> Column:
-    return F.array_compact(F.array(primary_seniority(F.col("lower_title"), levels)))
+    return F.array(primary_seniority(F.col("lower_title"), levels))
 
 
 def skill_feedback(posting: DataFrame, application: DataFrame, skills: Sequence[str]) -> DataFrame:
@@ -115,22 +115,22 @@ def seniority_feedback(posting: DataFrame, application: DataFrame) -> DataFrame:
     return category_feedback(tracked, F.col("categories"))
 
 
-def _tag(dimension: str, categories: Column) -> Column:
-    return F.transform(categories, lambda c: F.struct(
-        F.lit(dimension).alias("dimension"), c.alias("category")))
-
-
 def all_feedback(
     posting: DataFrame, application: DataFrame, skills: Sequence[str],
     levels: Sequence[str] = SENIORITY_LEVELS,
 ) -> DataFrame:
     """The three signals from one pass: ``(dimension, category, total, negatives, delta)``."""
-    tracked = tracked_rows(searchable(posting), application, categories=F.concat(
-        _tag("skill", skill_categories(skills)),
-        _tag("remote", remote_categories()),
-        _tag("seniority", seniority_categories(levels)),
-    ))
-    return category_feedback(tracked, F.col("categories")).select("category.*", "total", "negatives", "delta")
+    def tag(dimension: str, category: Column) -> Column:
+        return F.when(category.isNotNull(), F.struct(
+            F.lit(dimension).alias("dimension"), category.alias("category")))
+
+    hay, level = F.col("hay"), primary_seniority(F.col("lower_title"), levels)
+    tags = [tag("skill", F.when(word_mentioned(hay, w), F.lit(w))) for w in clean_words(skills)]
+    tags.append(tag("remote", F.when(F.col("remote"), F.lit("remote"))))
+    tags.append(tag("seniority", level))
+    tracked = tracked_rows(searchable(posting), application, categories=F.array(*tags))
+    return category_feedback(tracked, F.col("categories")).select(
+        "category.*", "total", "negatives", "delta")
 
 
 def excluded_companies(
