@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .exact_dedup import exact_duplicates
+from .simhash import near_duplicates
 
 QUERIES = {}
 ORACLES = {}
@@ -30,6 +31,12 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op3_simhash_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), tokenizer()).select(

@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import per_worker, text_slices
 
@@ -19,6 +20,11 @@ from .common import per_worker, text_slices
 CACHED_LENGTH = 48
 #: Entries per generation of a worker's word cache (two generations are held).
 CACHED_WORDS = 250_000
+#: From this character on the file's own normaliser and splitter are asked.
+FIRST_UNSURE = "\u0250"
+#: Separators that Python counts as white space and the tokenizer does not.
+NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
+SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -75,14 +81,14 @@ class WordBpe:
                        for rank, (a, b) in enumerate(pairs)}
         self.products = [vocab[a + b] for a, b in pairs]
         self.symbols = _byte_symbols()
+        self.byte_of = {symbol: b for b, symbol in enumerate(self.symbols)}
         self.inner = [vocab[s] for s in self.symbols]
         self.last = [vocab[s + suffix] for s in self.symbols]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        if engine == "library":
-            from tokenizers import Tokenizer
-            self.model = Tokenizer.from_str(raw.decode()).model
+        self.library = Tokenizer.from_str(raw.decode())
+        self.model = self.library.model
         self._new_word = self._library_word if engine == "library" else self._queue_word
         self.words = Recent(self._new_word)
         self.pieces = Recent(self._piece)
@@ -127,14 +133,26 @@ class WordBpe:
                     heappush(queue, found[0] << 32 | left)
         return [i for i in ids if i >= 0]
 
-    def _queue_word(self, word: str) -> bytes:
-        return np.array(self.merge(word.encode()), "<u4").tobytes()
+    def _queue_word(self, word: bytes) -> bytes:
+        return np.array(self.merge(word), "<u4").tobytes()
 
-    def _library_word(self, word: str) -> bytes:
-        written = "".join([self.symbols[b] for b in word.encode()])
+    def _library_word(self, word: bytes) -> bytes:
+        written = "".join([self.symbols[b] for b in word])
         return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
+    def _split(self, text: str) -> list[bytes]:
+        """Normalised words. Beyond the Latin blocks, where Unicode versions differ between
+        libraries, the file's own normaliser and splitter decide."""
+        if max(text) < FIRST_UNSURE:
+            return [w.encode() for w in self.pattern.findall(
+                unicodedata.normalize("NFC", text).lower())]
+        plain = self.library.normalizer.normalize_str(text)
+        return [bytes(map(self.byte_of.__getitem__, written))
+                for written, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
     def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         if "<|" in piece:
             parts = self.marks.split(piece)
         else:
@@ -144,14 +162,15 @@ class WordBpe:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             elif part:
-                # A capital sigma is lowered by itself, without regard to its place.
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self.words.__getitem__, self.pattern.findall(plain))
+                out += map(self.words.__getitem__, self._split(part))
         return b"".join(out)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers; null is empty."""
-        return b"".join(map(self.pieces.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        pieces = SPACE.split(text) if NOT_SPACE.search(text) else text.split()
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
