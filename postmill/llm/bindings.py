@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_texts
 from .exact_dedup import exact_duplicates
 from .simhash import near_duplicates
+from .substring import remove_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -57,3 +58,10 @@ FROM n WINDOW w AS (PARTITION BY t)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max").select(
         "doc_id", "keep_id", "group_size", "kept", F.sha2("normal", 256).alias("text_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
