@@ -56,8 +56,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"), keep="max").select(
-        "doc_id", "keep_id", "group_size", "kept", F.sha2("normal", 256).alias("text_sha256"))
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
 @query("op10_substring_dedup")
