@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .exact_dedup import exact_duplicates
+from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
 
@@ -59,6 +60,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), size=2048)
+
+
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
