@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, quality
 from .bpe import encode_texts
 from .common import held_out
 from .exact_dedup import exact_duplicates
@@ -35,6 +35,15 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~fold))
+    return quality.score(docs, model).select(
+        "doc_id", fold.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @query("op3_simhash_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2).select(
