@@ -10,6 +10,7 @@ from . import language, quality
 from .bpe import encode_texts
 from .common import held_out
 from .exact_dedup import exact_duplicates
+from .line_chunks import remove_repeated_chunks
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -58,6 +59,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_line_dedup", """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+rolled AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_lines,
+         md5(coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(line)) AS r
+  FROM line),
+cut AS (
+  SELECT *, CASE WHEN i = n_lines OR CAST('0x' || substr(r, 1, 8) AS BIGINT) % 3 = 0
+                 THEN 1 ELSE 0 END AS stop
+  FROM rolled),
+numbered AS (
+  SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY i) - stop AS c FROM cut),
+chunk AS (
+  SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM numbered GROUP BY doc_id, c),
+marked AS (
+  SELECT doc_id, c, n > 1 AND row_number() OVER (PARTITION BY t ORDER BY n = 1, doc_id, c) > 1 AS gone
+  FROM chunk)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM numbered JOIN marked USING (doc_id, c) GROUP BY doc_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_chunks(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
