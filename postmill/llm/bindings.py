@@ -10,10 +10,12 @@ from . import language, quality
 from .bpe import encode_texts
 from .common import held_out
 from .exact_dedup import exact_duplicates
+from .knn_join import top_k
 from .line_chunks import remove_repeated_chunks
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .token_counts import section_tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -45,6 +47,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@query("op2_voronoi_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(
+           CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(row_number() OVER (
+         PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(
+        table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10,
+    ).withColumnRenamed("id", "vec_id")
+
+
 @query("op3_simhash_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2).select(
@@ -90,6 +112,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
