@@ -1,13 +1,89 @@
-"""The corpus pipeline: stages over documents, each an operator of ``postmill.llm``."""
+"""The corpus pipeline: stages over documents, each an operator of ``postmill.llm``.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept.
+All but the last return the columns of ``documents`` and no others, so an added column cannot
+clash with one that a stage makes. A null, empty or letterless text is
+rejected by the first stage; an empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postmill.llm import language
+from postmill.llm.bindings import tokenizer
+from postmill.llm.common import Scratch, held_out
+from postmill.llm.line_chunks import remove_repeated_chunks
+from postmill.llm.packing import pack_documents
+from postmill.llm.simhash import near_duplicates
+from postmill.llm.substring import remove_repeats
+
+#: A language less likely than this is no answer.
+LEAST_SCORE = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _cleaned(kept: DataFrame, removed: Column) -> DataFrame:
+    """The columns of documents with shortened texts; emptied ones go."""
+    text = F.when(removed > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return (
+        kept.filter((removed == 0) | (F.trim("kept_text") != ""))
+        .withColumns({"text": text, "n_chars": F.when(removed > 0, F.char_length("kept_text"))
+                      .otherwise(F.col("n_chars"))})
+        .select(*COLUMNS))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go; a missing language is filled in."""
+    model = language.fit(docs.filter(~held_out(F.col("doc_id"))), tokenizer("piece_bpe_32k.model"))
+    named = language.predict(docs, model, keep=COLUMNS)
+    return (
+        named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+        .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go; so do documents that consist of them."""
+    return _cleaned(remove_repeated_chunks(docs.select(*COLUMNS)), F.col("n_removed"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the smallest id stays."""
+    spare = near_duplicates(docs, width=3, radius=2).filter("doc_id > component_id")
+    return docs.join(spare.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a smaller id has too go; emptied documents as well."""
+    return _cleaned(remove_repeats(docs.select(*COLUMNS)), F.col("n_removed"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return pack_documents(docs, tokenizer(), size=2048)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_near),
+    ("substring_dedup", dedup_passages),
+    ("best_fit_packing", pack),
+]
+
+#: Fingerprints, language scores and token ids are no SQL; tests/llm holds each stage against
+#: a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    before: list[str] = []
+    for name, stage in STAGES[:-1]:
+        docs, path = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -217,15 +217,19 @@ class Scorer:
 
 def predict(
     docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``key, lang_pred, score`` of every whole text; ``score`` is the answer's posterior.
+    """``key``, the columns ``keep``, ``lang_pred, score`` of every whole text.
+
+    ``score`` is the posterior of the answer.
 
     A text is its words, a word the sum over all its segmentations into pieces, languages
     are equally likely beforehand. Ties go to the first language by name. Null, empty and
     letterless texts, and every text if no language was learned, are ``und`` with score 0.
     Rows are independent: repeated rows and null keys stay. An empty table gives an empty
-    one; other columns are not read.
+    one; columns beyond ``keep`` are not read.
     """
+    kept = [c for c in dict.fromkeys([key, *keep]) if c not in ("lang_pred", "score")]
     languages = list(model.languages)
     state = docs.sparkSession.sparkContext.broadcast(
         {"pieces": model.pieces, "chance": [row.tolist() for row in model.chance]})
@@ -244,9 +248,9 @@ def predict(
                     names.append(languages[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(key), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [key, "lang_pred", "score"])
+                [*[part.column(c) for c in kept], pa.array(names, pa.string()),
+                 pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, lang_pred string, score double")
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(
+        run, f"{shape}, lang_pred string, score double")
