@@ -59,14 +59,6 @@ def html_to_text_query(spark, d):
         "page_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
-@query("html_to_text_parser", f"""SELECT page_id, md5(t) AS text_md5
-FROM (SELECT page_id, {html_sql('html')} AS t FROM pages)""")
-def _html_parser(spark, d):
-    """The Arrow path over the standard library parser."""
-    text = H.html_to_text_parser(F.col("html"), unescape_first=False)
-    return table(spark, d, "pages").select("page_id", F.md5(text).alias("text_md5"))
-
-
 @query("unescape_entities", f"""SELECT page_id, md5({entities_sql(
     "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title_md5 FROM pages""")
 def _unescape(spark, d):

@@ -1,37 +1,26 @@
-"""HTML to text.
-
-``html_to_text`` is a chain of JVM regex passes, so a table of pages stays inside
-code generation. ``html_to_text_parser`` sends Arrow batches through the standard
-library parser; it is there to compare against and for markup the chain is too
-simple for (nested hidden elements, broken tags).
-"""
+"""HTML to text, in a few passes of column functions whose work grows with the text alone."""
 
 from __future__ import annotations
 
+import html
 import html.entities
-import io
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BLOCK_TAGS, HIDDEN_TAGS
 from .text import let, squeeze
 
-# Rest of a tag: quoted attribute values may hold '>'.
-_TAG_REST = r"""(?:[\s/][^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*)?>"""
-_AMPERSAND = r"&(?:amp;?|AMP;?|#0*38(?![0-9]);?|#[xX]0*26(?![0-9a-fA-F]);?)"
-_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
-
-
-def _named_entities(closed: bool) -> dict[str, str]:
-    """Entity name to text from the standard library table, without the ampersand itself."""
-    return {
-        "&" + name: value
-        for name, value in html.entities.html5.items()
-        if name.endswith(";") == closed and value != "&"
-    }
+# Rest of a tag. A quote opens a value only behind '='; the repeats never give back what they
+# took, so they run as loops however many attributes there are.
+_ATTRIBUTES = r"""(?:[\s/](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)?+"""
+_TAG_REST = _ATTRIBUTES + ">"
+_OPENING_REST = _ATTRIBUTES + "(?<!/)>"
+# Noncharacters stand for a hidden element's start and end and for removed markup. Text that
+# holds them itself loses them.
+_OPEN, _CLOSE, _GONE = "\ufdd0", "\ufdd1", "\ufdd2"
+# What may follow an ampersand.
+_REFERENCE = r"\A(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 
 
 def _lookup(table: dict[str, str]) -> Column:
@@ -40,110 +29,102 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(pairs), F.lit("\u0002"), F.lit("\u0001"))
 
 
+def _odd_code_points() -> dict[str, str]:
+    """Numeric references that do not mean their own number: of the 8-bit controls, and none."""
+    numbers = [*range(0x01, 0x09), 0x0B, 0x0D, *range(0x0E, 0x20), *range(0x7F, 0xA0),
+               *range(0xFDD0, 0xFDF0),
+               *(plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF))]
+    return {str(n): html.unescape(f"&#{n};") for n in numbers}
+
+
 def _code_point(number: Column) -> Column:
     """The character of a numeric reference. Invalid numbers become U+FFFD."""
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     hexed = F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD))), 8, "0")
-    return F.decode(F.unhex(hexed), "UTF-32")
+    odd = (number < 0xA0) | number.between(0xFDD0, 0xFDEF) | ((number % 0x10000) >= 0xFFFE)
+    plain = F.decode(F.unhex(hexed), "UTF-32")
+    return F.when(valid & odd, F.coalesce(
+        F.try_element_at(_lookup(_odd_code_points()), number.cast("string")), plain)).otherwise(plain)
+
+
+def _named(name: Column) -> Column:
+    """Text of a named reference, by the longest name it starts with; null if there is none."""
+    table = html.entities.html5
+    closed = _lookup({n: v for n, v in table.items() if n.endswith(";")})
+    opened = {n: v for n, v in table.items() if not n.endswith(";")}
+    prefix = F.regexp_extract(
+        name, r"\A(?:" + "|".join(sorted(opened, key=len, reverse=True)) + ")", 0)
+    by_prefix = F.concat(
+        F.try_element_at(_lookup(opened), prefix), F.substr(name, F.length(prefix) + 1))
+    return (
+        F.when(name == "amp;", "&").when(name == "nbsp;", "\xa0").when(name == "lt;", "<")
+        .when(name == "gt;", ">").when(name == "quot;", '"')
+        .otherwise(F.coalesce(F.try_element_at(closed, name), by_prefix)))
 
 
 def unescape_entities(text: Column) -> Column:
     """Decode HTML entities.
 
-    One scan collects the distinct references of a text; they are replaced longest
-    first, so ``&lt`` never cuts into ``&lt;``. The ampersand itself comes last, so
-    nothing is decoded twice.
+    The text is split at its ampersands once, the start of each part decoded and the parts
+    joined again, so nothing is decoded twice and each reference costs the same. An ampersand
+    without a known reference stays.
     """
-    closed = _lookup(_named_entities(closed=True))
-    legacy = _lookup(_named_entities(closed=False))
-    names = sorted(_named_entities(closed=False), key=len, reverse=True)
-    legacy_prefix = r"\A&(?:" + "|".join(name[1:] for name in names) + ")"
-
-    def value_of(token: Column) -> Column:
+    def decoded(reference: Column) -> Column:
         number = F.when(
-            token.rlike("^&#[xX]"),
-            F.conv(F.regexp_extract(token, "([0-9a-fA-F]+);?$", 1), 16, 10).try_cast("bigint"),
-        ).otherwise(F.regexp_extract(token, "([0-9]+)", 1).try_cast("bigint"))
-        prefix = F.regexp_extract(token, legacy_prefix, 0)
-        by_prefix = F.concat(F.try_element_at(legacy, prefix), F.substr(token, F.length(prefix) + 1))
+            reference.rlike(r"\A#[xX]"),
+            F.conv(F.regexp_extract(reference, r"\A#[xX]0*([0-9a-fA-F]{1,12});?\z", 1), 16, 10)
+            .try_cast("bigint"),
+        ).otherwise(F.regexp_extract(reference, "([0-9]+)", 1).try_cast("bigint"))
         return (
-            F.when(token.rlike(rf"\A{_AMPERSAND}"), token)
-            .when(token.startswith("&#"), _code_point(number))
-            .otherwise(F.coalesce(F.try_element_at(closed, token), by_prefix, token))
-        )
-
-    def decode(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)))
-        longest_first = F.transform(
-            F.sort_array(F.transform(found, lambda m: F.struct(-F.length(m), m.alias("m")))),
-            lambda p: p["m"])
-        out = F.aggregate(longest_first, t, lambda acc, m: F.replace(acc, m, value_of(m)))
-        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(out, _AMPERSAND, "&")).otherwise(t)
-
-    return let(text, decode)
+            F.when(reference == "", "&")
+            .when(reference.startswith("#"), _code_point(F.coalesce(number, F.lit(0x110000))))
+            .otherwise(F.coalesce(_named(reference), F.concat(F.lit("&"), reference))))
+
+    def part(piece: Column, at: Column) -> Column:
+        return F.when(at == 0, piece).otherwise(let(
+            F.regexp_extract(piece, _REFERENCE, 0),
+            lambda head: F.concat(decoded(head), F.substr(piece, F.length(head) + 1))))
+
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&", -1), part), "")
+    ).otherwise(t))
+
+
+def _outside_hidden(text: Column) -> Column:
+    """The text outside hidden elements, which may hold one another: a fold over their tags."""
+    def step(state: Column, piece: Column) -> Column:
+        depth = (
+            F.when(piece.startswith(_OPEN), state["depth"] + 1)
+            .when(piece.startswith(_CLOSE), F.greatest(state["depth"] - 1, F.lit(0)))
+            .otherwise(state["depth"]))
+        return let(depth, lambda d: F.struct(
+            d.alias("depth"),
+            F.when(d == 0, F.concat(state["text"], piece)).otherwise(state["text"]).alias("text")))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return let(text, lambda t: F.when(
+        t.rlike(f"[{_OPEN}{_CLOSE}]"),
+        F.aggregate(F.split(t, f"(?=[{_OPEN}{_CLOSE}])"), start, step, lambda s: s["text"])
+    ).otherwise(t))
 
 
 def html_to_text(raw: Column, unescape_first: bool = True) -> Column:
     """Visible text of HTML markup.
 
-    Hidden elements go with their content, block tags become a blank, other tags
-    and comments vanish, entities are decoded and white space is collapsed. Set
-    ``unescape_first`` for payloads whose tags are themselves entity-escaped.
+    Hidden elements go with their content, block tags become a blank, other tags and comments
+    vanish, entities are decoded and white space is collapsed. An unclosed comment or script
+    reaches to the end. Set ``unescape_first`` for payloads whose tags are themselves
+    entity-escaped.
     """
-    def hidden(tag: str) -> str:
-        return rf"<{tag}{_TAG_REST}.*?(?:</{tag}\s*>|\z)"
-
     text = unescape_entities(raw) if unescape_first else raw
-    # Raw-text elements and comments first: what they hold is no markup. Every
-    # alternative names its own end tag.
-    text = F.regexp_replace(text, rf"(?is){hidden('script')}|{hidden('style')}|<!--.*?-->", "")
-    text = F.regexp_replace(text, rf"(?is){hidden('template')}|{hidden('head')}", "")
+    # Raw-text elements and comments first: what they hold is no markup.
+    text = F.regexp_replace(
+        text, rf"(?is)<(script|style){_OPENING_REST}.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)", _GONE)
+    containers = "|".join(t for t in HIDDEN_TAGS if t not in ("script", "style"))
+    text = F.regexp_replace(text, rf"(?i)<(?:{containers}){_OPENING_REST}", _OPEN)
+    text = F.regexp_replace(text, rf"(?i)</(?:{'|'.join(HIDDEN_TAGS)}){_TAG_REST}", _CLOSE)
+    text = _outside_hidden(text)
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)}){_TAG_REST}", " ")
-    text = F.regexp_replace(text, rf"</?[a-zA-Z][^\s/>]*{_TAG_REST}|<[!?][^>]*>", "")
-    return squeeze(unescape_entities(text))
-
-
-class _VisibleText(HTMLParser):
-    """Per-row helper of the Arrow path: visible text, white space as it comes."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.text = io.StringIO()
-        self.depth = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN_TAGS:
-            self.depth += 1
-        self._separate(tag)
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN_TAGS and self.depth:
-            self.depth -= 1
-        self._separate(tag)
-
-    def handle_data(self, data):
-        if self.depth == 0:
-            self.text.write(data)
-
-    def _separate(self, tag):
-        if tag in BLOCK_TAGS:
-            self.text.write(" ")
-
-
-def _visible(markup: str) -> str:
-    parser = _VisibleText()
-    parser.feed(markup)
-    parser.close()
-    return parser.text.getvalue()
-
-
-def html_to_text_parser(raw: Column, unescape_first: bool = True) -> Column:
-    """Same result through the standard library parser, one Arrow batch at a time.
-
-    Only the markup walk is Python; entities and white space stay with Spark.
-    """
-    @F.pandas_udf("string")
-    def walk(values: pd.Series) -> pd.Series:
-        return values.map(_visible, na_action="ignore")
-
-    return squeeze(walk(unescape_entities(raw) if unescape_first else raw))
+    text = F.regexp_replace(
+        text, rf"</?[a-zA-Z][^\s/>]*+{_TAG_REST}|<[!?][^>]*+>|</[^a-zA-Z>]?[^>]*+>", _GONE)
+    return squeeze(F.translate(unescape_entities(text), _OPEN + _CLOSE + _GONE, ""))

@@ -1,3 +1,4 @@
+import time
 from html import unescape
 
 import pytest
@@ -10,27 +11,52 @@ from postmill.functions.packed_title import parse_packed_title, parse_salary_tex
 from postmill.functions.verdict import parse_verdict, profile_query_text, scoring_prompt
 from pyspark.sql import functions as F
 
-MARKUP = [
-    "<p>Hello</p><p>World</p>",
-    "visible &amp",
-    "<td>Python</td><td>Django</td>",
-    "<style>a{}</style>b<script>var x='<p>';</script><p title=\"a>b\">d</p>",
-    "a<!-- <p>hidden</p> -->b",
-    "<head><title>T</title></head><header>shown</header>",
-    "<template><p>no</p></template>yes",
-    "x &lt;T&gt; &#39;q&#x27; &eacute; &notit; &#128512; &amp;lt; &bogus; &nbsp; end",
-    "line\n\n\tbreak  <br/>next",
-    "<script>var a=1;</script >tail <DIV class='a'>Up</DIV>",
-    "no markup at all",
-    "",
-]
-
-
-def test_native_html_equals_parser(values):
-    for first in (True, False):
-        native = values("string", MARKUP, lambda c, f=first: H.html_to_text(c, f))
-        parsed = values("string", MARKUP, lambda c, f=first: H.html_to_text_parser(c, f))
-        assert native == parsed
+MARKUP = {
+    "<p>Hello</p><p>World</p>": "Hello World",
+    "visible &amp": "visible &",
+    "<td>Python</td><td>Django</td>": "Python Django",
+    "<style>a{}</style>b<script>var x='<p>';</script><p title=\"a>b\">d</p>": "b d",
+    "a<!-- <p>hidden</p> -->b": "ab",
+    "<head><title>T</title></head><header>shown</header>": "shown",
+    "<template><p>no</p></template>yes": "yes",
+    "x &lt;T&gt; &#39;q&#x27; &eacute; &notit; &#128512; &amp;lt; &bogus; &nbsp; end":
+        "x <T> 'q' é ¬it; 😀 &lt; &bogus; end",
+    "line\n\n\tbreak  <br/>next": "line break next",
+    "<script>var a=1;</script >tail <DIV class='a'>Up</DIV>": "tail Up",
+    "no markup at all": "no markup at all",
+    "": "",
+    "<p title=\"a\"b\">x</p><p class=\"x\">word</p>": "x word",
+    "<template>a<template>b</template>c</template>d": "d",
+    "<template/>shown<script/>too": "showntoo",
+    "<template>a</script>b</template>c": "bc",
+    "a<!-- b <p>c": "a",
+    "a<script>b<p>c": "a",
+    "a< b>c <1>d </1>e </>f": "a< b>c <1>d e f",
+    "a<?x y>b<!DOCTYPE z>c": "abc",
+    "a &am<b>p; b": "a &amp; b",
+    "<p x='>'>b<p =\"y\">c": "b c",
+    "&#128; &#x1; &#xD800; &#99999999999999; &#x110000; &#0;": "€ \ufffd \ufffd \ufffd \ufffd",
+}
+
+
+def test_visible_text(values):
+    assert values("string", list(MARKUP), lambda c: H.html_to_text(c, False)) == list(
+        MARKUP.values())
+
+
+@pytest.mark.parametrize(("markup", "expected"), [
+    ('<p title="a"b">x</p>' * 100_000, " ".join(["x"] * 100_000)),
+    ("<template>" * 2000 + "a" + "</template>" * 2000 + "b", "b"),
+    ("<template>a</template>b " * 5000, " ".join(["b"] * 5000)),
+    ("a" + "<!-- b " * 20_000, "a"),
+    ("".join(f"&#{n};" for n in range(0x4E00, 0x4E00 + 4000)),
+     "".join(map(chr, range(0x4E00, 0x4E00 + 4000)))),
+    ("<p " + " ".join(f"a{n}='{n}'" for n in range(20_000)) + ">x", "x"),
+], ids=["stray quotes", "nested", "many hidden", "open comments", "references", "attributes"])
+def test_hard_markup_takes_time_in_proportion(values, markup, expected):
+    start = time.monotonic()
+    assert values("string", [markup], lambda c: H.html_to_text(c, False)) == [expected]
+    assert time.monotonic() - start < 30
 
 
 def test_html_escaped_payload(values):
@@ -41,7 +67,7 @@ def test_html_escaped_payload(values):
 
 def test_unescape_matches_standard_library(values):
     raw = ["&lt&lt;&ltx", "&amp;amp;", "&#38;lt;", "&#x26;#60;", "&copy2024 &copy;", "&NotEqualTilde;",
-           "100&percnt;", "&#0;", "R&amp;D", "a & b &", "&#128512;&#x1F600;", "&lang;&rang;", "&am"]
+           "100&percnt;", "&#0;", "&#150;", "&#x0000026;", "&;", "&#;", "R&amp;D", "a & b &", "&#128512;&#x1F600;", "&lang;&rang;", "&am"]
     assert values("string", raw, H.unescape_entities) == [unescape(r) for r in raw]
 
 
