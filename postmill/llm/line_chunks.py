@@ -124,11 +124,12 @@ def remove_repeated_chunks(
     return (
         marked.join(gone, ["doc", "own"], "left")
         .select(
-            "row.*",
+            "row",
             F.when(F.col("ranges").isNull(), F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
             .otherwise(let(lines, lambda own_lines: F.array_join(
                 without(own_lines, F.col("ranges")), "\n"))).alias("kept_text"),
             F.size(lines).cast("long").alias("n_lines"),
             F.coalesce(F.aggregate(
                 "ranges", F.lit(0).cast("long"), lambda total, r: total + r["n"]),
-                F.lit(0).cast("long")).alias("n_removed")))
+                F.lit(0).cast("long")).alias("n_removed"))
+        .select("row.*", "kept_text", "n_lines", "n_removed"))

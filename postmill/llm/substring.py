@@ -216,26 +216,30 @@ def remove_repeats(
     """
     scratch = Scratch(docs.sparkSession, "substring")
     own = docs.drop("kept_text", "n_words", "n_removed")
-    names = [c for c in own.columns]
+    names = own.columns
+    spans = "spans"
+    while spans in map(str.lower, names):
+        spans += "_"
     marked = own.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("doc"),
         text_hash(F.col(text)).alias("hash"))
     ranges = repeats(
         docs.select(F.col(key).alias("doc"), text_hash(F.col(text)).alias("hash"),
                     F.col(text).alias("text")), scratch, window, anchor)
-    joined = marked.join(ranges, ["doc", "hash"], "left").select("row.*", "spans")
+    joined = marked.join(
+        ranges.withColumnRenamed("spans", spans), ["doc", "hash"], "left").select("row.*", spans)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
             kept, n_words, n_removed = [], [], []
-            for value, spans in zip(texts, part.column("spans"), strict=True):
+            for value, ranges in zip(texts, part.column(spans), strict=True):
                 words = words_of(value)
                 n_words.append(len(words))
-                if spans.is_valid:
-                    spans = np.asarray(spans.values, np.int64)
+                if ranges.is_valid:
+                    ranges = np.asarray(ranges.values, np.int64)
                     inside = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(inside, spans >> 32, 1)
-                    np.add.at(inside, spans & 0xFFFFFFFF, -1)
+                    np.add.at(inside, ranges >> 32, 1)
+                    np.add.at(inside, ranges & 0xFFFFFFFF, -1)
                     stay = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
                     n_removed.append(len(words) - len(stay))
                     words = [words[i] for i in stay.tolist()]
