@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -19,7 +20,7 @@ from .common import per_worker, text_slices
 #: Words longer than this are encoded each time; they hardly ever come again.
 CACHED_LENGTH = 48
 #: Entries per generation of a worker's word cache (two generations are held).
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 #: From this character on the file's own normaliser and splitter are asked.
 FIRST_UNSURE = "\u0250"
 #: Separators that Python counts as white space and the tokenizer does not.
@@ -133,40 +134,43 @@ class WordBpe:
                     heappush(queue, found[0] << 32 | left)
         return [i for i in ids if i >= 0]
 
-    def _queue_word(self, word: bytes) -> bytes:
-        return np.array(self.merge(word), "<u4").tobytes()
+    def _queue_word(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode())).tobytes()
 
-    def _library_word(self, word: bytes) -> bytes:
-        written = "".join([self.symbols[b] for b in word])
-        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+    def _library_word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.symbols[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _split(self, text: str) -> list[bytes]:
+    def _split(self, text: str) -> list[str]:
         """Normalised words. Beyond the Latin blocks, where Unicode versions differ between
         libraries, the file's own normaliser and splitter decide."""
         if max(text) < FIRST_UNSURE:
-            return [w.encode() for w in self.pattern.findall(
-                unicodedata.normalize("NFC", text).lower())]
+            return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
         plain = self.library.normalizer.normalize_str(text)
-        return [bytes(map(self.byte_of.__getitem__, written))
+        return [bytes(map(self.byte_of.__getitem__, written)).decode()
                 for written, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if "<|" in piece:
-            parts = self.marks.split(piece)
-        else:
-            parts = (piece,)
+        if max(piece) < FIRST_UNSURE:
+            # Most pieces are one word, or one word and a sentence mark.
+            plain = piece.lower()
+            if plain.isalpha():
+                return self.words[plain]
+            if plain[-1] in ".," and plain[:-1].isalpha():
+                return self.words[plain[:-1]] + self.words[plain[-1]]
         out = []
-        for part in parts:
+        for part in self.marks.split(piece) if "<|" in piece else (piece,):
             if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 out += map(self.words.__getitem__, self._split(part))
         return b"".join(out)
 
     def encode_bytes(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers; null is empty."""
+        """Ids of a whole text as unsigned 32-bit numbers; null is empty."""
         if not text:
             return b""
         pieces = SPACE.split(text) if NOT_SPACE.search(text) else text.split()
