@@ -200,7 +200,8 @@ DAY_SQL = "date_diff('day', TIMESTAMP '2024-01-01', ts)"
 @query("missed_run_streak", f"""
 WITH seen AS (SELECT event_type AS source, user_id AS external_id, {DAY_SQL} AS run FROM events),
 runs AS (SELECT source, run, count(*) AS n FROM seen GROUP BY ALL),
-good AS (SELECT source, run FROM runs WHERE n >= 60),
+good AS (SELECT source, run FROM runs QUALIFY n * 10 * count(*) OVER (PARTITION BY source)
+         >= 9 * sum(n) OVER (PARTITION BY source)),
 numbered AS (SELECT source, run, row_number() OVER (PARTITION BY source ORDER BY run) AS run_no FROM good),
 last_seen AS (SELECT s.source, s.external_id, max(s.run) AS run FROM seen s SEMI JOIN good g
               ON g.source = s.source AND g.run = s.run GROUP BY ALL)
@@ -208,11 +209,13 @@ SELECT l.source, l.external_id,
        (SELECT max(run_no) FROM numbered m WHERE m.source = l.source) - n.run_no AS missed_run_count
 FROM last_seen l JOIN numbered n ON n.source = l.source AND n.run = l.run""")
 def _missed_run_streak(spark, d):
-    """Runs are days of an event type; a day with fewer than 60 events failed."""
+    """Runs are days of an event type; a day that stays a tenth below the type's mean failed."""
     day = F.datediff("ts", ntz("2024-01-01 00:00:00"))
     seen = table(spark, d, "events").select(
         F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), day.alias("run"))
-    good = seen.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n")).filter("n >= 60")
+    runs = seen.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
+    usual = runs.groupBy("source").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("all"))
+    good = runs.join(usual, "source").filter("n * 10 * days >= 9 * all").select("source", "run")
     return up.missed_run_streak(good, seen)
 
 

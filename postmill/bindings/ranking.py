@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import haystack, norm_company, primary_seniority, word_mentioned
@@ -139,7 +141,7 @@ RAW = (f"(1.0 + {DOT}(embedding, q) / (sqrt({DOT}(embedding, embedding)) * sqrt(
 
 def hits_sql(k: int, where: str = "") -> str:
     return f"""hits AS (
-  SELECT vacancy_id, source, title, company, url, {RAW} AS raw FROM idx, query {where}
+  SELECT vacancy_id, source, {RAW} AS raw FROM idx, query {where}
   ORDER BY raw DESC, vacancy_id LIMIT {k})"""
 
 
@@ -151,10 +153,11 @@ def _raw6(df):
 
 
 @query("knn_topk", f"""{KNN}, {hits_sql(20)}
-SELECT vacancy_id, source, company, url, round(raw, 6) AS raw FROM hits""")
+SELECT vacancy_id, source, round(raw, 6) AS raw FROM hits""")
 def _knn(spark, d):
+    """The hits alone, orphans included; ``join_hits_posting`` adds the posting's columns."""
     hits = knn_topk(index(spark, d), profile_vector(spark, d), 20)
-    return _raw6(hits.select("vacancy_id", "source", "company", "url", "raw"))
+    return _raw6(hits.select("vacancy_id", "source", "raw"))
 
 
 @query("knn_topk_sources", f"""{KNN}, {hits_sql(20, "WHERE source IN ('src1', 'src2', 'src3')")}
@@ -166,22 +169,22 @@ def _knn_sources(spark, d):
 
 @query("knn_topk_many", f"""WITH {POSTING_SQL}, {INDEX_SQL},
 query AS (SELECT vec_id AS profile_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings
-          ORDER BY vec_id LIMIT 3),
+          WHERE label = 3),
 ranked AS (SELECT profile_id, vacancy_id, {RAW} AS raw FROM idx, query)
 SELECT profile_id, vacancy_id, round(raw, 6) AS raw,
        row_number() OVER (PARTITION BY profile_id ORDER BY raw DESC, vacancy_id) AS rank
 FROM ranked QUALIFY rank <= 10""")
 def _knn_many(spark, d):
-    profiles = table(spark, d, "embeddings").orderBy("vec_id").limit(3)
-    queries = [(r.vec_id, r.embedding) for r in profiles.collect()]
-    hits = knn_topk_many(index(spark, d), queries, 10)
+    """The vectors of one label are the profiles: their number grows with the table."""
+    profiles = table(spark, d, "embeddings").filter("label = 3").select(
+        F.col("vec_id").alias("profile_id"), "embedding")
+    hits = knn_topk_many(index(spark, d), profiles, 10, len(profile_vector(spark, d)))
     return _raw6(hits.select("profile_id", "vacancy_id", "raw", F.col("rank").cast("bigint")))
 
 
 def _hits(spark, d, k=50):
     return pin_hits(
-        knn_topk(index(spark, d).select("vacancy_id", "source", "embedding"),
-                 profile_vector(spark, d), k).select("vacancy_id", "raw"))
+        knn_topk(index(spark, d), profile_vector(spark, d), k).select("vacancy_id", "raw"))
 
 
 @query("join_hits_posting", f"""{KNN}, {hits_sql(50)}
@@ -267,29 +270,26 @@ def _shortlist(spark, d):
     return shortlist(_recommend(spark, d, min_score=0), 5).select("vacancy_id", "company", "score")
 
 
-# Responses derived from the conversations: every shape a scorer can come back with.
+# Responses in every shape a scorer can come back with.
 RESPONSE_KINDS = 7
 
 
-def responses(spark, d):
-    """One response row per posting id, its shape picked by the text length."""
-    talk = table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("text"), F.sum(F.length("text")).alias("n"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vacancy_id"), "n_chars")
-    rows = docs.withColumn("conv_id", F.col("vacancy_id") % 100).join(talk, "conv_id", "left")
-    kind = F.col("n_chars") % RESPONSE_KINDS
+def responses(rows, n, reasoning):
+    """``rows`` with one response each, its shape picked by the number ``n``."""
+    kind = n % RESPONSE_KINDS
+    text = F.coalesce(reasoning, F.lit(""))
     body = F.to_json(F.struct(
-        (F.col("n_chars") % 101).alias("score"), F.coalesce("text", F.lit("")).alias("reasoning"),
+        (n % 101).alias("score"), text.alias("reasoning"),
         F.array(F.lit("a"), F.lit("b")).alias("concerns")))
 
     def envelope(failed: bool, result):
         return F.to_json(F.struct(F.lit(failed).alias("is_error"), result.alias("result")))
 
     return rows.select(
-        "vacancy_id",
+        *rows.columns,
         F.when(kind == 1, F.lit(2)).otherwise(F.lit(0)).alias("returncode"),
         (kind == 0).alias("timed_out"),
-        F.when(kind == 2, F.concat(F.lit("oops "), F.coalesce("text", F.lit(""))))
+        F.when(kind == 2, F.concat(F.lit("oops "), text))
         .when(kind == 3, envelope(True, F.lit("overloaded")))
         .when(kind == 4, envelope(False, F.lit("no json here")))
         .when(kind == 5, envelope(False, F.concat(F.lit("```json\n"), body, F.lit("\n```"))))
@@ -297,22 +297,33 @@ def responses(spark, d):
     )
 
 
-OUTCOME_SQL = """CASE n_chars % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'nonzero_exit'
+def turn_responses(spark, d):
+    """One response per conversation turn, its reasoning the turn's text."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    n = F.coalesce(F.length("text"), F.lit(0)) + F.col("turn")
+    return responses(turns, n, F.col("text")).select(
+        "conv_id", "turn", "returncode", "timed_out", "stdout")
+
+
+def outcome_sql(n: str) -> str:
+    return f"""CASE ({n}) % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'nonzero_exit'
   WHEN 2 THEN 'bad_stdout' WHEN 3 THEN 'api_error' WHEN 4 THEN 'parse_error' ELSE 'success' END"""
 
 
+TURN = "coalesce(length(text), 0) + turn"
+TURN_OUTCOME = outcome_sql(TURN)
+
+
 @query("parse_verdict", f"""
-SELECT doc_id AS vacancy_id, {OUTCOME_SQL} AS outcome,
-       CASE WHEN {OUTCOME_SQL} = 'success' THEN CAST(n_chars % 101 AS INTEGER) END AS score,
-       CASE WHEN {OUTCOME_SQL} = 'success' THEN md5(coalesce(text, '')) END AS reasoning_md5,
-       CASE WHEN {OUTCOME_SQL} = 'success' THEN 2 END AS n_concerns
-FROM (SELECT d.doc_id, d.n_chars, c.text FROM documents d LEFT JOIN
-      (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY 1) c
-      ON c.conv_id = d.doc_id % 100)""")
+SELECT conv_id, turn, {TURN_OUTCOME} AS outcome,
+       CASE WHEN {TURN_OUTCOME} = 'success' THEN CAST(({TURN}) % 101 AS INTEGER) END AS score,
+       CASE WHEN {TURN_OUTCOME} = 'success' THEN md5(coalesce(text, '')) END AS reasoning_md5,
+       CASE WHEN {TURN_OUTCOME} = 'success' THEN 2 END AS n_concerns
+FROM conversations""")
 def _parse_verdict(spark, d):
     v = parse_verdict(F.col("returncode"), F.col("timed_out"), F.col("stdout"))
-    return responses(spark, d).select("vacancy_id", v.alias("v")).select(
-        "vacancy_id", "v.outcome", "v.score", F.md5("v.reasoning").alias("reasoning_md5"),
+    return turn_responses(spark, d).select("conv_id", "turn", v.alias("v")).select(
+        "conv_id", "turn", "v.outcome", "v.score", F.md5("v.reasoning").alias("reasoning_md5"),
         F.when(F.col("v.concerns").isNotNull(), F.size("v.concerns")).alias("n_concerns"))
 
 
@@ -329,13 +340,13 @@ def _verdict_outcomes(spark, d):
     ).groupBy("operation", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("outcome_counts", f"""SELECT 'score_vacancy' AS operation, {OUTCOME_SQL} AS outcome, count(*) AS n
-FROM documents GROUP BY ALL""")
+@query("outcome_counts", f"""SELECT 'score_vacancy' AS operation, {TURN_OUTCOME} AS outcome, count(*) AS n
+FROM conversations GROUP BY ALL""")
 def _outcome_counts(spark, d):
     v = parse_verdict(F.col("returncode"), F.col("timed_out"), F.col("stdout"))
     return outcome_counts(
-        responses(spark, d).select(F.lit("score_vacancy").alias("operation"),
-                                   v["outcome"].alias("outcome")), "operation", "outcome")
+        turn_responses(spark, d).select(F.lit("score_vacancy").alias("operation"),
+                                        v["outcome"].alias("outcome")), "operation", "outcome")
 
 
 @query("rerank_with_scores", f"""
@@ -344,8 +355,12 @@ FROM (SELECT vacancy_id, row_number() OVER (ORDER BY score DESC, raw DESC, vacan
       FROM ({recommend_sql(100, 0)}) QUALIFY position <= 10) s
 JOIN documents d ON d.doc_id = s.vacancy_id WHERE d.n_chars % 7 >= 5""")
 def _rerank(spark, d):
+    """Every posting got a response; those of the shortlist count."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vacancy_id"), "n_chars", "text")
+    scored = responses(docs, F.col("n_chars"), F.substring_index("text", "\n", 1)).drop(
+        "n_chars", "text")
     short = shortlist(_recommend(spark, d, min_score=0), 10)
-    return rerank_with_scores(short, responses(spark, d)).select(
+    return rerank_with_scores(short, scored).select(
         "vacancy_id", "score", F.col("position").cast("bigint"))
 
 
@@ -415,17 +430,38 @@ def _theta(spark, d):
     return fb.theta_join_words(posting(spark, d), THETA)
 
 
+PHRASE = r"^[\p{L}\p{N}]+ [\p{L}\p{N}]+"
+ODD_WORDS = ("c++", "c#", "|", "###", "the,")
+# A phrase of plain words, between ends that are a blank or any other mark.
+PHRASE_TEST = " OR ".join(
+    f"contains(marked, '{before}' || word || '{after}')" for before in "# " for after in "# ")
+ODD_TESTS = "\n  UNION ALL ".join(
+    "SELECT id, '{}' AS word FROM hays WHERE regexp_matches(hay, "
+    "'(?:\\A|[^\\p{{L}}\\p{{N}}]){}(?:\\z|[^\\p{{L}}\\p{{N}}])')".format(
+        w, re.sub(r"([^\w\s])", r"\\\1", w)) for w in ODD_WORDS)
+
+
 @query("theta_join_single_words", f"""{BASE},
-vocabulary AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))) AS word
-               FROM benchmark),
-tokens AS (SELECT DISTINCT id, unnest(regexp_extract_all({hay_sql()}, '[\\p{{L}}\\p{{N}}]+')) AS word
-           FROM posting)
-SELECT word, count(*) AS n FROM tokens JOIN vocabulary USING (word) GROUP BY word""")
+single AS (
+  SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))) AS word FROM benchmark),
+phrase AS (SELECT DISTINCT lower(regexp_extract(text, '{PHRASE}')) AS word FROM benchmark),
+hays AS (SELECT id, hay, regexp_replace('#' || hay || '#', '[^\\p{{L}}\\p{{N}} ]', '#', 'g') AS marked
+         FROM (SELECT id, {hay_sql()} AS hay FROM posting)),
+tokens AS (SELECT DISTINCT id, unnest(regexp_extract_all(hay, '[\\p{{L}}\\p{{N}}]+')) AS word FROM hays),
+found AS (
+  SELECT id, word FROM tokens JOIN single USING (word)
+  UNION ALL SELECT id, word FROM phrase JOIN hays ON word <> '' AND ({PHRASE_TEST})
+  UNION ALL {ODD_TESTS})
+SELECT word, count(*) AS n FROM found GROUP BY word""")
 def _theta_table(spark, d):
-    """Every word of the benchmark texts against every posting, counted per word."""
+    """Words and opening phrases of the benchmark texts, and words with other characters,
+    against every posting, counted per word."""
     run = F.lit(r"[\p{L}\p{N}]+")
-    words = table(spark, d, "benchmark").select(
-        F.explode(F.regexp_extract_all("text", run, F.lit(0))).alias("word"))
+    text = table(spark, d, "benchmark")
+    odd = F.array(*[F.lit(w) for w in ODD_WORDS])
+    words = text.select(F.explode(F.concat(
+        F.regexp_extract_all("text", run, F.lit(0)),
+        F.array(F.regexp_extract("text", PHRASE, 0)), odd)).alias("word"))
     return fb.theta_join_single_words(posting(spark, d), words).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
 

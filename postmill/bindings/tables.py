@@ -27,7 +27,7 @@ def posting(spark: SparkSession, d: str) -> DataFrame:
         "source",
         F.col("doc_id").cast("string").alias("external_id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        F.concat_ws("/", "source", "lang").alias("company"),
+        F.concat_ws("/", "source", "lang", (F.col("doc_id") % 97).cast("string")).alias("company"),
         F.col("lang").alias("location"),
         (F.col("lang") == "en").alias("remote"),
         F.concat(F.lit("https://example.test/"), F.col("doc_id")).alias("url"),
@@ -41,7 +41,7 @@ def posting(spark: SparkSession, d: str) -> DataFrame:
 
 POSTING_SQL = """posting AS (
   SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS external_id,
-         split_part(text, chr(10), 1) AS title, source || '/' || lang AS company,
+         split_part(text, chr(10), 1) AS title, source || '/' || lang || '/' || doc_id % 97 AS company,
          lang AS location, lang = 'en' AS remote, 'https://example.test/' || doc_id AS url,
          text AS description, [lang, source] AS tags,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(n_chars) AS last_seen_at,
@@ -68,17 +68,19 @@ APPLICATION_SQL = """application AS (
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings with the posting columns an index document carries."""
-    card = posting(spark, d).select(
-        F.col("id").alias("vacancy_id"), "source", "title", "company", "url")
+    """Index documents as the index holds them: id, board and vector.
+
+    Ids leave gaps, and the highest belong to no posting any more.
+    """
     return table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("vacancy_id"), "embedding").join(card, "vacancy_id")
+        (F.col("vec_id") * 7).alias("vacancy_id"),
+        F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("source"), "embedding")
 
 
 INDEX_SQL = """idx AS (
-  SELECT p.id AS vacancy_id, p.source, p.title, p.company, p.url,
-         CAST(e.embedding AS DOUBLE[]) AS embedding
-  FROM embeddings e JOIN posting p ON e.vec_id = p.id)"""
+  SELECT vec_id * 7 AS vacancy_id, 'src' || vec_id % 20 AS source,
+         CAST(embedding AS DOUBLE[]) AS embedding
+  FROM embeddings)"""
 
 
 def profile_vector(spark: SparkSession, d: str) -> list[float]:

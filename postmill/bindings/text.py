@@ -17,6 +17,7 @@ from ..functions.verdict import profile_query_text, scoring_prompt, writing_cont
 from ..operators.filters import filter_url_slug, posting_card
 from ..operators.knn import cosine, cosine_score
 from ..schemas import PROFILE_FILE
+from ..operators.ordered import number_rows
 from ..sources.feeds import from_payload
 from ..sources.profile import first_profile, scan_profile
 from .registry import query
@@ -351,28 +352,36 @@ def _prompt_sql(template: str, *values: str) -> str:
 DESCRIPTION_SQL = f"substring(p.description, 1, {PROMPT_DESCRIPTION_LIMIT})"
 
 
+PAIRED_SQL = """numbered AS (
+  SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM profile)"""
+PAIRS_SQL = "posting p JOIN numbered f ON p.id % f.n = f.place"
+
+
 def _pairs(spark, d):
-    """Posting n beside profile n."""
+    """Every posting beside a profile: they take the profiles in turn."""
     good, _ = profiles(spark, d)
-    return posting(spark, d).alias("p").join(good.alias("f"), F.col("p.id") == F.col("f.id")).select(
+    listed = number_rows(good.withColumn("_all", F.lit(0)), ["_all"], "id", "place").drop("_all")
+    n = good.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = posting(spark, d).withColumn("place", F.col("id") % n)
+    return rows.alias("p").join(listed.alias("f"), "place").select(
         F.col("p.id").alias("id"), F.struct("p.*").alias("posting"), F.struct("f.*").alias("profile"))
 
 
-@query("prompt_text", f"""WITH {POSTING_SQL}, {PROFILE_SQL}
+@query("prompt_text", f"""WITH {POSTING_SQL}, {PROFILE_SQL}, {PAIRED_SQL}
 SELECT p.id, md5({_prompt_sql(
     SCORING_PROMPT, 'f.summary', 'f.skills', JOBS_SQL, 'p.title', 'p.company', 'p.location',
     "CASE WHEN p.remote THEN 'True' ELSE 'False' END", DESCRIPTION_SQL)}) AS prompt_md5
-FROM posting p JOIN profile f ON p.id = f.id""")
+FROM {PAIRS_SQL}""")
 def _prompt_scoring(spark, d):
     return _pairs(spark, d).select(
         "id", F.md5(scoring_prompt(F.col("posting"), F.col("profile"))).alias("prompt_md5"))
 
 
-@query("prompt_text_writing", f"""WITH {POSTING_SQL}, {PROFILE_SQL}
+@query("prompt_text_writing", f"""WITH {POSTING_SQL}, {PROFILE_SQL}, {PAIRED_SQL}
 SELECT p.id, md5({_prompt_sql(
     WRITING_CONTEXT, 'f.full_name', 'f.email', "''", 'f.summary', 'f.skills', JOBS_SQL, 'p.title',
     'p.company', DESCRIPTION_SQL)}) AS prompt_md5
-FROM posting p JOIN profile f ON p.id = f.id""")
+FROM {PAIRS_SQL}""")
 def _prompt_writing(spark, d):
     return _pairs(spark, d).select(
         "id", F.md5(writing_context(F.col("posting"), F.col("profile"))).alias("prompt_md5"))

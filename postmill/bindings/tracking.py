@@ -8,7 +8,7 @@ from ..constants import APPLICATION_STATUSES, ARTIFACT_TYPES
 from ..operators import filters as fl
 from ..operators import tracking as tr
 from ..operators.ordered import carry_forward
-from ..sources.profile import append_resume_version, nest_children, replace_profile
+from ..sources.profile import append_resume_version, count_children, list_children, replace_profile
 from .registry import query
 from .tables import (
     APPLICATION_SQL, POSTING_SQL, RUN_AT, STATUS_LOG_SQL, application, ntz, posting, row_count,
@@ -147,12 +147,8 @@ def _artifact_summary(spark, d):
 
 
 # Events stand in for a long artifact table: one user holds many rows.
-EVENT_ARTIFACT_SQL = """parts AS (
-  SELECT user_id AS vacancy_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1) // 25
-           AS part, event_id, event_type FROM events),
-nested AS (SELECT vacancy_id, part, count(*) AS n, max(event_id) AS newest,
-                  string_agg(event_type, ',' ORDER BY event_id DESC) AS types
-           FROM parts GROUP BY ALL)"""
+NESTED_SQL = """nested AS (
+  SELECT user_id AS vacancy_id, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1)"""
 
 
 def event_artifacts(spark, d):
@@ -162,29 +158,28 @@ def event_artifacts(spark, d):
         F.col("ts").alias("created_at"))
 
 
-@query("artifacts_by_posting", f"""WITH {EVENT_ARTIFACT_SQL} SELECT vacancy_id, part, n, newest, types FROM nested""")
+@query("artifacts_by_posting", f"WITH {NESTED_SQL} SELECT vacancy_id, n, newest FROM nested")
 def _artifacts_by_posting(spark, d):
-    """Arrays of at most 25 here, so every posting comes in several parts."""
-    rows = tr.artifacts_by_posting(event_artifacts(spark, d), part_rows=25)
-    return rows.select(
-        "vacancy_id", "part", F.size("artifacts").cast("bigint").alias("n"),
-        F.col("artifacts")[0]["id"].alias("newest"),
-        F.array_join(F.transform("artifacts", lambda a: a["artifact_type"]), ",").alias("types"))
+    return tr.artifacts_by_posting(event_artifacts(spark, d)).select(
+        "vacancy_id", F.col("n_artifacts").alias("n"), F.col("newest_id").alias("newest"))
+
 
+@query("artifact_list", """SELECT user_id AS vacancy_id, event_id AS id, event_type AS artifact_type,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS position FROM events""")
+def _artifact_list(spark, d):
+    return tr.artifact_list(event_artifacts(spark, d)).select(
+        "vacancy_id", "id", "artifact_type", "position")
 
-@query("join_pipeline", f"""WITH {POSTING_SQL}, {APPLICATION_SQL}, {EVENT_ARTIFACT_SQL.replace('// 25', '// 10000')}
+
+@query("join_pipeline", f"""WITH {POSTING_SQL}, {APPLICATION_SQL}, {NESTED_SQL}
 SELECT a.vacancy_id, a.status, p.company, coalesce(n.n, 0) AS n_artifacts, n.newest
 FROM application a JOIN posting p ON p.id = a.vacancy_id LEFT JOIN nested n ON n.vacancy_id = a.vacancy_id""")
 def _join_pipeline(spark, d):
     state = application(spark, d).withColumns({
         "notes": F.lit(""), "follow_up_at": F.lit(None).cast("date"),
         "updated_at": F.lit(None).cast("timestamp")})
-    rows = tr.join_pipeline(posting(spark, d), state, event_artifacts(spark, d))
-    return rows.select(
-        "vacancy_id", "status", "company",
-        F.when(F.col("artifacts").isNull(), F.lit(0)).otherwise(F.size("artifacts"))
-        .cast("bigint").alias("n_artifacts"),
-        F.col("artifacts")[0]["id"].alias("newest"))
+    return tr.join_pipeline(posting(spark, d), state, event_artifacts(spark, d)).select(
+        "vacancy_id", "status", "company", "n_artifacts", F.col("newest_id").alias("newest"))
 
 
 ENUM_SQL = "[" + ", ".join(f"'{s}'" for s in APPLICATION_STATUSES) + "]"
@@ -293,44 +288,27 @@ def _replace_profile(spark, d):
         "id", "summary", F.size("experiences").alias("n_experiences"))
 
 
-NEST_SQL = """skills AS (
-  SELECT o_custkey AS profile_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5
-           AS part, o_orderkey, o_orderpriority FROM orders),
-jobs AS (
-  SELECT user_id AS profile_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS part,
-         event_id, event_type FROM events),
-s AS (SELECT profile_id, part, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS skills FROM skills GROUP BY ALL),
-j AS (SELECT profile_id, part, string_agg(event_type, ',' ORDER BY event_id) AS experiences FROM jobs GROUP BY ALL),
-merged AS (SELECT coalesce(s.profile_id, j.profile_id) AS profile_id, coalesce(s.part, j.part) AS part, skills, experiences
-         FROM s FULL JOIN j ON s.profile_id = j.profile_id AND s.part = j.part)"""
-
-
-def _nested(spark, d, part_rows):
-    profile = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+def _children(spark, d):
     skills = table(spark, d, "orders").select(
         F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("id"), "o_orderpriority")
     jobs = table(spark, d, "events").select(
         F.col("user_id").alias("profile_id"), F.col("event_id").alias("id"), "event_type")
-    return nest_children(profile, {
-        "skills": (skills, F.col("o_orderpriority")), "experiences": (jobs, F.col("event_type")),
-    }, part_rows=part_rows)
+    return {"skills": (skills, F.col("o_orderpriority")), "experiences": (jobs, F.col("event_type"))}
 
 
-@query("nest_profile_children", f"""WITH {NEST_SQL}
-SELECT c_custkey AS profile_id, coalesce(part, 0) AS part, coalesce(skills, '') AS skills,
-       coalesce(experiences, '') AS experiences
-FROM customer LEFT JOIN merged ON profile_id = c_custkey""")
+@query("nest_profile_children", """
+SELECT o_custkey AS profile_id, 'skills' AS child, o_orderpriority AS item,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders
+UNION ALL
+SELECT user_id, 'experiences', event_type,
+       row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 FROM events""")
 def _nest_profile_children(spark, d):
-    """Arrays of at most five here, so long child lists come in parts."""
-    return _nested(spark, d, 5).select(
-        "profile_id", "part", F.array_join("skills", ",").alias("skills"),
-        F.array_join("experiences", ",").alias("experiences"))
+    return list_children(_children(spark, d))
 
 
 @query("project_profile", """SELECT c_custkey AS profile_id, c_name,
   (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_skills,
   (SELECT count(*) FROM events WHERE user_id = c_custkey) AS n_experiences FROM customer""")
 def _project_profile(spark, d):
-    return _nested(spark, d, 10_000).select(
-        "profile_id", "c_name", F.size("skills").cast("bigint").alias("n_skills"),
-        F.size("experiences").cast("bigint").alias("n_experiences"))
+    profile = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return count_children(profile, {n: t for n, (t, _) in _children(spark, d).items()})

@@ -65,6 +65,12 @@ def word_pattern(word: str) -> str:
     return rf"(?:\A|{NOT_ALNUM}){quote(word)}(?:\z|{NOT_ALNUM})"
 
 
+#: The same test for a ``word`` column, taken literally, in a ``hay`` column.
+WHOLE_WORD_SQL = (
+    r"rlike(hay, concat(r'(?:\A|[^\p{L}\p{N}])', regexp_replace(word, r'([^\p{L}\p{N}\s])', r'\\$1'), "
+    r"r'(?:\z|[^\p{L}\p{N}])'))")
+
+
 def word_mentioned(text: Column, word: str) -> Column:
     """Whole-word test on lower-cased text; the cheap byte search runs first."""
     return F.contains(text, F.lit(word)) & text.rlike(word_pattern(word))
@@ -81,13 +87,6 @@ def word_marks(
     return F.array(*[F.when(word_mentioned(text, w), mark(w)) for w in words])
 
 
-def mentioned_words(text: Column, words: Sequence[str]) -> Column:
-    """The entries of ``words`` found in ``text``; a repeated entry counts again."""
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array_compact(word_marks(text, words))
-
-
 def clean_words(words: Sequence[str]) -> list[str]:
     """Trimmed, lower-cased, non-blank words in the given order, repeats kept."""
     return [w.strip().lower() for w in words if w.strip()]

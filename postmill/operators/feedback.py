@@ -16,9 +16,9 @@ from ..constants import (
     SENIORITY_LEVELS,
 )
 from ..functions.text import (
-    clean_words, haystack, norm_company, once, primary_seniority, word_marks, word_mentioned,
+    WHOLE_WORD_SQL, clean_words, haystack, norm_company, once, primary_seniority, strip, word_marks,
+    word_mentioned,
 )
-from ..session import fits_broadcast
 
 
 def is_negative(status: Column) -> Column:
@@ -28,16 +28,18 @@ def is_negative(status: Column) -> Column:
 def tracked_rows(posting: DataFrame, application: DataFrame, **columns: Column) -> DataFrame:
     """``posting`` ⨝ ``application`` reduced to ``negative`` and the given columns.
 
-    Large application tables force a shuffle: the columns are then computed before
-    the join, so only the small results move and never the text. A small table is
-    broadcast, and then joining first saves work on undecided postings.
+    Postings without a decision go first, then the columns are computed, then the join
+    brings in the decisions: no text of an undecided posting is searched, and none moves
+    for the sake of the decision.
     """
     decided = application.select("vacancy_id", is_negative(F.col("status")).alias("negative"))
-    on = F.col("vacancy_id") == F.col("id")
     picked = [c.alias(n) for n, c in columns.items()]
-    if fits_broadcast(decided):
-        return posting.join(decided, on).select("negative", *picked)
-    return posting.select("id", *picked).join(decided, on).select("negative", *columns)
+    return (
+        posting.join(decided.select(F.col("vacancy_id").alias("id")), "id", "left_semi")
+        .select("id", *picked)
+        .join(decided, F.col("vacancy_id") == F.col("id"))
+        .select("negative", *columns)
+    )
 
 
 def baseline_ratio(posting: DataFrame, application: DataFrame) -> DataFrame:
@@ -115,24 +117,68 @@ def seniority_feedback(posting: DataFrame, application: DataFrame) -> DataFrame:
     return category_feedback(tracked, F.col("categories"))
 
 
+def _tag(dimension: str, category: Column) -> Column:
+    return F.when(category.isNotNull(), F.struct(
+        F.lit(dimension).alias("dimension"), category.alias("category")))
+
+
+def _signal_tags(skills: Sequence[str], levels: Sequence[str]) -> list[Column]:
+    hay = F.col("hay")
+    return [
+        *[_tag("skill", F.when(word_mentioned(hay, w), F.lit(w))) for w in clean_words(skills)],
+        _tag("remote", F.when(F.col("remote"), F.lit("remote"))),
+        _tag("seniority", primary_seniority(F.col("lower_title"), levels)),
+    ]
+
+
 def all_feedback(
     posting: DataFrame, application: DataFrame, skills: Sequence[str],
     levels: Sequence[str] = SENIORITY_LEVELS,
 ) -> DataFrame:
     """The three signals from one pass: ``(dimension, category, total, negatives, delta)``."""
-    def tag(dimension: str, category: Column) -> Column:
-        return F.when(category.isNotNull(), F.struct(
-            F.lit(dimension).alias("dimension"), category.alias("category")))
-
-    hay, level = F.col("hay"), primary_seniority(F.col("lower_title"), levels)
-    tags = [tag("skill", F.when(word_mentioned(hay, w), F.lit(w))) for w in clean_words(skills)]
-    tags.append(tag("remote", F.when(F.col("remote"), F.lit("remote"))))
-    tags.append(tag("seniority", level))
-    tracked = tracked_rows(searchable(posting), application, categories=F.array(*tags))
+    tracked = tracked_rows(
+        searchable(posting), application, categories=F.array(*_signal_tags(skills, levels)))
     return category_feedback(tracked, F.col("categories")).select(
         "category.*", "total", "negatives", "delta")
 
 
+def decision_summary(
+    posting: DataFrame, application: DataFrame, skills: Sequence[str], companies: Sequence[str],
+    levels: Sequence[str] = SENIORITY_LEVELS,
+) -> tuple[dict[tuple[str, str], int], list[str]]:
+    """Signals by ``(dimension, category)`` and the excluded ones among ``companies``.
+
+    One aggregate over all decided postings counts every category that is asked about,
+    the named companies and the whole. At most one row per skill, level and company comes
+    to the driver.
+    """
+    key = norm_company(F.col("company"))
+    tags = [
+        *_signal_tags(skills, levels), _tag("all", F.lit("")),
+        _tag("company", F.when(key.isin(list(companies)) & (key != ""), key)),
+    ]
+    counted = {
+        (row.dimension, row.category): (row.total, row.negatives)
+        for row in tracked_rows(searchable(posting), application, tags=F.array(*tags))
+        .select("negative", F.explode_outer("tags").alias("tag"))
+        .filter(F.col("tag").isNotNull())
+        .groupBy("tag")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if("negative").alias("negatives"))
+        .select("tag.*", "total", "negatives").collect()
+    }
+    total, negatives = counted.pop(("all", ""), (0, 0))
+    signals, excluded = {}, []
+    for (dimension, category), (n, bad) in counted.items():
+        if dimension == "company":
+            if n == bad:
+                excluded.append(category)
+        elif n >= FEEDBACK_MIN_SAMPLES:
+            ahead = bad / n - negatives / total
+            if abs(ahead) >= FEEDBACK_MARGIN:
+                signals[dimension, category] = -FEEDBACK_DELTA if ahead > 0 else FEEDBACK_DELTA
+    return signals, excluded
+
+
 def excluded_companies(
     posting: DataFrame, application: DataFrame, only: DataFrame | None = None,
 ) -> DataFrame:
@@ -190,12 +236,16 @@ def with_adjustment(
 
 
 def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:
-    """Sum of deltas per posting from exploded ``(key, category)`` rows; no match adds 0."""
-    return (
-        categories.join(feedback.select("category", "delta"), "category", "left")
-        .groupBy(key)
-        .agg(F.sum(F.coalesce("delta", F.lit(0))).cast("int").alias("delta"))
-    )
+    """Sum of deltas per posting from exploded ``(key, category)`` rows; no match adds 0.
+
+    ``feedback`` holds the categories a caller asked about, at most one row each, and becomes
+    a constant: the exploded rows are not shuffled by their few categories.
+    """
+    deltas = {row.category: row.delta for row in feedback.select("category", "delta").collect()}
+    pairs = [F.lit(item) for pair in deltas.items() for item in pair]
+    delta = F.try_element_at(F.create_map(*pairs), F.col("category")) if pairs else F.lit(0)
+    return categories.groupBy(key).agg(
+        F.sum(F.coalesce(delta, F.lit(0))).cast("int").alias("delta"))
 
 
 def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str = ",") -> DataFrame:
@@ -206,27 +256,32 @@ def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str =
 
 
 def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str = ",") -> DataFrame:
-    """``(id, word)`` for a *table* of single words (letters and digits only) of any size.
-
-    For such a word a whole-word match is the same as equality with one run of
-    letters and digits in the text, so the theta join turns into an equi-join.
-    The text is split once per posting; only distinct ``(id, token)`` pairs move,
-    and AQE splits a token that holds many postings. Words with other characters
-    belong in ``theta_join_words``.
+    """``(id, word)`` for a *table* of words of any size and any characters.
+
+    A text can only hold a word if it holds the word's anchor: its first run of letters and
+    digits, or its first character if it has no such run. So the theta join is an equi-join of
+    anchors with the distinct runs and other characters of each text. A word that is one run
+    is found by that alone; the others are then tested as whole words in the candidates'
+    texts. Only distinct ``(id, token)`` pairs move, and AQE splits a token that holds many
+    postings.
     """
     run = r"[\p{L}\p{N}]+"
-    lowered = words.select(F.lower(F.trim("word")).alias("word"))
-    # Behind ``once``, or the test would be inferred for every token of every text.
-    vocabulary = (
-        once(lowered, "_single", F.col("word").rlike(rf"\A{run}\z"))
-        .filter("_single")
-        .select("word")
-        .distinct()
-    )
-    found = F.array_distinct(F.regexp_extract_all("hay", F.lit(run), F.lit(0)))
-    return (
-        searchable(posting, separator)
-        .select("id", F.explode_outer(found).alias("word"))
-        .join(vocabulary, "word")
-        .select("id", "word")
-    )
+    lowered = words.select(F.lower(strip(F.col("word"))).alias("word")).filter("word <> ''").distinct()
+    first = F.regexp_extract("word", run, 0)
+    # Behind ``once``, or the tests would be inferred for every token of every text.
+    vocabulary = once(
+        lowered, "_entry", F.struct(
+            F.when(first != "", first).otherwise(F.substring("word", 1, 1)).alias("anchor"),
+            F.col("word").rlike(rf"\A{run}\z").alias("single"))
+    ).select("word", "_entry.anchor", "_entry.single")
+    hay = searchable(posting, separator).select("id", "hay")
+    found = F.array_distinct(F.regexp_extract_all(
+        "hay", F.lit(rf"{run}|[^\p{{L}}\p{{N}}\s]"), F.lit(0)))
+    candidates = (
+        hay.select("id", F.explode_outer(found).alias("anchor"))
+        .join(vocabulary, "anchor").select("id", "word", "single"))
+    tested = (
+        candidates.filter(~F.col("single")).select("id", "word").join(hay, "id")
+        .filter(F.contains("hay", F.col("word")))
+        .filter(F.expr(WHOLE_WORD_SQL)))
+    return candidates.filter("single").select("id", "word").unionByName(tested.select("id", "word"))

@@ -13,6 +13,9 @@ from ..functions.values import (
     days_before, monthly_salary, salary_label, score_band,
 )
 
+#: Copies of a short list of keys, so that the rows of one large key meet it in several tasks.
+SALTS = 16
+
 
 def filter_sources(df: DataFrame, sources: Sequence[str] | None) -> DataFrame:
     """``source IN (...)``; none means all. Prunes partitions of a source-partitioned table."""
@@ -53,11 +56,18 @@ def filter_hidden(posting: DataFrame, application: DataFrame) -> DataFrame:
 
 
 def filter_excluded_company(posting: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Drop postings of excluded companies; ``excluded(company_key)`` holds normalised names."""
+    """Drop postings of excluded companies; ``excluded(company_key)`` holds normalised names.
+
+    Where Spark does not broadcast the names, each stands in ``SALTS`` partitions, so the
+    postings of one large company are not one task's work.
+    """
+    names = excluded.select("company_key").distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         posting.withColumn("company_key", norm_company(F.col("company")))
-        .join(excluded.select("company_key"), "company_key", "left_anti")
-        .drop("company_key")
+        .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(names, ["company_key", "_salt"], "left_anti")
+        .drop("company_key", "_salt")
     )
 
 
@@ -80,10 +90,11 @@ def filter_runs(runs: DataFrame, source: str | None = None, limit: int = 50) ->
     if not 1 <= limit <= 200:
         raise ValueError("limit must be between 1 and 200")
     kept = runs.filter(F.col("source") == source) if source else runs
+    newest = kept.select("id").orderBy(F.col("id").desc()).limit(limit)
     return (
-        kept.withColumn("state", run_state(F.col("finished_at"), F.col("error")))
+        kept.join(newest, "id", "left_semi")
+        .withColumn("state", run_state(F.col("finished_at"), F.col("error")))
         .orderBy(F.col("id").desc())
-        .limit(limit)
     )
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..constants import MAX_TOP_K
 from .filters import filter_sources
 
+#: Vectors per block of a search with many queries.
+BLOCK_ROWS = 4096
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays, summed in doubles."""
@@ -43,52 +46,55 @@ def _trim(rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
     return rows.take(pa.array(_best_rows(raw, ids, k), pa.int64()))
 
 
+def usable_vectors(
+    index: DataFrame, width: int, vector: str = "embedding",
+) -> tuple[DataFrame, DataFrame]:
+    """``(usable, quarantine)``: vectors of ``width`` numbers, and all others.
+
+    A null vector, another length and a null or NaN component are no vector to search.
+    """
+    good = (F.size(vector) == width) & F.forall(
+        vector, lambda v: v.isNotNull() & ~F.isnan(v))
+    good = F.coalesce(good, F.lit(False))
+    return index.filter(good), index.filter(~good)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
 def _scan_task(
-    profile_ids: Sequence[int], queries: np.ndarray, k: int, keep: Sequence[str],
+    query: np.ndarray, k: int, keep: Sequence[str],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Score Arrow batches by matrix product; a task emits ``k`` rows per query at its end."""
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    """Score Arrow batches by matrix product; a task emits ``k`` rows at its end."""
+    unit = _unit(query[None, :])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, pa.RecordBatch] = {}
+        best: pa.RecordBatch | None = None
         for batch in batches:
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype(np.float64).reshape(batch.num_rows, unit.shape[1])
-            with np.errstate(invalid="ignore"):
-                scores = (1 + vectors @ unit.T / np.linalg.norm(vectors, axis=1)[:, None]) / 2
-            for column, profile_id in enumerate(profile_ids):
-                found = _trim(pa.RecordBatch.from_arrays(
-                    [*[batch.column(name) for name in keep],
-                     pa.array(np.full(batch.num_rows, profile_id), pa.int64()),
-                     pa.array(np.ascontiguousarray(scores[:, column]))],
-                    [*keep, "profile_id", "raw"]), k)
-                if profile_id in best and found.num_rows:
-                    both = pa.Table.from_batches([best[profile_id], found]).combine_chunks()
-                    best[profile_id] = _trim(both.to_batches()[0], k)
-                elif found.num_rows:
-                    best[profile_id] = found
-        yield from best.values()
+            vectors = _matrix(batch.column("embedding"), unit.shape[1])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = (1 + vectors @ unit[0] / np.linalg.norm(vectors, axis=1)) / 2
+            found = _trim(pa.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in keep], pa.array(scores)], [*keep, "raw"]), k)
+            if best is not None:
+                both = pa.Table.from_batches([best, found]).combine_chunks()
+                found = _trim(both.to_batches()[0], k) if both.num_rows else found
+            best = found
+        if best is not None and best.num_rows:
+            yield best
 
     return scan
 
 
-def _candidates(
-    index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int,
-    sources: Sequence[str] | None,
-) -> DataFrame:
+def _check_k(k: int) -> None:
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
-    keep = [c for c in index.columns if c != "embedding"]
-    matrix = np.array([vector for _, vector in queries], dtype=np.float64)
-    types = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in keep)
-    return (
-        filter_sources(index, sources)
-        .filter(F.size("embedding") == matrix.shape[1])
-        .select(*keep, "embedding")
-        .mapInArrow(
-            _scan_task([int(pid) for pid, _ in queries], matrix, k, keep),
-            f"{types}, profile_id bigint, raw double")
-    )
 
 
 def knn_topk(
@@ -97,30 +103,67 @@ def knn_topk(
     """The ``k`` index rows nearest to one query vector, with ``raw`` score.
 
     Exact: one scan, no shuffle. Each Arrow batch is scored by one matrix product, each
-    task emits its ``k`` best rows, and those are merged to ``k``.
-    The source filter applies inside the search; everything else comes after the
-    cut. A zero vector has no direction and is never a hit.
+    task emits its ``k`` best rows, and those are merged to ``k``. Keep ``index`` narrow and
+    join titles to the hits. The source filter applies inside the search; everything else
+    comes after the cut. A zero vector has no direction and is never a hit;
+    ``usable_vectors`` tells which rows take no part.
     """
+    _check_k(k)
+    matrix = np.array(query, dtype=np.float64)
+    keep = [c for c in index.columns if c != "embedding"]
+    types = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in keep)
+    good, _ = usable_vectors(filter_sources(index, sources), len(matrix))
     return (
-        _candidates(index, [(0, query)], k, sources)
-        .drop("profile_id")
+        good.select(*keep, "embedding")
+        .mapInArrow(_scan_task(matrix, k, keep), f"{types}, raw double")
         .orderBy(F.col("raw").desc(), F.col("vacancy_id"))
         .limit(k)
     )
 
 
 def knn_topk_many(
-    index: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int,
-    sources: Sequence[str] | None = None,
+    index: DataFrame, queries: DataFrame, k: int, width: int,
+    sources: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Top ``k`` for a set of ``(profile_id, vector)`` queries in one scan.
+    """``profile_id, vacancy_id, raw, rank``: top ``k`` for every row of ``queries``.
 
-    The queries ride along as one matrix, so there is no join, and only ``k`` rows per
-    profile and task ever leave the scan, whatever the size of the index.
+    ``queries`` holds ``profile_id`` and ``embedding``; ``width`` is the length of a vector.
+    Index and queries are gathered in blocks of about ``block_rows``; each pair of blocks is
+    one row of work, solved by one matrix product, and leaves ``k`` rows per query. Neither
+    side passes through the driver or one task.
     """
+    _check_k(k)
+
+    def blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+        good, _ = usable_vectors(df, width)
+        number = max(1, -(-good.count() // block_rows))
+        block = F.pmod(F.xxhash64(key), F.lit(number)).cast("int").alias(f"{name}_block")
+        rows = F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding")))
+        return good.groupBy(block).agg(rows.alias(name)), number
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (p_ids, p), (ids, rows) = [
+                    (side.field("id").to_numpy(), _unit(_matrix(side.field("embedding"), width)))
+                    for side in (batch.column(c)[i].values for c in ("asked", "held"))]
+                raw = (1 + p @ rows.T) / 2
+                best = [_best_rows(scores, ids, k) for scores in raw]
+                if any(map(len, best)):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(p_ids, [len(b) for b in best])),
+                        pa.array(np.concatenate([ids[b] for b in best])),
+                        pa.array(np.concatenate([r[b] for r, b in zip(raw, best, strict=True)]))],
+                        ["profile_id", "vacancy_id", "raw"])
+
+    held, number = blocks(filter_sources(index, sources), "vacancy_id", "held")
+    asked, _ = blocks(queries, "profile_id", "asked")
+    pairs = asked.withColumn(
+        "held_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(held, "held_block")
     best = Window.partitionBy("profile_id").orderBy(F.col("raw").desc(), F.col("vacancy_id"))
     return (
-        _candidates(index, queries, k, sources)
+        pairs.select("asked", "held")
+        .mapInArrow(solve, "profile_id bigint, vacancy_id bigint, raw double")
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
     )

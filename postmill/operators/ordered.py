@@ -98,38 +98,20 @@ def carry_forward(
     )
 
 
-def nest_in_parts(
-    df: DataFrame, keys: Sequence[str], order: str, item: Column, name: str,
-    descending: bool = False, part_rows: int = 10_000, width: int = CHUNK_ROWS,
-) -> DataFrame:
-    """Nest the rows of a key as arrays of at most ``part_rows`` items.
-
-    A key of ordinary size gives one row with ``part`` 0; a hot key gives several,
-    so nothing is dropped and no array grows without bound.
-    """
-    numbered = number_rows(df, keys, order, "_pos", descending, width)
-    pairs = F.collect_list(F.struct(F.col("_pos"), item.alias("item")))
-    return (
-        numbered.withColumn("part", F.expr(f"_pos div {part_rows}"))
-        .groupBy(*keys, "part")
-        .agg(F.transform(F.sort_array(pairs), lambda p: p["item"]).alias(name))
-    )
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First row per key. An aggregate, so a hot key is reduced before the shuffle."""
-    return _keep(df, keys, order, F.min_by)
+    """First row per key. ``order`` is unique, so the smallest one names the row to keep."""
+    return _keep(df, keys, order, F.min)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last row per key, aggregated the same way."""
-    return _keep(df, keys, order, F.max_by)
+    """Last row per key, found the same way."""
+    return _keep(df, keys, order, F.max)
 
 
 def _keep(df: DataFrame, keys: Sequence[str], order: str, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(pick(F.struct(*rest), F.col(order)).alias("_row"))
-        .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
-    )
+    """A hash aggregate over key and order alone, then a semi-join: no sort of whole rows,
+    a hot key shrinks before its shuffle, and columns nobody asks for are not read."""
+    chosen = df.groupBy(*keys).agg(pick(order).alias(order))
+    return df.alias("_all").join(chosen.alias("_kept"), [
+        F.col(f"_all.{c}").eqNullSafe(F.col(f"_kept.{c}")) for c in keys
+    ] + [F.col(f"_all.{order}") == F.col(f"_kept.{order}")], "left_semi")

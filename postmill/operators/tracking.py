@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import APPLICATION_STATUSES, ARTIFACT_TYPES, ERROR_TEXT_LIMIT
 from ..functions.text import truncate
 from .filters import run_state, validate_enum
-from .ordered import CHUNK_ROWS, nest_in_parts, with_previous
+from .ordered import CHUNK_ROWS, number_rows, with_previous
 
 
 def status_order(status: Column) -> Column:
@@ -78,12 +78,16 @@ def artifact_summary(artifact: DataFrame) -> DataFrame:
     return artifact.select("id", "vacancy_id", "artifact_type", "created_at")
 
 
-def artifacts_by_posting(artifact: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Summaries per posting, newest first, in bounded parts."""
-    return nest_in_parts(
-        artifact_summary(artifact), ["vacancy_id"], "id",
-        F.struct("id", "artifact_type", "created_at"), "artifacts", descending=True,
-        part_rows=part_rows)
+def artifacts_by_posting(artifact: DataFrame) -> DataFrame:
+    """One row per posting: ``vacancy_id, n_artifacts, newest_id``, however many it has."""
+    return artifact.groupBy("vacancy_id").agg(
+        F.count(F.lit(1)).alias("n_artifacts"), F.max("id").alias("newest_id"))
+
+
+def artifact_list(artifact: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
+    """Summaries with their ``position`` within the posting, newest first."""
+    return number_rows(
+        artifact_summary(artifact), ["vacancy_id"], "id", descending=True, width=width)
 
 
 def join_posting_application(posting: DataFrame, application: DataFrame) -> DataFrame:
@@ -95,12 +99,16 @@ def join_posting_application(posting: DataFrame, application: DataFrame) -> Data
 
 
 def join_pipeline(posting: DataFrame, application: DataFrame, artifact: DataFrame) -> DataFrame:
-    """Tracked postings with their artifacts; applications without a posting vanish."""
+    """Tracked postings, one row each, with count and newest id of their artifacts.
+
+    Applications without a posting vanish; ``artifact_list`` holds the artifacts themselves.
+    """
     card = posting.select(F.col("id").alias("vacancy_id"), "title", "company", "url")
     state = application.select("vacancy_id", "status", "notes", "follow_up_at", "updated_at")
     return (
         state.join(card, "vacancy_id")
         .join(artifacts_by_posting(artifact), "vacancy_id", "left")
+        .withColumn("n_artifacts", F.coalesce("n_artifacts", F.lit(0)))
         .withColumn("status_order", status_order(F.col("status")))
     )
 

@@ -13,6 +13,7 @@ from ..constants import (
 )
 from ..functions.values import days_before
 from ..schemas import CONTENT, POSTING
+from .filters import SALTS
 from .ordered import number_rows
 
 KEY = ["source", "external_id"]
@@ -53,16 +54,19 @@ def join_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:
 def fold_batch(batch: DataFrame) -> DataFrame:
     """One row per key: the last version, the first ordinal and how often it occurred.
 
-    Aggregated rather than windowed, so copies of one key shrink before the shuffle.
-    ``texts_vary`` says whether title or description differ among the copies.
+    A hash aggregate over key, ordinal and a digest of the texts; a semi-join-like lookup by
+    the last ordinal then brings in the content, so copies of one key shrink before the
+    shuffle and no whole rows are sorted. ``texts_vary`` says whether title or description
+    differ among the copies.
     """
-    digest = F.md5(F.to_json(F.struct("title", "description")))
-    return batch.groupBy(*KEY).agg(
-        F.max_by(F.struct(*CONTENT), F.col("ordinal")).alias("fresh"),
-        F.min("ordinal").alias("first_ordinal"),
+    digest = F.xxhash64("title", F.lit("\u0001"), "description")
+    folded = batch.groupBy(*KEY).agg(
+        F.max("ordinal").alias("ordinal"), F.min("ordinal").alias("first_ordinal"),
         F.count(F.lit(1)).alias("copies"),
         (F.min(digest) != F.max(digest)).alias("texts_vary"),
     )
+    fresh = batch.select(*KEY, "ordinal", F.struct(*CONTENT).alias("fresh"))
+    return folded.join(fresh, [*KEY, "ordinal"]).drop("ordinal")
 
 
 def upsert_postings(
@@ -174,15 +178,19 @@ def missed_run_streak(runs: DataFrame, sightings: DataFrame) -> DataFrame:
     ``runs(source, run)`` holds successful runs only, with an integer run number;
     ``sightings(source, external_id, run)`` the postings any run returned. What a
     failed run saw does not count, nor does the run itself.
+
+    Sightings meet their run's position once; the short list of runs stands in ``SALTS``
+    copies, since the newest run of a large board holds most of the sightings.
     """
-    sightings = sightings.join(runs.select("source", "run"), ["source", "run"], "left_semi")
     numbered = number_rows(runs.select("source", "run").distinct(), ["source"], "run", "run_no")
     latest = numbered.groupBy("source").agg(F.max("run_no").alias("latest_no"))
-    last_seen = sightings.groupBy(*KEY).agg(F.max("run").alias("run"))
+    listed = numbered.join(latest, "source").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("external_id"), F.lit(SALTS)).cast("int")
     return (
-        last_seen.join(numbered, ["source", "run"])
-        .join(latest, "source")
-        .select(*KEY, (F.col("latest_no") - F.col("run_no")).alias("missed_run_count"))
+        sightings.withColumn("_salt", salt).join(listed, ["source", "run", "_salt"])
+        .groupBy(*KEY)
+        .agg((F.max("latest_no") - F.max("run_no")).alias("missed_run_count"))
     )
 
 

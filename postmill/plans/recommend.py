@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..constants import FRESH_DAYS, MAX_SHORTLIST, SENIORITY_LEVELS
+from ..constants import FRESH_DAYS, MAX_SHORTLIST, MAX_TOP_K, SENIORITY_LEVELS
 from ..functions.text import norm_company
 from ..functions.values import days_before, display_score
 from ..functions.verdict import parse_verdict
-from ..operators.feedback import (
-    all_feedback, collect_signals, excluded_companies, with_adjustment,
-)
+from ..operators.feedback import decision_summary, with_adjustment
 from ..operators.filters import not_hidden
 from ..operators.knn import knn_topk
 
@@ -31,18 +29,25 @@ class Request:
     freshness: str = "last_seen"
 
 
+def _bounded(rows: DataFrame) -> list[Row]:
+    """The rows of a hit list, at most ``MAX_TOP_K``; more than that is refused."""
+    found = rows.limit(MAX_TOP_K + 1).collect()
+    if len(found) > MAX_TOP_K:
+        raise ValueError(f"a hit list has at most {MAX_TOP_K} rows")
+    return found
+
+
 def pin_hits(hits: DataFrame) -> DataFrame:
     """Fix the at most 100 hits as constants.
 
     Only then can their ids reach the Parquet scans of the big tables as an IN
-    filter, which skips all row groups without a hit. ``k`` is checked before, so
-    the driver never sees more than that many narrow rows.
+    filter, which skips all row groups without a hit.
     """
-    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+    return hits.sparkSession.createDataFrame(_bounded(hits), hits.schema)
 
 
 def hit_ids(hits: DataFrame) -> list[int]:
-    return [row.vacancy_id for row in hits.select("vacancy_id").collect()]
+    return [row.vacancy_id for row in _bounded(hits.select("vacancy_id"))]
 
 
 def join_hits_posting(hits: DataFrame, posting: DataFrame) -> DataFrame:
@@ -69,32 +74,32 @@ def recommend(
 ) -> DataFrame:
     """kNN, then joins, four filters, feedback, clamp, re-sort and the score floor.
 
-    ``top_k`` cuts before the filters, so fewer rows may return. The feedback reads
-    the whole decision history in one aggregated pass. Two small results come to
-    the driver while the plan is built: the hits (at most ``top_k``) and the signals
-    (at most one per skill and level).
+    ``top_k`` cuts before the filters, so fewer rows may return; a hit without a posting
+    counts against it and drops out. Postings are read three times: the hits' companies,
+    one aggregate over all decisions, the result. What comes to the driver while the plan is
+    built is bounded by ``top_k``, the skills and the levels. Title, company and URL are the
+    posting's present ones, not those the index stored.
     """
     vectors = index.select("vacancy_id", "source", "embedding")
     hits = pin_hits(knn_topk(vectors, query, request.top_k, request.sources).drop("source"))
     wanted = hit_ids(hits)
     found = posting.filter(F.col("id").isin(wanted)).withColumn(
         "company_key", norm_company(F.col("company")))
+    # As few as the hits: only their companies are asked about.
+    companies = [r[0] for r in found.select("company_key").distinct().collect() if r[0]]
+    signals, excluded = decision_summary(posting, application, skills, companies, levels)
     if request.freshness == "status":
         found = found.filter(F.coalesce("status", F.lit("active")) == "active")
     else:
         found = found.filter(F.col("last_seen_at") >= days_before(request.as_of, request.fresh_days))
     state = application.filter(F.col("vacancy_id").isin(wanted)).select(
         "vacancy_id", F.col("status").alias("application_status"))
-    excluded = excluded_companies(
-        posting, application, only=posting.filter(F.col("id").isin(wanted)).select(
-            norm_company(F.col("company")).alias("company_key")))
     candidates = (
-        found.join(F.broadcast(hits), F.col("id") == F.col("vacancy_id"))
+        found.filter(F.coalesce(~F.col("company_key").isin(excluded), F.lit(True)))
+        .join(F.broadcast(hits), F.col("id") == F.col("vacancy_id"))
         .join(state, "vacancy_id", "left")
         .filter(not_hidden(F.col("application_status")))
-        .join(excluded.select("company_key"), "company_key", "left_anti")
     )
-    signals = collect_signals(all_feedback(posting, application, skills, levels))
     scored = with_adjustment(candidates, signals, skills, levels).withColumn(
         "score", display_score(F.col("raw"), F.col("adjustment")))
     return resort_stable(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_text, iso_date
-from ..operators.ordered import nest_in_parts
+from ..operators.ordered import number_rows
 from ..schemas import PROFILE, PROFILE_FILE, ddl
 
 _TEXTS = (
@@ -66,23 +69,30 @@ def first_profile(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy("id").limit(1)
 
 
-def nest_children(
-    profile: DataFrame, children: dict[str, tuple[DataFrame, Column]], part_rows: int = 10_000,
-) -> DataFrame:
-    """Profile with one array per child table, each child aggregated before the join.
+def count_children(profile: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:
+    """Profile with the number of rows of each child table, one row per profile.
+
+    Each child is aggregated before the join; joining raw children side by side would
+    multiply them.
+    """
+    rows = profile.withColumnRenamed("id", "profile_id")
+    for name, table in children.items():
+        counts = table.groupBy("profile_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        rows = rows.join(counts, "profile_id", "left").withColumn(
+            f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return rows
+
+
+def list_children(children: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """All children in order: ``profile_id, child, position, item``.
 
-    ``children`` maps a column name to ``(table with profile_id and id, item)``. Joining
-    raw children side by side would multiply them. Arrays are cut into parts of
-    ``part_rows``; part 0 always exists and is the whole list of an ordinary profile.
+    ``children`` maps a name to ``(table with profile_id and id, item)``.
     """
-    nested = None
-    for name, (table, item) in children.items():
-        one = nest_in_parts(table, ["profile_id"], "id", item, name, part_rows=part_rows)
-        nested = one if nested is None else nested.join(one, ["profile_id", "part"], "full_outer")
-    rows = profile.withColumnRenamed("id", "profile_id").join(nested, "profile_id", "left")
-    for name, (_, item) in children.items():
-        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-    return rows.withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    lists = [
+        number_rows(table, ["profile_id"], "id").select(
+            "profile_id", F.lit(name).alias("child"), "position", item.alias("item"))
+        for name, (table, item) in children.items()]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def append_resume_version(profiles: DataFrame, label: str, as_of: Column) -> DataFrame:

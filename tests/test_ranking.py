@@ -5,8 +5,10 @@ import random
 import pytest
 from helpers import NOW, application, posting, posting_row
 from postmill.operators import feedback as fb
-from postmill.operators.knn import knn_topk, knn_topk_many
-from postmill.plans.recommend import Request, recommend, rerank_with_scores, shortlist
+from postmill.operators.knn import knn_topk, knn_topk_many, usable_vectors
+from postmill.plans.recommend import (
+    Request, hit_ids, pin_hits, recommend, rerank_with_scores, shortlist,
+)
 from pyspark.sql import functions as F
 
 
@@ -66,12 +68,16 @@ def test_excluded_companies(spark):
     assert fb.excluded_companies(stored, decided, only).count() == 0
 
 
-def test_both_join_orders_agree(spark, monkeypatch):
-    rows = [(i, f"word{i % 3} text", "dismissed" if i % 2 else "saved") for i in range(12)]
+def test_one_summary_equals_the_single_signals(spark):
+    rows = [(i, f"word{i % 3} text", "dismissed" if i % 3 else "saved") for i in range(12)]
     p, a = texts(spark, rows)
-    small = sorted(fb.skill_feedback(p, a, ["word0", "word1", "text"]).collect())
-    monkeypatch.setattr(fb, "fits_broadcast", lambda df: False)
-    assert sorted(fb.skill_feedback(p, a, ["word0", "word1", "text"]).collect()) == small
+    words = ["word0", "word1", "text"]
+    signals, excluded = fb.decision_summary(p, a, words, ["acme", "other"])
+    assert signals == {("skill", c): d for c, d in deltas(fb.skill_feedback(p, a, words)).items()}
+    assert signals and excluded == []
+    only_bad = a.filter("status = 'dismissed'")
+    assert fb.decision_summary(p, only_bad, words, ["acme", ""])[1] == ["acme"]
+    assert fb.decision_summary(p, a.limit(0), words, ["acme"]) == ({}, [])
 
 
 def vectors(n=300, dims=8, seed=5):
@@ -100,13 +106,32 @@ def test_knn_is_exact(spark, sources):
     query = next(v for i, _, v in as_float if i == 0)
     got = [r.vacancy_id for r in knn_topk(index, query, 25, sources).collect()]
     assert got == brute(as_float, query, 25, sources)
-    many = knn_topk_many(index, [(1, query), (2, as_float[7][2])], 10, sources).collect()
+    asked = spark.createDataFrame(
+        [(1, query), (2, as_float[7][2]), (3, None), (4, [1.0])], "profile_id bigint, embedding array<float>")
+    many = knn_topk_many(index, asked, 10, 8, sources, block_rows=50).collect()
+    assert {r.profile_id for r in many} == {1, 2}
     for pid, vec in ((1, query), (2, as_float[7][2])):
         mine = [r.vacancy_id for r in sorted((r for r in many if r.profile_id == pid), key=lambda r: r.rank)]
         assert mine == brute(as_float, vec, 10, sources)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_odd_vectors_are_quarantined(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [])]
+    index = spark.createDataFrame(rows, "vacancy_id bigint, embedding array<float>")
+    good, bad = usable_vectors(index, 2)
+    assert [r.vacancy_id for r in good.collect()] == [1]
+    assert sorted(r.vacancy_id for r in bad.collect()) == [2, 3, 4, 5, 6]
+    assert [r.vacancy_id for r in knn_topk(index, [1.0, 0.0], 5).collect()] == [1]
+
+
+def test_hit_lists_are_bounded(spark):
+    many = spark.range(101).select(F.col("id").alias("vacancy_id"))
+    for refuse in (pin_hits, hit_ids):
+        with pytest.raises(ValueError, match="at most 100"):
+            refuse(many)
+
+
 def test_k_is_bounded(spark):
     index = spark.createDataFrame([(1, "a", [1.0])], "vacancy_id bigint, source string, embedding array<float>")
     for k in (0, 101):
@@ -178,9 +203,12 @@ def test_shortlist_and_rerank(spark):
 
 
 def test_theta_join_by_tokens_equals_literal_search(spark):
-    p, _ = texts(spark, [(1, "Go and rust, go!", None), (2, "golang RUST_c", None), (3, "ça c", None)])
-    words = ["go", "rust", "c", "absent"]
-    table = spark.createDataFrame([(w,) for w in words] + [("Go",)], "word string")
+    p, _ = texts(spark, [(1, "Go and rust, go!", None), (2, "golang RUST_c", None), (3, "ça c", None),
+                         (4, "c++ and c#, php", None), (5, "c+++ xc++ c++x", None), (6, "ci/cd (.net) a.b", None),
+                         (7, "we ++ it $1 \\\\d [x]", None)])
+    words = ["go", "rust", "c", "absent", "c++", "c#", "php", "ci/cd", ".net", "++", "and rust", "$1",
+             "\\\\d", "[x]", "a.b"]
+    table = spark.createDataFrame([(w,) for w in words] + [("Go",), ("  ",), (None,)], "word string")
     a = sorted(fb.theta_join_words(p, words).collect())
     assert a == sorted(fb.theta_join_single_words(p, table).collect()) and len(a) > 3
 

@@ -5,6 +5,7 @@ from helpers import NOW, application, posting, posting_row
 from postmill.operators import filters as fl
 from postmill.operators import metrics as mt
 from postmill.operators import tracking as tr
+from postmill.sources.profile import count_children, list_children
 from pyspark.sql import functions as F
 
 
@@ -70,11 +71,31 @@ def test_pipeline(spark):
         "notes": F.lit(""), "follow_up_at": F.lit(None).cast("date"), "updated_at": F.lit(NOW)})
     rows = {r.vacancy_id: r for r in tr.join_pipeline(stored, state, artifacts(spark, stored)).collect()}
     assert set(rows) == {1, 2}  # the orphan is gone
-    assert [a.id for a in rows[1].artifacts] == [2, 1] and rows[2].artifacts is None
+    assert (rows[1].n_artifacts, rows[1].newest_id) == (2, 2)
+    assert (rows[2].n_artifacts, rows[2].newest_id) == (0, None)
+    listed = tr.artifact_list(artifacts(spark, stored)).collect()
+    assert sorted((r.position, r.id) for r in listed if r.vacancy_id == 1) == [(0, 2), (1, 1)]
     counts = [(r.status, r.n) for r in tr.pipeline_counts(state, stored).collect()]
     assert counts == [("saved", 1), ("applied", 1), (None, 2)]
 
 
+def test_one_row_per_key_however_many_children(spark):
+    many = spark.range(10_001).select(
+        "id", F.lit(1).cast("bigint").alias("vacancy_id"), F.lit("cover_letter").alias("artifact_type"),
+        F.lit("text").alias("content"), F.lit(NOW).alias("created_at"))
+    assert tr.artifacts_by_posting(many).collect() == [(1, 10_001, 10_000)]
+    state = application(spark, (1, "applied")).withColumns({
+        "notes": F.lit(""), "follow_up_at": F.lit(None).cast("date"), "updated_at": F.lit(NOW)})
+    rows = tr.join_pipeline(posting(spark, posting_row(1)), state, many).collect()
+    assert [(r.vacancy_id, r.n_artifacts) for r in rows] == [(1, 10_001)]
+    children = many.withColumnRenamed("vacancy_id", "profile_id")
+    profile = spark.createDataFrame([(1,), (2,)], "id bigint")
+    counted = count_children(profile, {"skills": children, "jobs": children.limit(3)}).collect()
+    assert sorted(map(tuple, counted)) == [(1, 10_001, 3), (2, 0, 0)]
+    listed = list_children({"skills": (children, F.col("artifact_type"))})
+    assert listed.count() == listed.select("position").distinct().count() == 10_001
+
+
 def test_run_log(spark):
     starts = spark.createDataFrame([(1, "a", NOW), (2, "a", NOW), (3, "b", NOW)], "run_id bigint, source string, started_at timestamp")
     later = NOW + dt.timedelta(minutes=1)
