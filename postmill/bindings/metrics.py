@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DURATION_BOUNDS
 from ..operators import metrics as mt
+from ..operators.upsert import finish_run
 from ..session import shared_dir
 from ..streaming import jobs
 from .lifecycle import upsert_sql
@@ -106,16 +107,46 @@ def _queue_depth(spark, d):
 
 # --- streams over the tables as landed files --------------------------------------------------
 
-def stream_of(spark, d, name):
-    return jobs.scan_change_stream(
-        spark, d, table(spark, d, name).schema, glob=f"{name}.parquet")
+#: Files that a table lands in; one file makes one micro-batch.
+FILES = 6
 
 
-def _complete(spark, rows, name):
-    """Run an aggregated stream to its end and read the complete result."""
+def landed(spark, rows, order, late=None):
+    """``rows`` written file by file along ``order``, those marked ``late`` after all others.
+
+    The highest of the others are a file of their own: a batch drops what was late for the
+    watermark of the batch before it.
+    """
+    place = shared_dir(spark, "landing")
+    parts = rows.filter(~late) if late is not None else rows
+    at = F.col(order).cast("double")
+    cuts = parts.select(
+        F.percentile_approx(at, [i / FILES for i in range(1, FILES)]).alias("p"),
+        F.max(at).alias("top")).first()
+    last = at >= cuts.top
+    edges = [float("-inf"), *cuts.p, cuts.top]
+    files = [parts.filter((at > low) & (at <= high) & ~last) for low, high in zip(edges, edges[1:])]
+    files += [parts.filter(last)] + ([rows.filter(late)] if late is not None else [])
+    for file in files:
+        file.coalesce(1).write.mode("append").parquet(place)
+    return jobs.scan_change_stream(spark, place, rows.schema, files_per_trigger=1)
+
+
+def stream_of(spark, d, name, order):
+    return landed(spark, table(spark, d, name), order)
+
+
+def event_stream(spark, d, late=None):
+    """Events in the order of their time; the cast keeps the time as the watermark wants it."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return landed(spark, rows, "ts", late)
+
+
+def _updated(spark, rows, name, keys):
+    """Run an aggregated stream to its end and read the newest value of every group."""
     out = shared_dir(spark, name)
-    jobs.drain(jobs.write_latest(rows, out, shared_dir(spark, f"{name}-checkpoint")))
-    return jobs.read_latest(spark, out)
+    jobs.drain(jobs.write_updates(rows, out, shared_dir(spark, f"{name}-checkpoint")))
+    return jobs.read_updates(spark, out, keys)
 
 
 def _plain(rows):
@@ -124,31 +155,41 @@ def _plain(rows):
 
 @query("scan_change_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _scan_change_stream(spark, d):
-    counted = stream_of(spark, d, "events").groupBy("event_type").agg(row_count())
-    return _complete(spark, counted, "change-counts")
+    counted = event_stream(spark, d).groupBy("event_type").agg(row_count())
+    return _updated(spark, counted, "change-counts", ["event_type"])
 
 
 @query("stream_publish_rate", "SELECT window_start, event_type, n, CAST(per_second AS DOUBLE) AS per_second FROM ("
        + RATE_SQL.format(w="1 minute", labels="event_type", s=60) + ")")
 def _stream_publish_rate(spark, d):
-    rows = jobs.events_with_watermark(stream_of(spark, d, "events"), "ts", "event_id")
-    return _plain(_complete(spark, mt.rate(rows, "ts", ["event_type"]), "publish-rate"))
+    rows = jobs.events_with_watermark(event_stream(spark, d), "ts", "event_id")
+    return _plain(_updated(
+        spark, mt.rate(rows, "ts", ["event_type"]), "publish-rate", ["window_start", "event_type"]))
 
 
 @query("stream_latency_p95", LATENCY_SQL)
 def _stream_latency_p95(spark, d):
-    rows = jobs.events_with_watermark(stream_of(spark, d, "events"), "ts", "event_id")
+    rows = jobs.events_with_watermark(event_stream(spark, d), "ts", "event_id")
     result = mt.latency_quantile(rows, "ts", "value", ["event_type"])
-    return _plain(_complete(spark, result, "latency")).withColumn("quantile", F.round("quantile", 9))
+    latest = _updated(spark, result, "latency", ["window_start", "event_type"])
+    return _plain(latest).withColumn("quantile", F.round("quantile", 9))
 
 
 @query("late_data", """
-SELECT * FROM (SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, event_type, count(*) AS n
-               FROM events GROUP BY ALL)
-WHERE window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+WITH top AS (SELECT max(ts) AS top FROM events WHERE event_id % 10 <> 0),
+mark AS (SELECT max(ts) FILTER (WHERE event_id % 10 <> 0 AND ts < top) - INTERVAL 10 MINUTE AS main,
+                max(ts) - INTERVAL 10 MINUTE AS last FROM events, top)
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, event_type, count(*) AS n
+  FROM events, mark WHERE event_id % 10 <> 0 OR ts > main GROUP BY ALL)
+WHERE window_start + INTERVAL 1 MINUTE <= (SELECT last FROM mark)""")
 def _late_data(spark, d):
-    """Append mode emits a window once the watermark has passed its end."""
-    rows = jobs.events_with_watermark(stream_of(spark, d, "events"), "ts", "event_id")
+    """Every tenth event lands after all others: what the watermark has passed is dropped.
+
+    Append mode emits a window once the watermark has passed its end.
+    """
+    rows = jobs.events_with_watermark(
+        event_stream(spark, d, late=F.col("event_id") % 10 == 0), "ts", "event_id")
     out = shared_dir(spark, "closed-windows")
     jobs.drain(jobs.write_windows(
         mt.rate(rows, "ts", ["event_type"]), out, shared_dir(spark, "closed-windows-checkpoint")))
@@ -158,20 +199,29 @@ def _late_data(spark, d):
 def _indexed(spark, d, runs=1):
     """Every order number is a changed id: some have a posting, fewer have a vector.
 
-    A second run with a new checkpoint delivers everything again.
+    Half of the vectors land while the stream runs, so their postings are delivered again. A
+    second run with a new checkpoint delivers everything again.
     """
-    changes = stream_of(spark, d, "orders").select(F.col("o_orderkey").alias("vacancy_id"))
+    changes = stream_of(spark, d, "orders", "o_orderkey").select(
+        F.col("o_orderkey").alias("vacancy_id"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("vacancy_id"), "embedding")
+    loads = []
+
+    def landed_vectors():
+        loads.append(1)
+        return vectors if len(loads) > FILES // 2 else vectors.filter("vacancy_id % 2 = 0")
+
     out = shared_dir(spark, "index")
     for _ in range(runs):
         jobs.drain(jobs.stream_index(
-            changes, posting(spark, d), vectors, out, shared_dir(spark, "index-checkpoint")))
+            changes, lambda: posting(spark, d), landed_vectors, out,
+            shared_dir(spark, "index-checkpoint")))
     return jobs.latest_index(spark, out)
 
 
 INDEXED_SQL = """indexed AS (
   SELECT o_orderkey AS vacancy_id, source, d.doc_id, e.vec_id,
-         CASE WHEN d.doc_id IS NULL THEN 'not_found' WHEN e.vec_id IS NULL THEN 'failed' ELSE 'indexed' END AS status
+         CASE WHEN d.doc_id IS NULL THEN 'not_found' WHEN e.vec_id IS NULL THEN 'retrying' ELSE 'indexed' END AS status
   FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
 
@@ -209,16 +259,25 @@ def _index_postings(spark, d):
 @query("stream_upsert", f"""{upsert_sql()}
 SELECT id, source, external_id, title, salary_min, first_seen_at, last_seen_at, status, missed_run_count FROM result""")
 def _stream_upsert(spark, d):
-    """The upsert as a micro-batch: same snapshot as the batch job."""
+    """The run in several micro-batches, each on top of what the one before stored."""
     out = shared_dir(spark, "posting")
-    batch = versions_of(stream_of(spark, d, "orders")).filter(F.col("posted_at") >= ntz(RUN_START))
+    first = order_store(spark, d)
+    stored = []
+    batch = versions_of(stream_of(spark, d, "orders", "o_orderkey")).filter(
+        F.col("posted_at") >= ntz(RUN_START))
+
+    def load():
+        return spark.read.parquet(stored[-1]) if stored else first
 
     def store(rows, batch_id):
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        path = f"{out}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        stored.append(path)
 
+    highest = first.agg(F.max("id")).first()[0] or 0
     jobs.drain(jobs.stream_upsert(
-        batch, lambda: order_store(spark, d), store, ntz(RUN_AT),
-        shared_dir(spark, "posting-checkpoint"), RUN_SOURCE))
-    return jobs.read_latest(spark, out).select(
+        batch, load, store, ntz(RUN_AT), shared_dir(spark, "posting-checkpoint"),
+        F.lit(highest)))
+    return finish_run(load(), RUN_SOURCE, ntz(RUN_AT)).select(
         "id", "source", "external_id", "title", "salary_min", "first_seen_at", "last_seen_at", "status",
         "missed_run_count")

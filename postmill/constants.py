@@ -6,7 +6,6 @@ from __future__ import annotations
 APPLICATION_STATUSES = ("saved", "applied", "interviewing", "offer", "rejected", "dismissed")
 NEGATIVE_STATUSES = ("dismissed", "rejected")
 ARTIFACT_TYPES = ("cover_letter", "tailoring_suggestions")
-BOARDS = ("adzuna", "arbeitnow", "justjoinit", "dou", "djinni")
 
 # --- Fixed values: lifecycle -------------------------------------------------
 STALE_AFTER_RUNS = {"adzuna": 48, "arbeitnow": 24, "dou": 24, "justjoinit": 2, "djinni": 12}
@@ -16,7 +15,6 @@ DEFAULT_REMOVED_AFTER = 3
 FRESH_DAYS = 5
 CLEANUP_MIN_AGE_DAYS = 90
 ERROR_TEXT_LIMIT = 2000
-LOG_TEXT_LIMIT = 500
 PROMPT_DESCRIPTION_LIMIT = 3000
 
 # --- Fixed values: feedback --------------------------------------------------

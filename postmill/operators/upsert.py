@@ -71,18 +71,19 @@ def fold_batch(batch: DataFrame) -> DataFrame:
 
 def upsert_postings(
     stored: DataFrame, batch: DataFrame, as_of: Column, missing_source: str | None = None,
+    last_id: Column | None = None,
 ) -> DataFrame:
     """New snapshot of the posting table after one batch, plus the change flags.
 
     One full outer join does it all: matched rows are refreshed, batch-only rows
     inserted, stored-only rows of ``missing_source`` get one more miss, the rest
-    stays. ``batch`` needs a unique ``ordinal`` (its row order); new ids are the
-    highest stored id plus that ordinal + 1, so they rise in batch order without a
-    global sort.
-
-    Store the table bucketed by the key and the join moves only the batch.
+    stays. ``batch`` needs a unique ``ordinal`` (its row order); new ids are ``last_id``
+    plus that ordinal + 1, so they rise in batch order without a global sort. ``last_id`` is
+    the highest stored id unless a caller hands ids out otherwise: runs side by side and the
+    parts of one run must not take it from the table they all change.
     """
-    highest = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    highest = last_id if last_id is not None else stored.agg(
+        F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     joined = stored.join(fold_batch(batch), KEY, "full_outer")
     seen = F.col("copies").isNotNull()
     is_new = F.col("id").isNull()
@@ -134,6 +135,20 @@ def upsert_counts(upserted: DataFrame) -> DataFrame:
     )
 
 
+def finish_run(stored: DataFrame, source: str, as_of: Column) -> DataFrame:
+    """The table after a run of ``source`` that landed in parts: one miss for what none brought.
+
+    Every part stamped ``last_seen_at`` with the run's time, so rows of the source with an
+    earlier stamp were not in the run. Call it once, when the run has finished.
+    """
+    gone = (F.col("source") == F.lit(source)) & (F.col("last_seen_at") < as_of)
+    missed = F.coalesce("missed_run_count", F.lit(0)) + gone.cast("int")
+    return stored.withColumns({
+        "status": F.when(gone, posting_status(F.col("source"), missed)).otherwise(
+            F.coalesce("status", F.lit("active"))),
+        "missed_run_count": missed.cast("int")})
+
+
 def anti_join_missing(stored: DataFrame, source: str, seen: DataFrame) -> DataFrame:
     """Stored rows of ``source`` whose external id is not in ``seen`` (empty: all rows)."""
     return stored.filter(F.col("source") == source).join(

@@ -1,13 +1,17 @@
-"""One ingest run of one board, from fetched rows to the next posting snapshot.
+"""One ingest run of one board, from fetched rows to the board's next snapshot.
 
-Tables below ``root``: ``posting`` (one snapshot per run id), ``change`` (ids to embed),
-``run_start`` and ``run_finish``. A snapshot counts once its run has a finish row
-without an error, so a run that dies half way leaves the table as it was.
+Tables below ``root``: ``posting`` (one snapshot per source and run id), ``change`` (ids to
+embed), ``run_start`` and ``run_finish``. Boards run side by side: each reads and replaces
+its own snapshot alone. A snapshot counts once its run has a finish row without an error, and
+the run of a source that finished last counts, so a run that dies half way leaves the table
+as it was.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +19,13 @@ from pyspark.sql import functions as F
 from ..constants import ERROR_TEXT_LIMIT
 from ..operators.ordered import number_rows
 from ..operators.tracking import run_log
-from ..operators.upsert import mark_queued, snapshot, upsert_counts, upsert_postings
+from ..operators.upsert import upsert_counts, upsert_postings
 from ..schemas import POSTING, ddl
-from ..session import cut
+from ..session import cut, remove
 from ..sources.tables import append
 
+#: Ids set aside for one run.
+RUN_IDS = 1 << 32
 RUN_START = (
     "run_id bigint, source string, keywords string, location string, started_at timestamp")
 RUN_FINISH = (
@@ -45,19 +51,33 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
                    read_log(spark, root, "run_finish", RUN_FINISH))
 
 
-def current_posting(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot of the newest run that finished without an error."""
+def _snapshot_path(root: str, source: str, run_id: int) -> str:
+    return f"{root}/posting/source={quote(source, safe='')}/run_id={run_id}"
+
+
+def current_posting(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
+    """For every source, or one, the snapshot of the run that finished last without an error."""
+    starts = read_log(spark, root, "run_start", RUN_START).select("run_id", "source")
     done = read_log(spark, root, "run_finish", RUN_FINISH).filter("error is null")
-    newest = done.agg(F.max("run_id")).first()[0]
-    if newest is None:
+    newest = done.join(starts, "run_id").groupBy("source").agg(
+        F.max_by("run_id", "seq").alias("run_id"))
+    if source is not None:
+        newest = newest.filter(F.col("source") == source)
+    # One row per board.
+    paths = [_snapshot_path(root, r.source, r.run_id) for r in newest.collect()]
+    if not paths:
         return spark.createDataFrame([], ddl(POSTING))
-    return spark.read.schema(ddl(POSTING)).parquet(f"{root}/posting/run_id={newest}")
+    return spark.read.schema(ddl(POSTING)).parquet(*paths)
 
 
 def with_ordinal(batch: DataFrame) -> DataFrame:
-    """Number the rows of a fetched batch densely, in the order they were read."""
+    """Number the rows of a fetched batch densely, in the order they were read.
+
+    The batch is written once, so that its order stays; only source and position are numbered.
+    """
     frozen = cut(batch.withColumn("_read", F.monotonically_increasing_id()), "batch")
-    return number_rows(frozen, ["source"], "_read", "ordinal").drop("_read")
+    numbers = number_rows(frozen.select("source", "_read"), ["source"], "_read", "ordinal")
+    return frozen.join(numbers, ["source", "_read"]).drop("_read")
 
 
 def ingest_run(
@@ -67,7 +87,10 @@ def ingest_run(
     """Fetch, upsert, count misses, queue changed ids, store the snapshot, log the run.
 
     A failing fetch is logged and raised again; it is no evidence that postings are
-    gone, so nothing is counted as missed.
+    gone, so nothing is counted as missed. New ids start at ``run_id`` times ``RUN_IDS``, so
+    runs side by side never hand out the same ones. Only this source is read and written,
+    once each; the snapshot carries its queue stamps and counts only with the finish row,
+    which comes after the ids are queued.
     """
     started = spark.range(1).select(
         F.lit(run_id).cast("bigint").alias("run_id"), F.lit(source).alias("source"),
@@ -75,16 +98,21 @@ def ingest_run(
         as_of.cast("timestamp").alias("started_at"))
     append(started, f"{root}/run_start")
     try:
-        batch = cut(with_ordinal(fetch()), "numbered")
-        result = cut(upsert_postings(current_posting(spark, root), batch, as_of, source), "upserted")
+        batch = with_ordinal(fetch().filter(F.col("source") == source))
+        upserted = upsert_postings(
+            current_posting(spark, root, source), batch, as_of, source,
+            F.lit(run_id * RUN_IDS).cast("bigint"))
+        path = _snapshot_path(root, source, run_id)
+        stamped = F.when(F.col("to_embed"), as_of).otherwise(F.col("embedding_queued_at"))
+        upserted.withColumn("embedding_queued_at", stamped.cast("timestamp")).write.mode(
+            "overwrite").parquet(path)
+        result = spark.read.schema(upserted.schema).parquet(path)
         counts = upsert_counts(result).first().asDict()
-        changed = result.filter("to_embed").select(
-            F.col("id").alias("vacancy_id"), as_of.cast("timestamp").alias("published_at"))
-        append(changed, f"{root}/change")
-        # Only now are the ids known to be queued.
-        stamped = mark_queued(snapshot(result), changed, as_of)
-        stamped.write.mode("overwrite").parquet(f"{root}/posting/run_id={run_id}")
+        append(result.filter("to_embed").select(
+            F.col("id").alias("vacancy_id"), as_of.cast("timestamp").alias("published_at")),
+            f"{root}/change")
         counts["fetched_count"] = batch.count()
+        remove(spark, batch)
     except Exception as error:
         _finish(spark, root, run_id, as_of, {}, str(error)[:ERROR_TEXT_LIMIT])
         raise
@@ -97,7 +125,7 @@ def _finish(
     error: str | None,
 ) -> None:
     row = spark.range(1).select(
-        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(run_id).cast("bigint").alias("seq"),
+        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(time.time_ns()).cast("bigint").alias("seq"),
         as_of.cast("timestamp").alias("finished_at"),
         *[F.lit(counts.get(c)).cast("bigint").alias(c)
           for c in ("fetched_count", "new_count", "updated_count")],

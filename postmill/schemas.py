@@ -38,11 +38,6 @@ ARTIFACT = {
     "vacancy_title": "string", "vacancy_company": "string", "vacancy_url": "string",
     "created_at": "timestamp",
 }
-INGESTION_RUN = {
-    "id": "bigint", "source": "string", "keywords": "string", "location": "string",
-    "started_at": "timestamp", "finished_at": "timestamp", "fetched_count": "int",
-    "new_count": "int", "updated_count": "int", "error": "string",
-}
 
 
 def _profile(date: str) -> dict[str, str]:
@@ -61,10 +56,6 @@ def _profile(date: str) -> dict[str, str]:
 #: The profile file: dates are still ISO text.
 PROFILE_FILE = _profile("string")
 PROFILE = {"id": "bigint", **_profile("date")}
-EMBEDDING_INDEX = {
-    "vacancy_id": "bigint", "source": "string", "title": "string", "company": "string",
-    "url": "string", "embedding": "array<float>",
-}
 CHANGE = {"vacancy_id": "bigint", "published_at": "timestamp"}
 
 #: Landed payloads.
@@ -85,5 +76,3 @@ RSS_ITEM = {
     "guid": "string",
 }
 SITEMAP_ENTRY = {"loc": "string"}
-RAW_PAGE = {"url": "string", "html": "string", "status": "int", "was_redirected": "boolean"}
-RESPONSE = {"vacancy_id": "bigint", "returncode": "int", "timed_out": "boolean", "stdout": "string"}

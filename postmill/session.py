@@ -44,15 +44,14 @@ def local_session(
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder;
-    on a cluster a machine-local folder would be invisible to other executors.
+    The setting is taken at its word, a ``file:`` path as a mount that all machines share.
+    Only a local session without the setting falls back to a temporary folder; on a cluster a
+    machine-local folder would be invisible to other executors, so there it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = _local_scratch()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{(base or _local_scratch()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @lru_cache(maxsize=1)
@@ -65,3 +64,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove(spark: SparkSession, scratch: DataFrame) -> None:
+    """Delete the folders that a frame made by ``cut`` reads; nothing may read it afterwards."""
+    for folder in {file.rsplit("/", 1)[0] for file in scratch.inputFiles()}:
+        remove_dir(spark, folder)

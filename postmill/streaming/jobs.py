@@ -7,13 +7,14 @@ never succeed goes to the dead-letter output and is counted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.ordered import keep_last
 from ..operators.upsert import snapshot, upsert_counts, upsert_postings
 
 
@@ -40,8 +41,8 @@ def drain(query: StreamingQuery) -> None:
 def index_rows(changes: DataFrame, posting: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row per changed id with its index document and status.
 
-    ``indexed`` has a posting and a vector, ``not_found`` lacks the posting,
-    ``failed`` has an id that is no number or a posting without a vector.
+    ``indexed`` has a posting and a vector, ``not_found`` lacks the posting, ``failed`` has an
+    id that is no number; ``retrying`` has a posting whose vector has not landed yet.
     """
     ids = changes.select("vacancy_id").distinct()
     # Semi-joins first: a small batch of ids is broadcast and the big tables are
@@ -55,7 +56,7 @@ def index_rows(changes: DataFrame, posting: DataFrame, vectors: DataFrame) -> Da
     status = (
         F.when(F.col("vacancy_id").isNull(), F.lit("failed"))
         .when(F.col("_row").isNull(), F.lit("not_found"))
-        .when(F.col("embedding").isNull(), F.lit("failed"))
+        .when(F.col("embedding").isNull(), F.lit("retrying"))
         .otherwise(F.lit("indexed"))
     )
     return (
@@ -73,15 +74,23 @@ def index_postings(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def stream_index(
-    changes: DataFrame, posting: DataFrame, vectors: DataFrame, out: str, checkpoint: str,
+    changes: DataFrame, posting: Callable[[], DataFrame], vectors: Callable[[], DataFrame],
+    out: str, checkpoint: str,
 ) -> StreamingQuery:
     """Write index documents batch by batch, one folder per batch id.
 
-    A replayed batch overwrites its own folder, which makes the sink idempotent.
-    ``latest_index`` reads the newest document per posting.
+    ``posting`` and ``vectors`` are loaded for every batch, so rows landed meanwhile are
+    found. Ids that the batch before left ``retrying`` are delivered again with each batch,
+    until their vector lands. A replayed batch reads the same predecessor and overwrites its
+    own folder, which makes the sink idempotent. ``latest_index`` reads the newest document
+    per posting.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        index_rows(batch, posting, vectors).write.mode("overwrite").parquet(
+        ids = batch.select("vacancy_id")
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id - 1}")
+            ids = ids.unionByName(before.filter("status = 'retrying'").select("vacancy_id"))
+        index_rows(ids, posting(), vectors()).write.mode("overwrite").parquet(
             f"{out}/batch_id={batch_id}")
 
     return (
@@ -90,11 +99,13 @@ def stream_index(
     )
 
 
+def _newest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    return keep_last(spark.read.parquet(out), keys, "batch_id").drop("batch_id")
+
+
 def latest_index(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in ("vacancy_id", "batch_id")]
-    return rows.groupBy("vacancy_id").agg(
-        F.max_by(F.struct(*rest), "batch_id").alias("d")).select("vacancy_id", "d.*")
+    """Each posting's newest document; only ids and batch numbers are aggregated."""
+    return _newest(spark, out, ["vacancy_id"])
 
 
 def stream_status_counts(rows: DataFrame) -> DataFrame:
@@ -103,16 +114,18 @@ def stream_status_counts(rows: DataFrame) -> DataFrame:
 
 def stream_upsert(
     batches: DataFrame, load: Callable[[], DataFrame], store: Callable[[DataFrame, int], None],
-    as_of: Column, checkpoint: str, missing_source: str | None = None,
+    as_of: Column, checkpoint: str, last_id: Column | None = None,
     report: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Each micro-batch is one ingest run: upsert plus miss counting, one snapshot each.
+    """Upsert a run that lands in several files: each micro-batch is a part of it.
 
-    ``load`` reads the current snapshot, ``store`` writes the next one under the
-    batch id; a replay writes the same snapshot again.
+    ``load`` reads the snapshot last stored, ``store`` writes the next one under the batch id;
+    a replay writes the same snapshot again. What a part does not bring another may, so
+    nothing is counted as missed here: ``finish_run`` does that once, when the run is over.
+    ``last_id`` is the highest id before the run, the same for all of its parts.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        result = upsert_postings(load(), batch, as_of, missing_source)
+        result = upsert_postings(load(), batch, as_of, last_id=last_id)
         store(snapshot(result), batch_id)
         if report is not None:
             report(upsert_counts(result), batch_id)
@@ -134,22 +147,23 @@ def write_windows(
     )
 
 
-def write_latest(aggregated: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the complete result of an aggregation in ``out``, open windows included."""
+def write_updates(aggregated: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the groups that a batch changed under its id; a replay overwrites them.
+
+    Update mode: closed windows leave the state, and unchanged ones are not written again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        aggregated.writeStream.foreachBatch(write).outputMode("complete")
+        aggregated.writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    """The newest complete result."""
-    rows = spark.read.parquet(out)
-    newest = rows.agg(F.max("batch_id").alias("b")).scalar()
-    return rows.filter(F.col("batch_id") == newest).drop("batch_id")
+def read_updates(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest value of every group, open windows included."""
+    return _newest(spark, out, keys)
 
 
 def events_with_watermark(events: DataFrame, ts: str, event_id: str, delay: str = "10 minutes") -> DataFrame:

@@ -45,6 +45,37 @@ def test_runs_of_two_boards(spark):
     assert len(queued) == 4 and len(set(queued)) == 3
 
 
+def test_boards_side_by_side(spark, monkeypatch):
+    """Run 1 starts first and finishes last; neither board's rows nor ids are lost."""
+    root = shared_dir(spark, "store")
+    inner = []
+
+    def slow():
+        inner.append(ingest_run(
+            spark, root, 2, "dou", lambda: batch(spark, *[
+                batch_row(external_id=str(i), source="dou") for i in range(3)]).drop("ordinal"), at(1)))
+        return batch(spark, *[
+            batch_row(external_id=str(i), source="justjoinit") for i in range(4)]).drop("ordinal")
+
+    assert ingest_run(spark, root, 1, "justjoinit", slow, at(0))["new_count"] == 4
+    assert inner[0]["new_count"] == 3
+    rows = current_posting(spark, root).collect()
+    assert sorted((r.source, r.external_id) for r in rows) == [
+        *[("dou", str(i)) for i in range(3)], *[("justjoinit", str(i)) for i in range(4)]]
+    assert len({r.id for r in rows}) == 7
+    assert all(r.embedding_queued_at is not None for r in rows)
+    queued = {r.vacancy_id for r in spark.read.parquet(f"{root}/change").collect()}
+    assert queued == {r.id for r in rows}
+    files = current_posting(spark, root, "dou").inputFiles()
+    assert files and all("source=dou" in f for f in files)
+    # A later run of the same board that finishes first does not hide one that finishes after it.
+    ingest_run(spark, root, 4, "dou", lambda: batch(
+        spark, batch_row(external_id="0", source="dou", title="Four")).drop("ordinal"), at(2))
+    ingest_run(spark, root, 3, "dou", lambda: batch(
+        spark, batch_row(external_id="0", source="dou", title="Three")).drop("ordinal"), at(3))
+    assert {r.title for r in current_posting(spark, root, "dou").collect() if r.external_id == "0"} == {"Three"}
+
+
 def test_ordinals_are_dense_and_in_reading_order(spark):
     rows = batch(spark, *[batch_row(external_id=str(i)) for i in range(30)]).drop("ordinal").coalesce(1)
     got = with_ordinal(rows).select("external_id", "ordinal").collect()

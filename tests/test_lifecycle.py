@@ -154,10 +154,18 @@ def test_bucketed_store_is_not_shuffled_by_the_upsert(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     try:
-        table = spark.table("posting_v1")
-        result = up.upsert_postings(table, batch(spark, batch_row(external_id="3")), F.lit(LATER), "adzuna")
-        plan = result._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(source") == 1  # the batch aggregate only
+        fresh = batch(spark, batch_row(external_id="3"))
+
+        def plan_of(frame):
+            return frame._jdf.queryExecution().executedPlan().toString()
+
+        result = up.upsert_postings(spark.table("posting_v1"), fresh, F.lit(LATER), "adzuna")
+        plan = plan_of(result)
+        exchange = "Exchange hashpartitioning(source"
+        plain = plan_of(up.upsert_postings(stored, fresh, F.lit(LATER), "adzuna"))
+        of_the_batch = plan_of(up.fold_batch(fresh)).count(exchange) + 1
+        assert plan.count(exchange) == of_the_batch == plain.count(exchange) - 1
+        assert "SortAggregate" not in plan
         assert "SelectedBucketsCount: 4 out of 4" in plan
         assert result.count() == 50
     finally:
