@@ -68,10 +68,13 @@ JSON_LD_PATTERN = r"""(?s)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*
 # --- Fixed values: board texts and URL shapes --------------------------------
 FOOTER_MULTI = r"Find(?: more [A-Za-z]+ Speaking)? Jobs in [A-Za-z ]+ on Arbeitnow\.?"
 FOOTER_FIXED = r"Відгукнутись на вакансію\.?"
-TITLE_SEPARATOR_WORD = "в"
+TITLE_SEPARATOR = " в "
+TITLE_SEPARATOR_PATTERN = r"(?U:[\s\x{001C}-\x{001F}])+в(?U:[\s\x{001C}-\x{001F}])+"
 REMOTE_WORD = "віддалено"
-SALARY_FROM_WORD = "від"
-SALARY_TO_WORD = "до"
+SALARY_RANGE_PATTERN = r"\A\$([\d,]+)[–-]([\d,]+)\z"
+SALARY_FROM_PATTERN = r"\Aвід(?U:[\s\x{001C}-\x{001F}])+\$([\d,]+)\z"
+SALARY_TO_PATTERN = r"\Aдо(?U:[\s\x{001C}-\x{001F}])+\$([\d,]+)\z"
+SALARY_EXACT_PATTERN = r"\A\$([\d,]+)\z"
 FEED_ID_PATTERN = r"/vacancies/(\d+)/"
 LISTING_LINK_PATTERN = r'href="(/jobs/\d+-[^"]*/)"'
 LISTING_ID_PATTERN = r"/jobs/(\d+)-"

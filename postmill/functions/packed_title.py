@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import REMOTE_WORD, SALARY_FROM_WORD, SALARY_TO_WORD, TITLE_SEPARATOR_WORD, WS
+from ..constants import (
+    REMOTE_WORD, SALARY_EXACT_PATTERN, SALARY_FROM_PATTERN, SALARY_RANGE_PATTERN, SALARY_TO_PATTERN,
+    TITLE_SEPARATOR, TITLE_SEPARATOR_PATTERN,
+)
 from .text import let, strip
 
 
@@ -19,10 +22,8 @@ def parse_salary_text(segment: Column) -> Column:
     Shapes: range (either dash, swapped when reversed), open lower or upper bound,
     exact amount.
     """
-    ranged = r"\A\$([\d,]+)[–-]([\d,]+)\z"
-    low_only = rf"\A{SALARY_FROM_WORD}{WS}+\$([\d,]+)\z"
-    high_only = rf"\A{SALARY_TO_WORD}{WS}+\$([\d,]+)\z"
-    exact = r"\A\$([\d,]+)\z"
+    ranged, low_only, high_only, exact = (
+        SALARY_RANGE_PATTERN, SALARY_FROM_PATTERN, SALARY_TO_PATTERN, SALARY_EXACT_PATTERN)
     first = _amount(F.regexp_extract(segment, ranged, 1))
     second = _amount(F.regexp_extract(segment, ranged, 2))
     single = _amount(F.regexp_extract(segment, exact, 1))
@@ -67,13 +68,13 @@ def parse_packed_title(raw: Column) -> Column:
     def divide(pieces: Column) -> Column:
         head = F.array_join(
             F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
-            f" {TITLE_SEPARATOR_WORD} ")
+            TITLE_SEPARATOR)
         tail = F.filter(F.transform(F.split(F.element_at(pieces, -1), ","), strip), lambda s: s != "")
         return F.struct(
             strip(head).alias("title"),
             F.when(F.size(pieces) >= 2, tail).otherwise(F.array().cast("array<string>")).alias("tail"))
 
-    pieces = F.split(raw, rf"{WS}+{TITLE_SEPARATOR_WORD}{WS}+")
+    pieces = F.split(raw, TITLE_SEPARATOR_PATTERN)
     return let(let(pieces, divide), fields)
 
 
