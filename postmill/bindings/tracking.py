@@ -261,8 +261,7 @@ def _run_log_finish(spark, d):
 @query("filter_runs", f"""WITH {RUNS_SQL} SELECT run_id AS id, source, state FROM runs WHERE source = '2-HIGH'
 ORDER BY run_id DESC LIMIT 50""")
 def _filter_runs(spark, d):
-    runs = tr.run_log(*run_rows(spark, d)).withColumnRenamed("run_id", "id")
-    return fl.filter_runs(runs, "2-HIGH", 50).select("id", "source", "state")
+    return tr.newest_runs(*run_rows(spark, d), "2-HIGH", 50).select("id", "source", "state")
 
 
 # --- profiles --------------------------------------------------------------------------------

@@ -85,16 +85,19 @@ def run_state(finished_at: Column, error: Column) -> Column:
     )
 
 
-def filter_runs(runs: DataFrame, source: str | None = None, limit: int = 50) -> DataFrame:
-    """The newest runs; ids decide, since start times may tie."""
+def check_run_limit(limit: int) -> None:
     if not 1 <= limit <= 200:
         raise ValueError("limit must be between 1 and 200")
+
+
+def filter_runs(runs: DataFrame, source: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest runs; ids decide, since start times may tie."""
+    check_run_limit(limit)
     kept = runs.filter(F.col("source") == source) if source else runs
-    newest = kept.select("id").orderBy(F.col("id").desc()).limit(limit)
     return (
-        kept.join(newest, "id", "left_semi")
-        .withColumn("state", run_state(F.col("finished_at"), F.col("error")))
+        kept.withColumn("state", run_state(F.col("finished_at"), F.col("error")))
         .orderBy(F.col("id").desc())
+        .limit(limit)
     )
 
 

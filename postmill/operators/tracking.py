@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import APPLICATION_STATUSES, ARTIFACT_TYPES, ERROR_TEXT_LIMIT
 from ..functions.text import truncate
-from .filters import run_state, validate_enum
+from .filters import check_run_limit, run_state, validate_enum
 from .ordered import CHUNK_ROWS, number_rows, with_previous
 
 
@@ -141,6 +141,20 @@ def run_log(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     )
 
 
+def newest_runs(
+    starts: DataFrame, finishes: DataFrame, source: str | None = None, limit: int = 50,
+) -> DataFrame:
+    """``filter_runs`` straight from the logs: the newest starts first, then their finish rows.
+
+    The limit cuts the start rows, so the finish log is only looked up, never aggregated whole.
+    """
+    check_run_limit(limit)
+    kept = starts.filter(F.col("source") == source) if source else starts
+    newest = kept.orderBy(F.col("run_id").desc()).limit(limit)
+    ended = finishes.join(newest.select("run_id"), "run_id", "left_semi")
+    return run_log(newest, ended).withColumnRenamed("run_id", "id").orderBy(F.col("id").desc())
+
+
 def unknown_finishes(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     """Finish rows naming a run that never started: an error, not a run."""
     return finishes.join(starts.select("run_id"), "run_id", "left_anti")

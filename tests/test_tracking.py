@@ -109,6 +109,9 @@ def test_run_log(spark):
     named = runs.withColumnRenamed("run_id", "id")
     assert [r.id for r in fl.filter_runs(named, limit=2).collect()] == [3, 2]
     assert [r.id for r in fl.filter_runs(named, "a").collect()] == [2, 1]
+    assert [(r.id, r.state) for r in tr.newest_runs(starts, finishes, limit=2).collect()] == [
+        (3, "running"), (2, "failed")]
+    assert [r.id for r in tr.newest_runs(starts, finishes, "a").collect()] == [2, 1]
     for limit in (0, 201):
         with pytest.raises(ValueError, match="limit"):
             fl.filter_runs(named, limit=limit)
