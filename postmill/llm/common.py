@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-#: Rows of text handled at once inside a task.
+#: Rows of text handled at once inside a task, and their bytes unless one row alone has more.
 SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
 
 
 class Scratch:
@@ -44,9 +47,17 @@ def text_slices(
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Arrow batches in short slices, each with its texts as Python strings."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(start, SLICE_ROWS)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
+            zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(ends):
+            before = ends[start] - sizes[start]
+            fitting = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+            stop = min(max(fitting, start + 1), start + SLICE_ROWS)
+            part = batch.slice(start, stop - start)
             yield part, part.column(column).to_pylist()
+            start = stop
 
 
 def per_worker(state: Broadcast, key: str, build: Callable[[dict], object]):

@@ -24,7 +24,7 @@ RIDGE = 1e-3
 
 #: Classes of bytes: lower, upper, digit, blank, full stop or comma, other sentence marks,
 #: exclamation, bar, other ASCII marks, beyond ASCII.
-CLASSES = np.full(256, 8, np.int64)
+CLASSES = np.full(256, 8, np.uint8)
 for _number, _chars in enumerate((
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789",
     b" \t\r\x0b\x0c", b".,", b";:?'\"()-", b"!", b"|",
@@ -32,6 +32,8 @@ for _number, _chars in enumerate((
     CLASSES[np.frombuffer(_chars, np.uint8)] = _number
 CLASSES[128:] = 9
 KINDS = 10
+#: Bytes whose classes are counted at once.
+BLOCK_BYTES = 1 << 20
 #: Features of one line; a row of the field also holds those of both neighbours.
 WIDTH = KINDS + 9
 
@@ -47,10 +49,21 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         lines += own
         per_text.append(len(own))
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    kinds = CLASSES[np.frombuffer(b"".join(lines), np.uint8)]
-    at = np.repeat(np.arange(len(lines)) * KINDS, sizes)
-    share = np.bincount(at + kinds, minlength=len(lines) * KINDS).reshape(-1, KINDS)
-    share = share / np.maximum(sizes, 1)[:, None]
+    share = np.zeros((len(lines), KINDS))
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(lines):
+        # Some lines at a time, a long one by itself.
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + BLOCK_BYTES)))
+        if sizes[start] > BLOCK_BYTES:
+            kinds = lines[start].translate(CLASSES.tobytes())
+            share[start] = [kinds.count(k) for k in range(KINDS)]
+        else:
+            kinds = CLASSES[np.frombuffer(b"".join(lines[start:stop]), np.uint8)]
+            at = np.repeat(np.arange(stop - start) * KINDS, sizes[start:stop])
+            share[start:stop] = np.bincount(
+                at + kinds, minlength=(stop - start) * KINDS).reshape(-1, KINDS)
+        start = stop
+    share /= np.maximum(sizes, 1)[:, None]
     words, fresh, twice, marked = (np.zeros(len(lines)) for _ in range(4))
     for i, line in enumerate(lines):
         own = line.split()

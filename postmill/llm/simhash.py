@@ -34,11 +34,11 @@ def fingerprint(text: str | None, width: int) -> int:
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     counts = np.zeros(64, np.int64)
     # Eight counters to a 64-bit lane: 255 rows of bits cannot overflow a byte.
-    for start in range(0, len(bits), 255):
-        lanes = bits[start:start + 255].view(np.uint64).sum(axis=0, dtype=np.uint64)
+    for start in range(0, len(hashes), 255):
+        some = hashes[start:start + 255].view(np.uint8).reshape(-1, 8)
+        lanes = np.unpackbits(some, axis=1).view(np.uint64).sum(axis=0, dtype=np.uint64)
         counts += lanes.view(np.uint8)
     return int(np.packbits(counts * 2 > len(hashes)).view("<i8")[0])
 

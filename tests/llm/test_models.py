@@ -77,6 +77,13 @@ def test_line_features_and_neighbours():
     assert quality.line_features([])[0].shape == (0, width)
 
 
+def test_line_features_do_not_depend_on_the_blocks(monkeypatch):
+    texts = ["Ab, c|d!\n" * 5 + "é" * 40 + "\nx\n\n", "", "one line 12"]
+    whole = quality.line_features(texts)[0]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 16)
+    assert np.array_equal(quality.line_features(texts)[0], whole)
+
+
 def test_op1_on_held_out_documents(spark):
     d = SF.replace("0.001", "0.01")
     got = QUERIES["op1_quality_classifier"](spark, d)
