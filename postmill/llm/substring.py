@@ -35,10 +35,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Two independent 64-bit hashes of any run of words, from prefix sums."""
+    """Two independent 64-bit hashes of any run of words, from prefix sums.
+
+    Each rolls over its own half of the words' 128-bit hashes.
+    """
 
     def __init__(self):
-        self.words = Recent(lambda w: xxhash.xxh64_intdigest(w, 7))
+        self.words = Recent(xxhash.xxh3_128_digest)
         self.up = self.down = np.zeros((2, 0), np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -54,9 +57,9 @@ class Rolling:
     def read(self, words: list[bytes]) -> None:
         n = len(words)
         self._powers(n + 1)
-        first = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
+        halves = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u8").reshape(n, 2).T
         self.sums = np.zeros((2, n + 1), np.uint64)
-        np.cumsum(np.stack([first, _mixed(first)]) * self.up[:, :n], axis=1, out=self.sums[:, 1:])
+        np.cumsum(halves * self.up[:, :n], axis=1, out=self.sums[:, 1:])
 
     def runs(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
         """Hash ``which`` of words ``start[i]`` to ``stop[i]``; 128 bits with both."""
