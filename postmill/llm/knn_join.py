@@ -71,15 +71,15 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def bound(away: np.ndarray, high: float, rings: dict[str, np.ndarray], k: int) -> float:
-    """A distance within which each query of a block is sure to have ``k`` rows besides itself.
+def bound(away: np.ndarray, high: float, rings: dict[str, np.ndarray], rows: int) -> float:
+    """A distance within which each query of a block is sure to have ``rows`` data rows.
 
     ``away``: from the block's pivot to every pivot; ``high``: the block's farthest query from
     its own pivot. A row of a ring is never farther than the way over both pivots.
     """
     far = away[rings["pivot"]] + high + rings["high"]
     order = np.argsort(far, kind="stable")
-    enough = np.searchsorted(np.cumsum(rings["n"][order]), k + 1)
+    enough = np.searchsorted(np.cumsum(rings["n"][order]), rows)
     return float(far[order[enough]]) if enough < len(order) else float("inf")
 
 
@@ -117,10 +117,10 @@ def top_k(
        which are merged with a map-side half.
 
     Ties go to the smaller id. A query is not its own answer, and neither are rows that share
-    its id; equal vectors under other ids are. Rows that repeat an id all count. Fewer rows
-    than ``k`` give fewer answers. Null ids, null and empty vectors, vectors that hold null
-    or non-finite components, and those whose length is not the most common one take no
-    part, neither as queries nor as answers. An empty table gives an empty one; other columns
+    its id; equal vectors under other ids are. Rows that repeat an id all count, as answers
+    and as queries of their own. Fewer rows than ``k`` give fewer answers. Null ids, null and
+    empty vectors, vectors that hold null or non-finite components, and those whose length is
+    not the most common one take no part, neither as queries nor as answers. An empty table gives an empty one; other columns
     are not read.
     """
     spark = vectors.sparkSession
@@ -175,9 +175,12 @@ def top_k(
         .withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / block_rows)))
         .groupBy("query", "pivot", "ring", "part")
         .agg(F.min("far").alias("low"), F.max("far").alias("high"),
-             F.collect_list(F.struct("id", "row")).alias("rows"))
+             F.collect_list(F.struct("id", "row", "place")).alias("rows"))
         .withColumn("block", F.monotonically_increasing_id()))
     scratch.drop(placed_path)
+    # A query's bound must hold enough rows besides all those that share its id.
+    own = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    enough = k + (own.agg(F.max("n")).first()[0] or 0)
     between = distances(centres, centres)
     slack = SLACK * max(1.0, float(np.sqrt(longest)))
 
@@ -187,7 +190,7 @@ def top_k(
             for own, home, far in zip(*(batch.column(c).to_pylist() for c in (
                     "block", "pivot", "high")), strict=True):
                 away = between[home]
-                within = bound(away, far, rings, k) + slack
+                within = bound(away, far, rings, enough) + slack
                 for other in np.unique(rings["pivot"]).tolist():
                     block.append(own)
                     pivot.append(other)
@@ -214,14 +217,16 @@ def top_k(
         def answers(block: int) -> pa.RecordBatch:
             own = held.pop(block)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(len(i), q) for q, (i, _) in own]), pa.int64()),
-                 pa.array(np.concatenate([i for _, (i, _) in own]), pa.int64()),
-                 pa.array(np.concatenate([s for _, (_, s) in own]).astype(np.int64))],
-                ["query_id", "id", "score"])
+                [pa.array(np.concatenate([np.full(len(i), q) for q, _, (i, _) in own]), pa.int64()),
+                 pa.array(np.concatenate([np.full(len(i), p) for _, p, (i, _) in own]), pa.int64()),
+                 pa.array(np.concatenate([i for _, _, (i, _) in own]), pa.int64()),
+                 pa.array(np.concatenate([s for _, _, (_, s) in own]).astype(np.int64))],
+                ["query_id", "place", "id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, data = [], []
+                places = batch.column("queries")[i].values.field("place").to_pylist()
                 for side in ("queries", "rows"):
                     listed = batch.column(side)[i].values
                     ids.append(listed.field("id").to_numpy())
@@ -229,24 +234,25 @@ def top_k(
                 scores = products(*data)
                 block = batch.column("q_block")[i].as_py()
                 before = held.get(block) or [
-                    (q, (np.zeros(0, np.int64), scores[:0, 0])) for q in ids[0].tolist()]
+                    (q, p, (np.zeros(0, np.int64), scores[:0, 0]))
+                    for q, p in zip(ids[0].tolist(), places, strict=True)]
                 after = []
-                for n, (query, (old_ids, old)) in enumerate(before):
+                for n, (query, place, (old_ids, old)) in enumerate(before):
                     near = np.flatnonzero(ids[1] != query)
                     near = near[best_of(scores[n][near], ids[1][near], k)]
                     all_ids = np.concatenate([old_ids, ids[1][near]])
                     all_scores = np.concatenate([old, scores[n][near]])
                     best = best_of(all_scores, all_ids, k)
-                    after.append((query, (all_ids[best], all_scores[best])))
+                    after.append((query, place, (all_ids[best], all_scores[best])))
                 held[block] = after
                 if len(held) > HELD_BLOCKS:
                     yield answers(next(iter(held)))
         while held:
             yield answers(next(iter(held)))
 
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    best = Window.partitionBy("query_id", "place").orderBy(F.col("score").desc(), "id")
     return (
         pairs.select("q_block", "queries", "rows")
-        .mapInArrow(solve, "query_id bigint, id bigint, score bigint")
+        .mapInArrow(solve, "query_id bigint, place bigint, id bigint, score bigint")
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "id", "score"))

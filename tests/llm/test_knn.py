@@ -42,8 +42,8 @@ def test_every_answer_in_clustered_data(spark, block_rows):
 def test_blocks_out_of_reach_are_not_sent(spark):
     """Far clusters on one line: most pairs of blocks fall to the bounds."""
     rings = {"pivot": np.array([0, 1]), "n": np.array([50, 50]), "high": np.array([1.0, 1.0])}
-    assert bound(np.array([0.0, 100.0]), 1.0, rings, 10) == 2.0
-    assert bound(np.array([0.0, 100.0]), 1.0, rings, 60) == 102.0
+    assert bound(np.array([0.0, 100.0]), 1.0, rings, 11) == 2.0
+    assert bound(np.array([0.0, 100.0]), 1.0, rings, 61) == 102.0
     assert bound(np.array([0.0, 100.0]), 1.0, rings, 200) == float("inf")
 
 
@@ -57,6 +57,9 @@ def test_odd_vectors(spark):
     assert top_k(frame(spark, []), query).count() == 0
     assert top_k(frame(spark, odd[:4]), query).count() == 0
     assert top_k(frame(spark, [(1, [1.0]), (2, [2.0])]), query).count() == 0
+    again = [(0, [float(n), 1.0]) for n in range(30)] + [(n, [-5.0, n / 10]) for n in range(1, 15)]
+    want = sorted(row for n in range(30) for row in brute([again[n], *again[30:]], 10) if row[0] == 0)
+    assert found(top_k(frame(spark, again), query, block_rows=6)) == want
     zero = [(100 * n, [0.0, 0.0]) for n in range(12)]
     assert found(top_k(frame(spark, zero), query)) == brute(zero, 10)
 
