@@ -104,11 +104,12 @@ def fit(
 
     About ``sample_docs`` documents of each language are taken by the hash of their key; the
     counts of their words stay on the executors, and each round brings back one number per
-    language and piece. Rows without a language or text teach nothing; languages whose texts
-    have no letters are not learned.
+    language and piece. Rows without a language or text teach nothing; languages whose drawn
+    texts have no letters are not learned. Languages are taken to be few: one row each comes
+    to the driver.
     """
     spark = docs.sparkSession
-    labelled = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
+    labelled = docs.filter(F.col(language).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(language).count().collect()}
     pieces = letter_pieces(vocabulary)
     if not counts:
