@@ -82,7 +82,7 @@ def test_word_mentioned(values, text, word, found):
 
 def test_repeated_skill_counts_twice(values):
     words = T.clean_words([" Go ", "go", "", "Rust"])
-    assert values("string", ["go and rust"], lambda c: T.mentioned_words(c, words)) == [["go", "go", "rust"]]
+    assert values("string", ["go and rust"], lambda c: F.array_compact(T.word_marks(c, words))) == [["go", "go", "rust"]]
 
 
 def test_primary_seniority(values):
