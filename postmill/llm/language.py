@@ -27,6 +27,8 @@ PSEUDO = 0.05
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
+#: Words per generation of a worker's cache of scores.
+CACHED = 300_000
 #: Where running products are scaled up again.
 SMALL = 1e-120
 
@@ -198,7 +200,7 @@ class Scorer:
     def __init__(self, held: dict):
         self.lattice = Lattice(held["pieces"])
         self.chance = held["chance"]
-        self.words = Recent(self._word)
+        self.words = Recent(self._word, CACHED)
 
     def _word(self, word: str) -> bytes:
         if not any(map(str.isalpha, word)):
