@@ -122,7 +122,8 @@ def remove_repeated_chunks(
         .agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("ranges")))
     lines = lines_of(F.col(f"row.`{text}`"))
     return (
-        marked.join(gone, ["doc", "own"], "left")
+        # The list of ranges grows with the corpus: one plan for every size.
+        marked.join(gone.hint("merge"), ["doc", "own"], "left")
         .select(
             "row",
             F.when(F.col("ranges").isNull(), F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
