@@ -17,6 +17,8 @@ from .common import Scratch, per_worker, text_slices
 WINDOW = 50
 #: Words of an anchor.
 ANCHOR = 16
+#: Words per generation of a worker's cache of hashes.
+CACHED = 200_000
 #: Odd multipliers of the two rolling hashes over words, and the shifts and factors of the
 #: final mixing step.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -41,7 +43,7 @@ class Rolling:
     """
 
     def __init__(self):
-        self.words = Recent(xxhash.xxh3_128_digest)
+        self.words = Recent(xxhash.xxh3_128_digest, CACHED)
         self.up = self.down = np.zeros((2, 0), np.uint64)
 
     def _powers(self, n: int) -> None:
