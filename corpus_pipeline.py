@@ -49,10 +49,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the smallest id stays."""
-    spare = near_duplicates(docs, width=3, radius=2).filter("doc_id > component_id")
-    # The list of ids grows with the corpus: one plan for every size.
-    return docs.join(spare.select("doc_id").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of every group of near duplicates one row stays: the smallest id, null ids last.
+
+    Rows are judged one by one. Of rows that repeat the smallest id, or are all without one,
+    that with the smallest hash of its values stays, and of equal rows one.
+    """
+    marks = {"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)),
+             "own": F.xxhash64(*COLUMNS), "again": F.xxhash64(F.lit(1), *COLUMNS)}
+    rows = docs.select(*COLUMNS).withColumns(marks)
+    keyed = rows.select(F.struct(*marks).alias("row"), "text")
+    spare = near_duplicates(keyed, key="row", width=3, radius=2).filter("row > component_id")
+    # The list of rows grows with the corpus: one plan for every size. Equal rows meet in it.
+    return (
+        rows.join(spare.select("row.*").hint("merge"), list(marks), "left_anti")
+        .dropDuplicates(list(marks)).select(*COLUMNS))
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

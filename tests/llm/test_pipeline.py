@@ -64,6 +64,16 @@ def test_near_stage(stages):
     assert all(n == 1 for n in Counter(groups[i] for i in texts(after)).values())
 
 
+def test_near_stage_judges_rows_not_ids(spark, documents):
+    first, second, third = (" ".join(f"{w}{n}" for n in range(200)) for w in "abc")
+    rows = [(7, first, "en", "s", 1), (7, first, "en", "s", 1), (None, first, "en", "s", 1),
+            (9, first, "de", "s", 1), (9, second, "en", "s", 1), (None, third, "en", "s", 1),
+            (None, third, "en", "s", 1), (None, third, None, "s", 1)]
+    after = p.dedup_near(spark, spark.createDataFrame(rows, documents.schema), SF).collect()
+    assert {(r.doc_id, r.text) for r in after} == {(7, first), (9, second), (None, third)}
+    assert len(after) == 3 and after[0].__fields__ == COLUMNS
+
+
 def test_passage_stage(stages):
     before, after = stages["substring_dedup"]
     want = {}
