@@ -19,8 +19,6 @@ from postmill.llm.packing import pack_documents
 from postmill.llm.simhash import near_duplicates
 from postmill.llm.substring import remove_repeats
 
-#: A language less likely than this is no answer.
-LEAST_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,11 +33,14 @@ def _cleaned(kept: DataFrame, removed: Column) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go; a missing language is filled in."""
+    """Texts without letters go; a missing language is filled in, however sure the answer.
+
+    All texts go if no language was learned.
+    """
     model = language.fit(docs.filter(~held_out(F.col("doc_id"))), tokenizer("piece_bpe_32k.model"))
     named = language.predict(docs, model, keep=COLUMNS)
     return (
-        named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+        named.filter(F.col("lang_pred") != language.UNKNOWN)
         .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS))
 
 

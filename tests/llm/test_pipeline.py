@@ -47,6 +47,16 @@ def test_language_stage_rejects_only_texts_without_letters(stages):
     assert len(gone) >= 3 and all(texts(before)[i] == t for i, t in texts(after).items())
 
 
+def test_language_stage_keeps_uncertain_texts(spark, documents):
+    """Three languages taught the same: every score is near one third."""
+    taught = [(n, "the cat and the dog", lang, "s", 19) for n, lang in enumerate(["aa", "bb", "cc"] * 8)]
+    unsure = [(100, "the dog", None, "s", 7), (101, "the dog", "bb", "s", 7), (102, "12 34", "aa", "s", 5)]
+    docs = spark.createDataFrame(taught + unsure, documents.schema)
+    after = {r.doc_id: r.lang for r in p.identify_language(spark, docs, SF).collect()}
+    assert set(after) == {*range(24), 100, 101}
+    assert after[101] == "bb" and after[100] in ("aa", "bb", "cc")
+
+
 def test_line_stage(stages):
     before, after = stages["line_dedup"]
     want = {}
