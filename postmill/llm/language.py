@@ -174,17 +174,15 @@ def fit(
 
 
 def add_expected(lattice: Lattice, word: str, n: int, chance: list[float], out: np.ndarray) -> None:
-    """Add ``n`` times the expected uses of each piece in ``word``.
+    """Add ``n`` times the expected uses of each piece in ``word``, of any length.
 
-    Words of a length whose probability is not a number of ordinary size are left to
-    scoring; estimates need no such words.
+    Words whose probability is not a number of ordinary size are counted by logarithms.
     """
     size = len(word) + 1
-    if size > 40:
-        return
     edges = lattice.edges(word)
-    at, _ = lattice.forward(edges, size, chance)
-    if at[size] <= 0:
+    at, scale = lattice.forward(edges, size, chance)
+    if scale or at[size] < SMALL:
+        add_expected_logs(edges, size, n, chance, out)
         return
     to_end = [0.0] * (size + 1)
     to_end[size] = 1.0
@@ -194,6 +192,30 @@ def add_expected(lattice: Lattice, word: str, n: int, chance: list[float], out:
         out[piece] += n * at[start] * chance[piece] * to_end[end] / at[size]
 
 
+def add_logs(a: float, b: float) -> float:
+    """Logarithm of the sum of two numbers given by theirs."""
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def add_expected_logs(
+    edges: list[tuple[int, int, int]], size: int, n: int, chance: list[float], out: np.ndarray,
+) -> None:
+    """``add_expected`` with all sums kept as logarithms, which no length makes too small."""
+    edges = [(start, end, piece, math.log(chance[piece]))
+             for start, end, piece in edges if chance[piece] > 0]
+    at, to_end = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+    at[0] = to_end[size] = 0.0
+    for start, end, _, log in edges:
+        at[end] = add_logs(at[end], at[start] + log)
+    if at[size] == -math.inf:
+        return
+    for start, end, _, log in sorted(edges, key=lambda e: -e[0]):
+        to_end[start] = add_logs(to_end[start], log + to_end[end])
+    for start, end, piece, log in edges:
+        out[piece] += n * math.exp(at[start] + log + to_end[end] - at[size])
+
+
 class Scorer:
     """Log probabilities of words in every language, kept per worker."""
 

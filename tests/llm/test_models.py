@@ -141,6 +141,32 @@ def test_expected_counts_add_up():
     assert characters == pytest.approx(3 * 5)
 
 
+def test_expected_counts_of_long_words():
+    names = sorted({language.START, "a", "b", "ab"})
+    lattice = language.Lattice(names)
+    for chance in (0.2, 1e-6):
+        for word in ("ab" * 30, "ab" * 4000, "axb" * 500):
+            out = np.zeros(len(names) + 1)
+            language.add_expected(lattice, word, 2, [chance] * len(out), out)
+            characters = sum(len(p) * n for p, n in zip(names, out, strict=False)) + out[-1]
+            assert characters == pytest.approx(2 * (len(word) + 1))
+    short, by_logs = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    language.add_expected(lattice, "abab", 3, [0.2] * len(short), short)
+    language.add_expected_logs(lattice.edges("abab"), 5, 3, [0.2] * len(short), by_logs)
+    assert by_logs == pytest.approx(short)
+
+
+def test_languages_of_long_runs_are_learned(spark):
+    """Texts without blanks: every run of letters is longer than forty."""
+    thick = "derhundunddiekatze" * 5
+    taught = spark.createDataFrame(
+        [(1, "the cat and the dog", "en"), (2, thick, "de")], "doc_id long, text string, lang string")
+    model = language.fit(taught, VOCABULARY)
+    assert model.languages == ["de", "en"]
+    rows = language.predict(taught, model).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {1: "en", 2: "de"}
+
+
 def test_op7_on_held_out_documents(spark):
     d = SF.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
