@@ -15,8 +15,6 @@ from .common import Scratch, text_slices
 
 #: Pieces packed together in one group; a group wastes part of one sequence at most.
 GROUP_PIECES = 16_384
-#: Passes of the local search over the underfull bins of a group, if it gains that long.
-PASSES = 8
 #: Id set after every document.
 END_ID = 0
 
@@ -100,15 +98,19 @@ class _Underfull:
                         back.append(self.lengths[first] + self.lengths[second])
                         taken.append((first, second))
         self.owner, self.back = np.array(owner), np.array(back)
+        self.items = np.array([len(t) for t in taken])
         self.taken = taken
 
-    def _best(self, low: int, given: int) -> int:
-        """The exchange of ``given`` tokens of bin ``low`` that lifts squared fill the most."""
+    def _best(self, low: int, given: int, most: int) -> int:
+        """The exchange of ``given`` tokens of bin ``low`` that lifts squared fill the most.
+
+        At most ``most`` items come back.
+        """
         gain = given - self.back
         fill = self.fill[self.owner]
         # Squared fill grows by 2 * gain * (fill + gain - fill of low) for each exchange.
         lift = gain * (fill + gain - self.fill[low])
-        lift[(gain <= 0) | (fill + gain > self.size) | (self.owner == low)] = 0
+        lift[(gain <= 0) | (fill + gain > self.size) | (self.owner == low) | (self.items > most)] = 0
         best = int(lift.argmax()) if len(lift) else -1
         return best if best >= 0 and lift[best] > 0 else -1
 
@@ -121,9 +123,9 @@ class _Underfull:
                 (i, j) for x, i in enumerate(items) for j in items[x + 1:]]
             for offer in sorted(offers, key=lambda o: -sum(self.lengths[i] for i in o)):
                 given = sum(self.lengths[i] for i in offer)
-                at = self._best(low, given)
                 # One for one, two for one, one for two, or a move of either.
-                if at >= 0 and len(offer) + len(self.taken[at]) < 4:
+                at = self._best(low, given, 3 - len(offer))
+                if at >= 0:
                     break
             else:
                 return moved
@@ -137,31 +139,30 @@ class _Underfull:
         return moved
 
 
-def pack(lengths: np.ndarray, size: int, passes: int = PASSES) -> list[list[int]]:
+def pack(lengths: np.ndarray, size: int) -> list[list[int]]:
     """Bins of item numbers, none above ``size``: best fit, then local search.
 
     The search takes the underfull bins from the emptiest up and exchanges one or two of a
-    bin's items for none, one or two of a fuller bin's, as long as the sum of squared fills
-    grows; a bin left empty is gone. Every step raises that sum, so it ends; ``passes``
-    bounds its effort, never what is packed.
+    bin's items for none, one or two of a fuller bin's, three items in all at most, until no
+    such exchange raises the sum of squared fills; a bin left empty is gone. Every step raises
+    that sum, which is bounded, so it ends.
     """
     bins = best_fit(lengths, size)
     fill = [int(lengths[b].sum()) for b in bins]
     full = [b for b, f in zip(bins, fill, strict=True) if f == size]
     search = _Underfull([b for b, f in zip(bins, fill, strict=True) if f < size], lengths, size)
-    for _ in range(passes):
+    moved = True
+    while moved:
         moved = False
         for low in np.argsort(search.fill, kind="stable").tolist():
             if search.bins[low]:
                 moved |= search.improve(low)
-        if not moved:
-            break
     return full + [b for b in search.bins if b]
 
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, size: int = 2048, key: str = "doc_id", text: str = "text",
-    group_pieces: int = GROUP_PIECES, passes: int = PASSES,
+    group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
@@ -191,7 +192,7 @@ def pack_documents(
         order = np.argsort(table.column("row").to_numpy(), kind="stable")
         sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         first = int(table.column("bucket")[0].as_py()) << 32
-        for n, items in enumerate(pack(lengths[order], size, passes)):
+        for n, items in enumerate(pack(lengths[order], size)):
             own = order[items]
             sequence[own] = first + n
             offset[own] = np.cumsum(lengths[own]) - lengths[own]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -138,6 +139,25 @@ def test_local_search_never_loses_an_item_and_helps():
     assert pack(np.zeros(0, int), 10) == []
 
 
+def allowed_exchanges(left, right):
+    """Fills moved from ``left`` to ``right`` by exchanges of at most three items."""
+    sides = [[(sum(c), len(c)) for n in (0, 1, 2) for c in itertools.combinations(b, n)]
+             for b in (left, right)]
+    return {given - back for given, m in sides[0] for back, n in sides[1] if m and m + n <= 3}
+
+
+@pytest.mark.parametrize(("size", "lengths"), [
+    (118, [41, 46, 22, 26, 19, 29, 16, 43, 21, 13]),
+    (83, [27, 29, 13, 11, 15, 33, 26, 12, 22, 9, 20, 30, 15, 15]),
+    (102, [21, 24, 25, 37, 18, 21, 27, 23, 46, 28, 23, 18])])
+def test_local_search_ends_where_no_exchange_helps(size, lengths):
+    bins = [[lengths[i] for i in b] for b in pack(np.array(lengths), size)]
+    for low, other in itertools.permutations(bins, 2):
+        a, b = sum(low), sum(other)
+        assert not [g for g in allowed_exchanges(low, other)
+                    if 0 < g <= size - b and (a - g) ** 2 + (b + g) ** 2 > a * a + b * b]
+
+
 # --- token counts ----------------------------------------------------------------
 
 def test_rules_for_crossing_tokens():
