@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, quality
 from .bpe import encode_texts
-from .common import held_out
+from .common import Scratch, held_out
 from .exact_dedup import exact_duplicates
+from .fill_middle import fill_in_middle, restored
 from .knn_join import top_k
 from .line_chunks import remove_repeated_chunks
 from .packing import pack_documents
+from .piece_bpe import encode_pieces
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .token_counts import section_tokens
+from .vector_codes import encode_vectors, train_codebooks, with_total
 
 QUERIES = {}
 ORACLES = {}
@@ -150,3 +155,100 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_sentencepiece_codec")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encode_pieces(docs, tokenizer("piece_bpe_32k.model")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_fill_in_middle", r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS d,
+         regexp_extract_all(coalesce(text, ''),
+           '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+  FROM documents),
+h AS (
+  SELECT *, len(tokens) AS n, CAST('0x' || d[1:8] AS BIGINT) % (len(tokens) + 1) AS a,
+         CAST('0x' || d[9:16] AS BIGINT) % (len(tokens) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (
+  SELECT *, array_to_string(tokens[1:least(a, b)], '') AS prefix,
+         array_to_string(tokens[least(a, b) + 1:greatest(a, b)], '') AS middle,
+         array_to_string(tokens[greatest(a, b) + 1:], '') AS suffix
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), seed=42).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Every round as two more tables: the nearest entries, then the moved ones."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, p, min({{'away': CAST(list_dot_product(s, s) - 2 * list_dot_product(s, c)
+           + list_dot_product(c, c) AS BIGINT), 'k': k}}) AS m
+  FROM part JOIN k{i} USING (p) GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""
+u{i} AS (
+  SELECT p, k, j, CAST(sum(v) AS BIGINT) AS total, count(*) AS n
+  FROM (SELECT vec_id, p, m.k AS k, unnest(s) AS v, generate_subscripts(s, 1) AS j
+        FROM part JOIN a{i} USING (vec_id, p)) GROUP BY p, k, j),
+k{i + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(moved, c) AS c FROM k{i} LEFT JOIN (
+    SELECT p, k, list(CAST((total - ((total % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS moved
+    FROM u{i} GROUP BY p, k) USING (p, k))""")
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS MATERIALIZED (
+  SELECT vec_id, CAST(p AS INTEGER) AS p, e[p * len(e) // 4 + 1:(p + 1) * len(e) // 4] AS s
+  FROM x, range(4) AS r(p)),
+k0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, s AS c
+  FROM part WHERE vec_id IN (SELECT vec_id FROM x ORDER BY vec_id LIMIT 256)),{",".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.k), '' ORDER BY p) AS code,
+         CAST(sum(m.away) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+book AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, j)) AS codebooks_sha256
+  FROM (SELECT p, k, unnest(c) AS v, generate_subscripts(c, 1) AS j FROM k{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       codebooks_sha256
+FROM coded JOIN x USING (vec_id), book
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = train_codebooks(vectors, parts=4, entries=256, rounds=4, scale=1024)
+    listed = ",".join(map(str, books.listed()))
+    coded, _ = Scratch(spark, "codes").cut(encode_vectors(vectors, books, keep=["label"]))
+    return with_total(coded, of="error", by="label", name="label_error", key="vec_id").select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256"))
