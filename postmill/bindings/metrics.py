@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DURATION_BOUNDS
 from ..operators import metrics as mt
-from ..operators.upsert import finish_run
+from ..operators.upsert import upsert_folded
 from ..session import shared_dir
 from ..streaming import jobs
 from .lifecycle import upsert_sql
@@ -107,29 +107,45 @@ def _queue_depth(spark, d):
 
 # --- streams over the tables as landed files --------------------------------------------------
 
-#: Files that a table lands in; one file makes one micro-batch.
+#: Files that a table lands in at least, and rows of one; a file makes a micro-batch.
 FILES = 6
+FILE_ROWS = 2_000_000
 
 
 def landed(spark, rows, order, late=None):
-    """``rows`` written file by file along ``order``, those marked ``late`` after all others.
+    """``rows`` as files in the order of ``order``, those marked ``late`` after all others.
 
-    The highest of the others are a file of their own: a batch drops what was late for the
-    watermark of the batch before it.
+    One parallel write, a task per file; the number of files follows the number of rows. Rows
+    without an order come first, in a file of their own. The highest of the others are a file
+    of their own as well: a batch drops what was late for the watermark of the batch before it.
     """
     place = shared_dir(spark, "landing")
-    parts = rows.filter(~late) if late is not None else rows
     at = F.col(order).cast("double")
-    cuts = parts.select(
-        F.percentile_approx(at, [i / FILES for i in range(1, FILES)]).alias("p"),
+    held_back = F.coalesce(late, F.lit(False)) if late is not None else F.lit(False)
+    seen = rows.filter(~held_back)
+    files = max(FILES, -(-seen.count() // FILE_ROWS))
+    cuts = seen.select(
+        F.percentile_approx(at, [i / files for i in range(1, files)]).alias("p"),
         F.max(at).alias("top")).first()
-    last = at >= cuts.top
-    edges = [float("-inf"), *cuts.p, cuts.top]
-    files = [parts.filter((at > low) & (at <= high) & ~last) for low, high in zip(edges, edges[1:])]
-    files += [parts.filter(last)] + ([rows.filter(late)] if late is not None else [])
-    for file in files:
-        file.coalesce(1).write.mode("append").parquet(place)
-    return jobs.scan_change_stream(spark, place, rows.schema, files_per_trigger=1)
+    edges = F.array(*[F.lit(float(p)) for p in cuts.p or []])
+    part = (
+        F.when(held_back, files + 2).when(at.isNull(), 0).when(at >= cuts.top, files + 1)
+        .otherwise(1 + F.size(F.filter(edges, lambda e: e < at))))
+    rows.withColumn("_part", part).repartitionByRange(files + 3, "_part").write.partitionBy(
+        "_part").parquet(f"{place}/_parts")
+    # The source reads files by age: one listing gives them their names and times.
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{place}/_parts")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(f"{place}/files"))
+    names = [s.getPath() for s in fs.listStatus(folder) if "=" in s.getPath().getName()]
+    for path in sorted(names, key=lambda p: int(p.getName().split("=")[1])):
+        number = int(path.getName().split("=")[1])
+        for i, file in enumerate(s.getPath() for s in fs.listStatus(path)):
+            target = hadoop.Path(f"{place}/files/{number:06d}-{i:03d}.parquet")
+            fs.rename(file, target)
+            fs.setTimes(target, 1_000_000_000_000 + 1000 * number, -1)
+    return jobs.scan_change_stream(spark, f"{place}/files", rows.schema, files_per_trigger=1)
 
 
 def stream_of(spark, d, name, order):
@@ -196,15 +212,17 @@ def _late_data(spark, d):
     return _plain(spark.read.parquet(out)).select("window_start", "event_type", "n")
 
 
-def _indexed(spark, d, runs=1):
-    """Every order number is a changed id: some have a posting, fewer have a vector.
-
-    Half of the vectors land while the stream runs, so their postings are delivered again. A
-    second run with a new checkpoint delivers everything again.
-    """
+def _changed(spark, d):
+    """Every order number is a changed id: some have a posting, fewer have a vector."""
     changes = stream_of(spark, d, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("vacancy_id"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("vacancy_id"), "embedding")
+    return changes, vectors
+
+
+def _indexed(spark, d):
+    """Half of the vectors land while the stream runs, so their postings are delivered again."""
+    changes, vectors = _changed(spark, d)
     loads = []
 
     def landed_vectors():
@@ -212,10 +230,40 @@ def _indexed(spark, d, runs=1):
         return vectors if len(loads) > FILES // 2 else vectors.filter("vacancy_id % 2 = 0")
 
     out = shared_dir(spark, "index")
-    for _ in range(runs):
-        jobs.drain(jobs.stream_index(
-            changes, lambda: posting(spark, d), landed_vectors, out,
-            shared_dir(spark, "index-checkpoint")))
+    jobs.drain(jobs.stream_index(
+        changes, lambda: posting(spark, d), landed_vectors, out, shared_dir(spark, "index-checkpoint")))
+    return jobs.latest_index(spark, out)
+
+
+def _delivered(spark, d):
+    """The odd vectors land after the last change: timers alone bring their postings again."""
+    changes, vectors = _changed(spark, d)
+    out, state = shared_dir(spark, "index"), {"late": False, "quiet": 0}
+
+    def landed_vectors():
+        return vectors if state["late"] else vectors.filter("vacancy_id % 2 = 0")
+
+    def report(batch_id, ids):
+        state["quiet"] = state["quiet"] + 1 if ids.isEmpty() else 0
+
+    query = jobs.stream_delivery(
+        changes, lambda: posting(spark, d), landed_vectors, out,
+        shared_dir(spark, "index-checkpoint"), pause_seconds=1.0, every="0 seconds", report=report)
+    index = jobs.index_table(spark, out)
+
+    def read():
+        """All changes were read: the last progress had none and the index holds some."""
+        last = query.lastProgress
+        return last is not None and last.batchId > FILES and not last.sources[0].numInputRows
+
+    def finished():
+        if not state["late"]:
+            state["late"] = read()
+            return False
+        held = jobs.waiting_ids(index).join(vectors, "vacancy_id", "left_semi")
+        return held.isEmpty()
+
+    jobs.stop_when(query, finished, 600)
     return jobs.latest_index(spark, out)
 
 
@@ -237,8 +285,8 @@ def _stream_status_counts(spark, d):
 
 @query("stream_delivery", f"WITH {INDEXED_SQL} SELECT vacancy_id, status FROM indexed WHERE status <> 'indexed'")
 def _stream_delivery(spark, d):
-    """The dead letters after everything was delivered twice."""
-    return _indexed(spark, d, runs=2).filter("status <> 'indexed'").select("vacancy_id", "status")
+    """The dead letters, and what still waits, once all vectors have landed."""
+    return _delivered(spark, d).filter("status <> 'indexed'").select("vacancy_id", "status")
 
 
 @query("index_postings", """
@@ -259,25 +307,12 @@ def _index_postings(spark, d):
 @query("stream_upsert", f"""{upsert_sql()}
 SELECT id, source, external_id, title, salary_min, first_seen_at, last_seen_at, status, missed_run_count FROM result""")
 def _stream_upsert(spark, d):
-    """The run in several micro-batches, each on top of what the one before stored."""
+    """The run in several micro-batches: a state per posting folds it, one join stores it."""
     out = shared_dir(spark, "posting")
-    first = order_store(spark, d)
-    stored = []
     batch = versions_of(stream_of(spark, d, "orders", "o_orderkey")).filter(
         F.col("posted_at") >= ntz(RUN_START))
-
-    def load():
-        return spark.read.parquet(stored[-1]) if stored else first
-
-    def store(rows, batch_id):
-        path = f"{out}/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        stored.append(path)
-
-    highest = first.agg(F.max("id")).first()[0] or 0
-    jobs.drain(jobs.stream_upsert(
-        batch, load, store, ntz(RUN_AT), shared_dir(spark, "posting-checkpoint"),
-        F.lit(highest)))
-    return finish_run(load(), RUN_SOURCE, ntz(RUN_AT)).select(
+    jobs.drain(jobs.stream_fold(batch, out, shared_dir(spark, "posting-checkpoint")))
+    return upsert_folded(
+        order_store(spark, d), jobs.fold_of_run(spark, out), ntz(RUN_AT), RUN_SOURCE).select(
         "id", "source", "external_id", "title", "salary_min", "first_seen_at", "last_seen_at", "status",
         "missed_run_count")

@@ -99,12 +99,16 @@ def carry_forward(
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First row per key. ``order`` is unique, so the smallest one names the row to keep."""
+    """First row per key. ``order`` is unique, so the smallest one names the row to keep.
+
+    A row without an order counts only where its key has no other: a key is never lost. Rows
+    that share key and order, or are all without one, stay together.
+    """
     return _keep(df, keys, order, F.min)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last row per key, found the same way."""
+    """Last row per key, found the same way, nulls and ties alike."""
     return _keep(df, keys, order, F.max)
 
 
@@ -113,5 +117,4 @@ def _keep(df: DataFrame, keys: Sequence[str], order: str, pick) -> DataFrame:
     a hot key shrinks before its shuffle, and columns nobody asks for are not read."""
     chosen = df.groupBy(*keys).agg(pick(order).alias(order))
     return df.alias("_all").join(chosen.alias("_kept"), [
-        F.col(f"_all.{c}").eqNullSafe(F.col(f"_kept.{c}")) for c in keys
-    ] + [F.col(f"_all.{order}") == F.col(f"_kept.{order}")], "left_semi")
+        F.col(f"_all.{c}").eqNullSafe(F.col(f"_kept.{c}")) for c in (*keys, order)], "left_semi")

@@ -75,16 +75,27 @@ def upsert_postings(
 ) -> DataFrame:
     """New snapshot of the posting table after one batch, plus the change flags.
 
+    ``batch`` is folded to one row per key first (``fold_batch``), then joined (``upsert_folded``).
+    """
+    return upsert_folded(stored, fold_batch(batch), as_of, missing_source, last_id)
+
+
+def upsert_folded(
+    stored: DataFrame, folded: DataFrame, as_of: Column, missing_source: str | None = None,
+    last_id: Column | None = None,
+) -> DataFrame:
+    """``upsert_postings`` for a batch that is folded already.
+
     One full outer join does it all: matched rows are refreshed, batch-only rows
     inserted, stored-only rows of ``missing_source`` get one more miss, the rest
-    stays. ``batch`` needs a unique ``ordinal`` (its row order); new ids are ``last_id``
+    stays. The batch needs a unique ``ordinal`` (its row order); new ids are ``last_id``
     plus that ordinal + 1, so they rise in batch order without a global sort. ``last_id`` is
     the highest stored id unless a caller hands ids out otherwise: runs side by side and the
     parts of one run must not take it from the table they all change.
     """
     highest = last_id if last_id is not None else stored.agg(
         F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    joined = stored.join(fold_batch(batch), KEY, "full_outer")
+    joined = stored.join(folded, KEY, "full_outer")
     seen = F.col("copies").isNotNull()
     is_new = F.col("id").isNull()
     gone = (~seen) & (F.col("source") == F.lit(missing_source)) if missing_source else F.lit(False)
@@ -139,9 +150,9 @@ def finish_run(stored: DataFrame, source: str, as_of: Column) -> DataFrame:
     """The table after a run of ``source`` that landed in parts: one miss for what none brought.
 
     Every part stamped ``last_seen_at`` with the run's time, so rows of the source with an
-    earlier stamp were not in the run. Call it once, when the run has finished.
+    earlier stamp, or none, were not in the run. Call it once, when the run has finished.
     """
-    gone = (F.col("source") == F.lit(source)) & (F.col("last_seen_at") < as_of)
+    gone = (F.col("source") == F.lit(source)) & F.coalesce(F.col("last_seen_at") < as_of, F.lit(True))
     missed = F.coalesce("missed_run_count", F.lit(0)) + gone.cast("int")
     return stored.withColumns({
         "status": F.when(gone, posting_status(F.col("source"), missed)).otherwise(

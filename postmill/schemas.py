@@ -56,6 +56,11 @@ def _profile(date: str) -> dict[str, str]:
 #: The profile file: dates are still ISO text.
 PROFILE_FILE = _profile("string")
 PROFILE = {"id": "bigint", **_profile("date")}
+#: One row of the stored index.
+INDEX = {
+    "vacancy_id": "bigint", "source": "string", "title": "string", "company": "string",
+    "url": "string", "embedding": "array<float>", "status": "string",
+}
 CHANGE = {"vacancy_id": "bigint", "published_at": "timestamp"}
 
 #: Landed payloads.

@@ -7,15 +7,22 @@ never succeed goes to the dead-letter output and is counted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.ordered import keep_last
-from ..operators.upsert import snapshot, upsert_counts, upsert_postings
+from ..operators.upsert import KEY, snapshot, upsert_counts, upsert_postings
+from ..schemas import CONTENT, INDEX, ddl
+from ..sources.versions import BucketTable
+
+#: Times a writer of the index joins again because another one was quicker.
+ATTEMPTS = 20
 
 
 def scan_change_stream(
@@ -73,25 +80,57 @@ def index_postings(index: DataFrame, rows: DataFrame) -> DataFrame:
     return index.join(fresh.select("vacancy_id"), "vacancy_id", "left_anti").unionByName(fresh)
 
 
+def index_table(spark: SparkSession, out: str, buckets: int = 32) -> BucketTable:
+    """The stored index: one row per id, with its status."""
+    return BucketTable(spark, out, ddl(INDEX), ["vacancy_id"], buckets)
+
+
+def store_index(table: BucketTable, ids: DataFrame, posting: DataFrame, vectors: DataFrame) -> None:
+    """Look ``ids`` up and put their rows in place of those stored for them.
+
+    Only the buckets that the ids fall into are read and written; a writer that another one
+    overtook reads them again.
+    """
+    asked = ids.select("vacancy_id").distinct().persist()
+    try:
+        for _ in range(ATTEMPTS):
+            version = table.newest()
+            touched = table.touched(version, asked)
+            if not touched:
+                return
+            stored = table.read(version, touched)
+            kept = stored.join(asked.withColumnRenamed("vacancy_id", "_id"), F.col(
+                "vacancy_id").eqNullSafe(F.col("_id")), "left_anti")
+            rows = index_rows(asked, posting, vectors).select(*INDEX)
+            folder = table.stage(version, kept.unionByName(rows))
+            if table.commit(version, folder, touched):
+                return
+            table.discard(folder)
+        raise RuntimeError(f"{ATTEMPTS} other writers were quicker")
+    finally:
+        asked.unpersist()
+
+
+def waiting_ids(table: BucketTable) -> DataFrame:
+    """Ids whose vector has not landed; two narrow columns are read."""
+    return table.read().filter("status = 'retrying'").select("vacancy_id")
+
+
 def stream_index(
     changes: DataFrame, posting: Callable[[], DataFrame], vectors: Callable[[], DataFrame],
     out: str, checkpoint: str,
 ) -> StreamingQuery:
-    """Write index documents batch by batch, one folder per batch id.
+    """Index what has landed, batch by batch, and end.
 
     ``posting`` and ``vectors`` are loaded for every batch, so rows landed meanwhile are
-    found. Ids that the batch before left ``retrying`` are delivered again with each batch,
-    until their vector lands. A replayed batch reads the same predecessor and overwrites its
-    own folder, which makes the sink idempotent. ``latest_index`` reads the newest document
-    per posting.
+    found. Ids left ``retrying`` are looked up again with each batch, until their vector
+    lands. Rows are replaced by id, so a replayed batch changes nothing. ``stream_delivery``
+    goes on without new changes.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("vacancy_id")
-        if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id - 1}")
-            ids = ids.unionByName(before.filter("status = 'retrying'").select("vacancy_id"))
-        index_rows(ids, posting(), vectors()).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}")
+        table = index_table(batch.sparkSession, out)
+        ids = batch.select("vacancy_id").unionByName(waiting_ids(table))
+        store_index(table, ids, posting(), vectors())
 
     return (
         changes.writeStream.foreachBatch(write)
@@ -99,13 +138,112 @@ def stream_index(
     )
 
 
+class Redelivery(StatefulProcessor):
+    """Hands an id on when it changes, and again every ``pause_ms`` until it is settled.
+
+    The state of an id is the time of its next delivery, which a timer watches over.
+    """
+
+    def __init__(self, pause_ms: int):
+        self.pause_ms = pause_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wait(self, timers: TimerValues) -> None:
+        at = timers.getCurrentProcessingTimeInMs() + self.pause_ms
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def _stop(self) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[Row]:
+        # A change beside the outcome of the delivery before it is delivered like any other.
+        changed = any([not row.settled for row in rows])
+        self._stop()
+        if changed:
+            self._wait(timerValues)
+            yield Row(vacancy_id=key[0])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._wait(timerValues)
+        yield Row(vacancy_id=key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_delivery(
+    changes: DataFrame, posting: Callable[[], DataFrame], vectors: Callable[[], DataFrame],
+    out: str, checkpoint: str, pause_seconds: float = 5.0, every: str = "1 second",
+    report: Callable[[int, DataFrame], None] | None = None,
+) -> StreamingQuery:
+    """Index changed ids as they land and deliver waiting ones again by timer. Runs until stopped.
+
+    Each id has a state of its own (``Redelivery``): it comes back every ``pause_seconds``,
+    with or without new changes, until it is ``indexed``, ``not_found`` or ``failed``. Outcomes
+    are a second input of the same state, read from ``out/settled``, where every batch puts
+    them and whose files go once they were read. Delivery is at least once: an id may come
+    again before its outcome is read, and is then replaced by the same row.
+
+    Needs the RocksDB state store. ``report`` gets the batch id and the ids of every batch.
+    """
+    spark = changes.sparkSession
+    settled = f"{out}/settled"
+    shape = "vacancy_id bigint, settled boolean"
+    spark.createDataFrame([], shape).write.mode("append").parquet(settled)
+    outcomes = (
+        spark.readStream.schema(shape).option("cleanSource", "delete").parquet(settled))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        if not batch.isEmpty():
+            table = index_table(spark, out)
+            store_index(table, batch, posting(), vectors())
+            version = table.newest()
+            done = table.read(version, table.touched(version, batch)).filter("status <> 'retrying'").join(
+                batch.withColumnRenamed("vacancy_id", "_id"),
+                F.col("vacancy_id").eqNullSafe(F.col("_id")), "left_semi")
+            done.select("vacancy_id", F.lit(True).alias("settled")).write.mode("append").parquet(settled)
+        if report is not None:
+            report(batch_id, batch)
+        batch.unpersist()
+
+    return (
+        changes.select("vacancy_id", F.lit(False).alias("settled")).unionByName(outcomes)
+        .groupBy("vacancy_id")
+        .transformWithState(
+            Redelivery(int(1000 * pause_seconds)), "vacancy_id bigint", "Update", "ProcessingTime")
+        .writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    )
+
+
+def stop_when(query: StreamingQuery, done: Callable[[], bool], seconds: float) -> None:
+    """Let a running query work until ``done``, then stop it; an error if time runs out first."""
+    end = time.monotonic() + seconds
+    try:
+        while not done():
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"not done after {seconds} s")
+            time.sleep(0.2)
+    finally:
+        query.stop()
+
+
 def _newest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     return keep_last(spark.read.parquet(out), keys, "batch_id").drop("batch_id")
 
 
 def latest_index(spark: SparkSession, out: str) -> DataFrame:
-    """Each posting's newest document; only ids and batch numbers are aggregated."""
-    return _newest(spark, out, ["vacancy_id"])
+    """Each id's row."""
+    return index_table(spark, out).read()
 
 
 def stream_status_counts(rows: DataFrame) -> DataFrame:
@@ -136,6 +274,27 @@ def stream_upsert(
     )
 
 
+def stream_fold(batches: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Fold a run that lands in parts, in a streaming state per posting.
+
+    The state of a key is its last version, first ordinal and number of copies so far, as
+    ``fold_batch`` makes them of a whole batch. A micro-batch reads its own rows and writes
+    the keys it touched, under its id; a replay overwrites them. ``fold_of_run`` is the
+    outcome.
+    """
+    digest = F.xxhash64("title", F.lit("\u0001"), "description")
+    folded = batches.groupBy(*KEY).agg(
+        F.max_by(F.struct(*CONTENT), "ordinal").alias("fresh"),
+        F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("copies"),
+        (F.min(digest) != F.max(digest)).alias("texts_vary"))
+    return write_updates(folded, out, checkpoint)
+
+
+def fold_of_run(spark: SparkSession, out: str) -> DataFrame:
+    """One row per key of the run, for ``upsert_folded``: misses are counted there, once."""
+    return read_updates(spark, out, KEY)
+
+
 def write_windows(
     aggregated: DataFrame, out: str, checkpoint: str,
 ) -> StreamingQuery:

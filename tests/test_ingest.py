@@ -2,8 +2,10 @@ import datetime as dt
 
 import pytest
 from helpers import NOW, batch, batch_row
-from postmill.plans.ingest import current_posting, ingest_run, runs, with_ordinal
+from postmill.operators.upsert import snapshot, upsert_postings
+from postmill.plans.ingest import board_table, current_posting, ingest_run, runs, with_ordinal
 from postmill.session import shared_dir
+from postmill.sources.versions import BucketTable
 from pyspark.sql import functions as F
 
 
@@ -80,3 +82,95 @@ def test_ordinals_are_dense_and_in_reading_order(spark):
     rows = batch(spark, *[batch_row(external_id=str(i)) for i in range(30)]).drop("ordinal").coalesce(1)
     got = with_ordinal(rows).select("external_id", "ordinal").collect()
     assert sorted((r.ordinal, int(r.external_id)) for r in got) == [(i, i) for i in range(30)]
+
+
+def test_a_small_batch_rewrites_its_buckets_only(spark):
+    """Misses of all others are counted without writing them; the table equals one upsert."""
+    root = shared_dir(spark, "store")
+
+    def run(number, *ids, title="T"):
+        return ingest_run(spark, root, number, "other", lambda: batch(spark, *[
+            batch_row(external_id=str(i), source="other", title=title) for i in ids]).drop("ordinal"),
+            at(number), buckets=16)
+
+    run(1, *range(200))
+    table = board_table(spark, root, "other")
+    before = table.newest()
+    assert set(before.folders) == set(range(16))
+    expected = snapshot(upsert_postings(
+        current_posting(spark, root), batch(spark, *[
+            batch_row(external_id=str(i), source="other", title="new") for i in (7, 11)]), at(2), "other"))
+    want = {tuple(r)[:-1] for r in expected.drop("posted_at", "tags").collect()}
+    counts = run(2, 7, 11, title="new")
+    after = table.newest()
+    moved = {b for b in range(16) if after.folders[b] != before.folders[b]}
+    assert moved == set(table.touched(before, spark.createDataFrame([("7",), ("11",)], "external_id string")))
+    assert len(moved) <= 2 and counts["updated_count"] == 2
+    # Only files of the touched buckets are read for the join.
+    assert {f.rsplit("/", 2)[1] for f in table.read(before, moved).inputFiles()} == {f"bucket={b}" for b in moved}
+    got = {tuple(r)[:-1] for r in current_posting(spark, root).drop("posted_at", "tags").collect()}
+    assert got == want
+    assert {r.status for r in current_posting(spark, root).filter("external_id not in ('7', '11')").collect()} == {"stale"}
+    removed = [run(n, 7)["newly_removed_count"] for n in range(3, 7)]
+    assert sum(removed) == 199 and max(removed) >= 198
+    # An empty batch that was fetched well is a run in which all were missed.
+    counts = run(7)
+    assert counts["fetched_count"] == 0
+    assert current_posting(spark, root).filter("external_id = '7'").first().missed_run_count == 1
+    # A row seen again starts over.
+    run(8, 3)
+    row = current_posting(spark, root).filter("external_id = '3'").first()
+    assert (row.status, row.missed_run_count) == ("active", 0)
+
+
+def test_overlapping_runs_of_one_board_keep_both(spark):
+    """Run 2 commits while run 1 is between reading and committing: run 1 joins again."""
+    root, between = shared_dir(spark, "store"), []
+
+    def rows(*ids):
+        return lambda: batch(spark, *[
+            batch_row(external_id=i, source="other", title=i) for i in ids]).drop("ordinal")
+
+    ingest_run(spark, root, 1, "other", rows("a"), at(0), buckets=1)
+    stage = BucketTable.stage
+
+    def interrupted(self, version, frame):
+        if not between:
+            between.append(1)
+            between.append(ingest_run(spark, root, 3, "other", rows("b", "c"), at(2)))
+        return stage(self, version, frame)
+
+    BucketTable.stage = interrupted
+    try:
+        first = ingest_run(spark, root, 2, "other", rows("a", "b"), at(1))
+    finally:
+        BucketTable.stage = stage
+    assert between[1]["new_count"] == 2 and (first["new_count"], first["updated_count"]) == (0, 2)
+    state = {r.external_id: (r.status, r.missed_run_count) for r in current_posting(spark, root).collect()}
+    assert state == {"a": ("active", 0), "b": ("active", 0), "c": ("stale", 1)}
+    ids = [r.id for r in current_posting(spark, root).collect()]
+    assert len(ids) == len(set(ids)) == 3
+    assert {r.state for r in runs(spark, root).collect()} == {"ok"}
+
+
+def test_versions(spark):
+    """A taken version is refused whole; replaced folders go some versions later."""
+    table = BucketTable(spark, shared_dir(spark, "versions"), "k bigint, v string", ["k"], 4)
+    frame = spark.createDataFrame([(i, "a") for i in range(20)], "k bigint, v string")
+    base = table.newest()
+    assert table.read().count() == 0
+    assert table.commit(base, table.stage(base, frame), range(4))
+    late = table.stage(base, frame)
+    assert not table.commit(base, late, range(4))
+    table.discard(late)
+    for n in range(12):
+        held = table.newest()
+        one = frame.filter("k = 3").withColumn("v", F.lit(str(n)))
+        touched = table.touched(held, one)
+        kept = table.read(held, touched).filter("k <> 3")
+        assert table.commit(held, table.stage(held, kept.unionByName(one)), touched)
+    assert {(r.k, r.v) for r in table.read().collect()} == {(i, "11" if i == 3 else "a") for i in range(20)}
+    place, fs = table._path("rows")
+    buckets = [b.getPath().getName() for f in fs.listStatus(place) for b in fs.listStatus(f.getPath())
+               if b.getPath().getName().startswith("bucket=")]
+    assert buckets.count(f"bucket={touched[0]}") <= 9 and len(set(buckets)) == 4

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from helpers import NOW, application, batch, batch_row, posting, posting_row
 from postmill.operators import upsert as up
+from postmill.operators.upsert import finish_run
 from postmill.sources.tables import write_bucketed
 from pyspark.sql import functions as F
 
@@ -172,3 +173,10 @@ def test_bucketed_store_is_not_shuffled_by_the_upsert(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
         spark.sql("DROP TABLE posting_v1")
+
+
+def test_a_row_never_stamped_is_missed_like_any_other(spark):
+    stored = posting(spark, posting_row(1, source="other", last_seen_at=None, missed_run_count=2),
+                     posting_row(2, source="other"), posting_row(3, source="dou", last_seen_at=None))
+    got = {r.id: (r.status, r.missed_run_count) for r in finish_run(stored, "other", F.lit(NOW)).collect()}
+    assert got == {1: ("removed", 3), 2: ("active", 0), 3: ("active", 0)}

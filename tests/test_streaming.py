@@ -2,7 +2,8 @@ import datetime as dt
 
 import pytest
 from helpers import NOW, batch, batch_row, posting, posting_row
-from postmill.operators.upsert import finish_run, snapshot, upsert_postings
+from postmill.bindings.metrics import landed
+from postmill.operators.upsert import finish_run, snapshot, upsert_folded, upsert_postings
 from postmill.schemas import BATCH, CHANGE, POSTING, ddl
 from postmill.session import shared_dir
 from postmill.streaming import jobs
@@ -105,3 +106,123 @@ def test_redelivered_events_count_once(spark):
     counted = rate(jobs.events_with_watermark(stream, "ts", "event_id"), "ts", ["label"])
     jobs.drain(jobs.write_updates(counted, out, shared_dir(spark, "cp")))
     assert sum(r.n for r in jobs.read_updates(spark, out, ["window_start", "label"]).collect()) == 30
+
+
+def test_a_vector_lands_after_the_last_change(spark):
+    """No new change comes: a timer delivers the waiting id, also after a restart."""
+    landing, out, checkpoint = (shared_dir(spark, n) for n in ("changes", "index", "cp"))
+    stored = posting(spark, *[posting_row(i) for i in range(1, 5)])
+    schema = "vacancy_id bigint, embedding array<float>"
+    vectors = [spark.createDataFrame([(1, [1.0, 0.0])], schema)]
+    spark.createDataFrame([(i, NOW) for i in (1, 1, 2, 3, 4, 7, None)], ddl(CHANGE)).coalesce(1).write.parquet(landing)
+    table = jobs.index_table(spark, out)
+
+    def state():
+        return {r.vacancy_id: r.status for r in table.read().collect()}
+
+    def work(done):
+        stream = jobs.scan_change_stream(spark, landing, ddl(CHANGE))
+        query = jobs.stream_delivery(
+            stream, lambda: stored, lambda: vectors[-1], out, checkpoint, pause_seconds=0.5, every="0 seconds")
+        jobs.stop_when(query, done, 120)
+
+    def land(*ids):
+        vectors.append(spark.createDataFrame([(i, [float(i), 1.0]) for i in ids], schema))
+
+    rest = {7: "not_found", None: "failed"}
+    work(lambda: len(state()) == 6)
+    assert state() == {1: "indexed", 2: "retrying", 3: "retrying", 4: "retrying", **rest}
+    land(1, 2)  # while no query runs
+    work(lambda: state()[2] == "indexed")
+    late = []
+
+    def lands_while_running():
+        if not late:
+            late.append(land(1, 2, 3))
+        return state()[3] == "indexed"
+
+    work(lands_while_running)
+    assert state() == {1: "indexed", 2: "indexed", 3: "indexed", 4: "retrying", **rest}
+    assert table.read().count() == 6  # one live row per id
+    assert table.read().filter("vacancy_id = 3").first().embedding == [3.0, 1.0]
+
+
+def test_index_replaces_touched_buckets_only(spark):
+    table = jobs.index_table(spark, shared_dir(spark, "index"), buckets=8)
+    stored = posting(spark, *[posting_row(i) for i in range(1, 41)])
+    schema = "vacancy_id bigint, embedding array<float>"
+    first = spark.createDataFrame([(i, [float(i)]) for i in range(1, 41)], schema)
+    jobs.store_index(table, first, stored, first)
+    before = table.newest()
+    one = spark.createDataFrame([(5, [50.0])], schema)
+    jobs.store_index(table, one, stored, one)
+    after = table.newest()
+    assert [b for b in range(8) if before.folders[b] != after.folders[b]] == table.touched(after, one)
+    untouched = set(range(8)) - set(table.touched(after, one))
+    assert table.read(before, untouched).inputFiles() == table.read(after, untouched).inputFiles()
+    got = {r.vacancy_id: r.embedding for r in table.read().collect()}
+    assert got == {i: [50.0 if i == 5 else float(i)] for i in range(1, 41)}
+
+
+def test_a_fold_that_fails_half_way_goes_on(spark):
+    """Parts are folded in state; a restart from the checkpoint gives the table of one batch."""
+    landing, out, checkpoint = (shared_dir(spark, n) for n in ("landing", "fold", "cp"))
+    old = [posting_row(i, external_id=str(i), source="justjoinit", last_seen_at=NOW - dt.timedelta(days=1))
+           for i in range(1, 8)]
+    stored, at = posting(spark, *old), F.lit(NOW)
+    rows = [batch_row(external_id=e, source="justjoinit", title=t) for e, t in
+            [("1", "A"), ("2", "B"), ("9", "new"), ("2", "B again"), ("3", "C"), ("8", "new"), ("9", "edited"),
+             ("4", "D"), ("9", "last"), ("10", "new")]]
+    whole = batch(spark, *rows)
+    schema = ddl({**BATCH, "ordinal": "bigint"})
+
+    def land(low, high):
+        whole.filter(F.col("ordinal").between(low, high)).coalesce(1).write.mode("append").parquet(landing)
+
+    def work():
+        stream = jobs.scan_change_stream(spark, landing, schema, files_per_trigger=1)
+        jobs.drain(jobs.stream_fold(stream, out, checkpoint))
+
+    land(0, 2)
+    land(3, 5)
+    work()
+    with open(f"{landing}/broken.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception, match="broken.parquet|Parquet|PARQUET|footer"):
+        work()
+    with open(f"{landing}/broken.parquet", "wb") as f, open(_empty(spark, schema), "rb") as e:
+        f.write(e.read())
+    land(6, 7)
+    land(8, 9)
+    work()
+    touched = [spark.read.parquet(f"{out}/batch_id={n}").count() for n in (0, 1)]
+    assert touched == [3, 3]  # a part writes the keys it touched
+    got = upsert_folded(stored, jobs.fold_of_run(spark, out), at, "justjoinit")
+    want = upsert_postings(stored, whole, at, "justjoinit")
+
+    def plain(frame):
+        return sorted(str(tuple(r)) for r in frame.drop("posted_at").collect())
+
+    assert plain(got) == plain(want)
+
+
+def _empty(spark, schema):
+    import glob
+    place = shared_dir(spark, "empty")
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(place)
+    return glob.glob(f"{place.removeprefix('file:')}/*.parquet")[0]
+
+
+def test_landing_keeps_rows_without_an_order(spark):
+    rows = spark.range(50).select(
+        F.when(F.col("id") % 5 > 0, F.col("id")).alias("o"), F.col("id").alias("v"))
+    out, checkpoint = shared_dir(spark, "landed"), shared_dir(spark, "cp")
+    seen = []
+    query = landed(spark, rows, "o", late=F.col("v") == 7).writeStream.foreachBatch(
+        lambda b, i: seen.append(sorted(r.v for r in b.collect()))).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    jobs.drain(query)
+    assert sorted(v for part in seen for v in part) == list(range(50))
+    assert seen[0] == list(range(0, 50, 5)) and seen[-2:] == [[49], [7]]
+    assert len(seen) == 9 and [v for part in seen[1:-1] for v in part] == [
+        v for v in range(50) if v % 5 and v != 7]
