@@ -91,7 +91,14 @@ def unescape_entities(text: Column) -> Column:
 
 
 def _outside_hidden(text: Column) -> Column:
-    """The text outside hidden elements, which may hold one another: a fold over their tags."""
+    """The text outside hidden elements, which may hold one another: a fold over their tags.
+
+    Elements that hold no other go first, then those that held only such, in a pass each; the
+    fold, whose steps copy its text, sees what is nested deeper or unbalanced.
+    """
+    for _ in range(2):
+        text = F.regexp_replace(text, f"{_OPEN}[^{_OPEN}{_CLOSE}]*+{_CLOSE}", _GONE)
+
     def step(state: Column, piece: Column) -> Column:
         depth = (
             F.when(piece.startswith(_OPEN), state["depth"] + 1)

@@ -16,9 +16,19 @@ from ..constants import (
     SENIORITY_LEVELS,
 )
 from ..functions.text import (
-    WHOLE_WORD_SQL, clean_words, haystack, norm_company, once, primary_seniority, strip, word_marks,
+    WHOLE_WORD_SQL, clean_words, haystack, norm_company, primary_seniority, strip, word_marks,
     word_mentioned,
 )
+from ..session import cut
+from .filters import SALTS
+
+#: Categories that become a constant instead of a join.
+MOST_CONSTANTS = 1000
+#: Texts that tell which tokens are rare, and words of a vocabulary that is broadcast.
+SAMPLE_TEXTS = 1000
+FEW_WORDS = 50_000
+#: Longs of a Bloom filter of anchors: two million bits, whatever the vocabulary.
+BLOOM_SLOTS = 1 << 15
 
 
 def is_negative(status: Column) -> Column:
@@ -238,14 +248,22 @@ def with_adjustment(
 def join_feedback_delta(categories: DataFrame, feedback: DataFrame, key: str = "id") -> DataFrame:
     """Sum of deltas per posting from exploded ``(key, category)`` rows; no match adds 0.
 
-    ``feedback`` holds the categories a caller asked about, at most one row each, and becomes
-    a constant: the exploded rows are not shuffled by their few categories.
+    ``feedback`` has at most one row per category. Up to ``MOST_CONSTANTS`` of them become a
+    constant, so the exploded rows are not shuffled by their few categories. More are joined,
+    each in ``SALTS`` copies, so a frequent category is not one task's work.
     """
-    deltas = {row.category: row.delta for row in feedback.select("category", "delta").collect()}
-    pairs = [F.lit(item) for pair in deltas.items() for item in pair]
-    delta = F.try_element_at(F.create_map(*pairs), F.col("category")) if pairs else F.lit(0)
-    return categories.groupBy(key).agg(
-        F.sum(F.coalesce(delta, F.lit(0))).cast("int").alias("delta"))
+    few = feedback.select("category", "delta").limit(MOST_CONSTANTS + 1).collect()
+    if len(few) <= MOST_CONSTANTS:
+        pairs = [F.lit(item) for row in few for item in row]
+        delta = F.try_element_at(F.create_map(*pairs), F.col("category")) if pairs else F.lit(0)
+        found = categories.select(key, delta.alias("delta"))
+    else:
+        copies = feedback.select(
+            "category", "delta", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        found = categories.select(
+            key, "category", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
+        ).join(copies, ["category", "_salt"], "left")
+    return found.groupBy(key).agg(F.sum(F.coalesce("delta", F.lit(0))).cast("int").alias("delta"))
 
 
 def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str = ",") -> DataFrame:
@@ -255,33 +273,72 @@ def theta_join_words(posting: DataFrame, words: Sequence[str], separator: str =
     ).filter(F.col("word").isNotNull())
 
 
+def anchor_bits(anchors: DataFrame) -> Column:
+    """A Bloom filter of ``BLOOM_SLOTS`` longs over the column ``anchor``, as one constant array."""
+    slot, bit = _place(F.col("anchor"))
+    set_bits = anchors.groupBy(slot.alias("slot")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    slots = anchors.sparkSession.range(BLOOM_SLOTS).select(F.col("id").cast("int").alias("slot"))
+    listed = slots.join(set_bits, "slot", "left").select(
+        F.struct("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("s"))
+    return listed.agg(F.transform(
+        F.array_sort(F.collect_list("s")), lambda s: s["bits"]).alias("bits")).scalar()
+
+
+def _place(anchor: Column) -> tuple[Column, Column]:
+    code = F.xxhash64(anchor)
+    return F.pmod(code, F.lit(BLOOM_SLOTS)).cast("int"), F.pmod(
+        F.shiftright(code, 32), F.lit(64)).cast("int")
+
+
+def _may_hold(bits: Column, anchor: Column) -> Column:
+    slot, bit = _place(anchor)
+    return F.getbit(F.get(bits, slot), bit) == 1
+
+
 def theta_join_single_words(posting: DataFrame, words: DataFrame, separator: str = ",") -> DataFrame:
     """``(id, word)`` for a *table* of words of any size and any characters.
 
-    A text can only hold a word if it holds the word's anchor: its first run of letters and
-    digits, or its first character if it has no such run. So the theta join is an equi-join of
-    anchors with the distinct runs and other characters of each text. A word that is one run
-    is found by that alone; the others are then tested as whole words in the candidates'
-    texts. Only distinct ``(id, token)`` pairs move, and AQE splits a token that holds many
-    postings.
+    A text can only hold a word if it holds each run of letters and digits of the word and each
+    of its other characters. The rarest of these is the word's anchor: by their frequency in
+    ``SAMPLE_TEXTS`` of the texts, then the longest. So the theta join is an equi-join of anchors
+    with the distinct runs and other characters of each text. A word that is one run is found
+    by that alone; the others are then tested as whole words in the text, which goes along with
+    their anchors only.
+
+    A vocabulary of up to ``FEW_WORDS`` is broadcast, and nothing moves. For a larger one two
+    Bloom filters of the anchors, of fixed size, let only anchors through to the join, which
+    takes a text along for the anchors of longer words alone; AQE splits an anchor that holds
+    many postings. What the sample says changes the work only, never the result.
     """
     run = r"[\p{L}\p{N}]+"
-    lowered = words.select(F.lower(strip(F.col("word"))).alias("word")).filter("word <> ''").distinct()
-    first = F.regexp_extract("word", run, 0)
-    # Behind ``once``, or the tests would be inferred for every token of every text.
-    vocabulary = once(
-        lowered, "_entry", F.struct(
-            F.when(first != "", first).otherwise(F.substring("word", 1, 1)).alias("anchor"),
-            F.col("word").rlike(rf"\A{run}\z").alias("single"))
-    ).select("word", "_entry.anchor", "_entry.single")
+    token = F.lit(rf"{run}|[^\p{{L}}\p{{N}}\s]")
+
+    def tokens(text: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, token, F.lit(0)))
+
     hay = searchable(posting, separator).select("id", "hay")
-    found = F.array_distinct(F.regexp_extract_all(
-        "hay", F.lit(rf"{run}|[^\p{{L}}\p{{N}}\s]"), F.lit(0)))
-    candidates = (
-        hay.select("id", F.explode_outer(found).alias("anchor"))
-        .join(vocabulary, "anchor").select("id", "word", "single"))
-    tested = (
-        candidates.filter(~F.col("single")).select("id", "word").join(hay, "id")
-        .filter(F.contains("hay", F.col("word")))
-        .filter(F.expr(WHOLE_WORD_SQL)))
-    return candidates.filter("single").select("id", "word").unionByName(tested.select("id", "word"))
+    lowered = words.select(F.lower(strip(F.col("word"))).alias("word")).filter("word <> ''").distinct()
+    seen = hay.limit(SAMPLE_TEXTS).select(F.explode(tokens(F.col("hay"))).alias("anchor")).groupBy(
+        "anchor").agg(F.count(F.lit(1)).alias("n"))
+    parts = lowered.select("word", F.explode(tokens(F.col("word"))).alias("anchor"))
+    vocabulary = (
+        parts.join(seen, "anchor", "left").groupBy("word").agg(F.min(F.struct(
+            F.coalesce("n", F.lit(0)).alias("n"), (-F.length("anchor")).alias("size"), "anchor",
+        )).alias("best"))
+        .select("word", "best.anchor", (F.col("best.anchor") == F.col("word")).alias("single")))
+    # One generated loop from here: a text is not copied for a token that leads nowhere.
+    found = hay.select("id", "hay", F.explode_outer(tokens(F.col("hay"))).alias("anchor"))
+    few = vocabulary.limit(FEW_WORDS + 1).collect()
+    if len(few) <= FEW_WORDS:
+        vocabulary = F.broadcast(posting.sparkSession.createDataFrame(few, vocabulary.schema))
+    else:
+        vocabulary = cut(vocabulary, "vocabulary")
+        single, several = (anchor_bits(vocabulary.filter(c)) for c in ("single", "NOT single"))
+        in_several = _may_hold(several, F.col("anchor"))
+        found = found.filter(_may_hold(single, F.col("anchor")) | in_several).select(
+            "id", "anchor", F.when(in_several, F.col("hay")).alias("hay"))
+    # The common case, a word between blanks, needs no pattern.
+    whole = F.contains("hay", F.col("word")) & (
+        F.contains("hay", F.concat(F.lit(" "), "word", F.lit(" "))) | F.expr(WHOLE_WORD_SQL))
+    return found.join(vocabulary, "anchor").filter(F.col("single") | whole).select("id", "word")

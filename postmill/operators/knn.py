@@ -14,6 +14,12 @@ from .filters import filter_sources
 
 #: Vectors per block of a search with many queries.
 BLOCK_ROWS = 4096
+#: Queries that are sent to all tasks: their vectors and ``k`` answers each fit there.
+FEW_QUERIES = 8192
+#: Index rows that meet all of them at once.
+SCAN_ROWS = 1024
+#: Groups of tasks whose answers to a query are merged first.
+MERGE_PARTS = 32
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -121,25 +127,86 @@ def knn_topk(
     )
 
 
+def _top_by_query(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of what the tasks found per query, merged in two levels."""
+    best = [F.col("raw").desc(), F.col("vacancy_id")]
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
+    first = Window.partitionBy("profile_id", "_part").orderBy(*best)
+    return (
+        found.withColumn("_part", part)
+        .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("profile_id").orderBy(*best)))
+        .filter(F.col("rank") <= k)
+        .select("profile_id", "vacancy_id", "raw", "rank"))
+
+
+def _answers(p_ids: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(p_ids, [len(ids) for ids, _ in best])),
+        pa.array(np.concatenate([ids for ids, _ in best])),
+        pa.array(np.concatenate([raw for _, raw in best]))], ["profile_id", "vacancy_id", "raw"])
+
+
+def _better(
+    before: list[tuple[np.ndarray, np.ndarray]], raw: np.ndarray, ids: np.ndarray, k: int,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each query's ``k`` best of those held before and of one more block's scores."""
+    out = []
+    for (old_ids, old), scores in zip(before, raw, strict=True):
+        if len(old) == k:  # only what beats the last one held, or ties with it
+            near = np.flatnonzero(scores >= old[-1])
+            all_ids, all_raw = np.concatenate([old_ids, ids[near]]), np.concatenate([old, scores[near]])
+        else:
+            all_ids, all_raw = np.concatenate([old_ids, ids]), np.concatenate([old, scores])
+        rows = _best_rows(all_raw, all_ids, k)
+        out.append((all_ids[rows], all_raw[rows]))
+    return out
+
+
 def knn_topk_many(
     index: DataFrame, queries: DataFrame, k: int, width: int,
     sources: Sequence[str] | None = None, block_rows: int = BLOCK_ROWS,
+    few_queries: int = FEW_QUERIES,
 ) -> DataFrame:
     """``profile_id, vacancy_id, raw, rank``: top ``k`` for every row of ``queries``.
 
     ``queries`` holds ``profile_id`` and ``embedding``; ``width`` is the length of a vector.
-    Index and queries are gathered in blocks of about ``block_rows``; each pair of blocks is
-    one row of work, solved by one matrix product, and leaves ``k`` rows per query. Neither
-    side passes through the driver or one task.
+    Up to ``few_queries`` of them go to every task of one scan of the index: it is read once
+    and not shuffled, a block of it meets all queries in one matrix product, and a task hands
+    on ``k`` rows per query. More are gathered in blocks of about ``block_rows``, as is the
+    index, and each pair of blocks is one row of work; then neither side passes through the
+    driver or one task. Both ways merge in two levels.
     """
     _check_k(k)
+    held = usable_vectors(filter_sources(index, sources), width)[0].select("vacancy_id", "embedding")
+    good = usable_vectors(queries, width)[0].select("profile_id", "embedding")
+    few = good.limit(few_queries + 1).toArrow() if few_queries else None
+    if few is not None and few.num_rows <= few_queries:
+        rows = few.combine_chunks()
+        ids = rows["profile_id"].to_numpy()
+        state = index.sparkSession.sparkContext.broadcast(
+            (ids, _unit(_matrix(rows["embedding"].combine_chunks(), width)) if len(ids) else None))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p_ids, p = state.value
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(p_ids)
+            for batch in batches if len(p_ids) else ():
+                for at in range(0, batch.num_rows, SCAN_ROWS):
+                    block = batch.slice(at, SCAN_ROWS)
+                    own = _unit(_matrix(block.column("embedding"), width))
+                    best = _better(best, (1 + p @ own.T) / 2, block.column("vacancy_id").to_numpy(
+                        zero_copy_only=False), k)
+            if any([len(found) for found, _ in best]):
+                yield _answers(p_ids, best)
+
+        return _top_by_query(
+            held.mapInArrow(scan, "profile_id bigint, vacancy_id bigint, raw double"), k)
 
     def blocks(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
-        good, _ = usable_vectors(df, width)
-        number = max(1, -(-good.count() // block_rows))
+        number = max(1, -(-df.count() // block_rows))
         block = F.pmod(F.xxhash64(key), F.lit(number)).cast("int").alias(f"{name}_block")
         rows = F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding")))
-        return good.groupBy(block).agg(rows.alias(name)), number
+        return df.groupBy(block).agg(rows.alias(name)), number
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,23 +214,14 @@ def knn_topk_many(
                 (p_ids, p), (ids, rows) = [
                     (side.field("id").to_numpy(), _unit(_matrix(side.field("embedding"), width)))
                     for side in (batch.column(c)[i].values for c in ("asked", "held"))]
-                raw = (1 + p @ rows.T) / 2
-                best = [_best_rows(scores, ids, k) for scores in raw]
-                if any(map(len, best)):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(p_ids, [len(b) for b in best])),
-                        pa.array(np.concatenate([ids[b] for b in best])),
-                        pa.array(np.concatenate([r[b] for r, b in zip(raw, best, strict=True)]))],
-                        ["profile_id", "vacancy_id", "raw"])
-
-    held, number = blocks(filter_sources(index, sources), "vacancy_id", "held")
-    asked, _ = blocks(queries, "profile_id", "asked")
+                none = [(np.zeros(0, np.int64), np.zeros(0))] * len(p_ids)
+                best = _better(none, (1 + p @ rows.T) / 2, ids, k)
+                if any([len(found) for found, _ in best]):
+                    yield _answers(p_ids, best)
+
+    blocked, number = blocks(held, "vacancy_id", "held")
+    asked, _ = blocks(good, "profile_id", "asked")
     pairs = asked.withColumn(
-        "held_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(held, "held_block")
-    best = Window.partitionBy("profile_id").orderBy(F.col("raw").desc(), F.col("vacancy_id"))
-    return (
-        pairs.select("asked", "held")
-        .mapInArrow(solve, "profile_id bigint, vacancy_id bigint, raw double")
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-    )
+        "held_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(blocked, "held_block")
+    return _top_by_query(pairs.select("asked", "held").mapInArrow(
+        solve, "profile_id bigint, vacancy_id bigint, raw double"), k)

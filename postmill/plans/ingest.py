@@ -59,7 +59,8 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 def board_table(spark: SparkSession, root: str, source: str, buckets: int = 32) -> BucketTable:
     """The stored postings of one board."""
     return BucketTable(
-        spark, f"{root}/posting/source={quote(source, safe='')}", ddl(STORED), ["external_id"], buckets)
+        spark, f"{root}/posting/source={quote(source, safe='')}", ddl(STORED), ["external_id"], buckets,
+        order="id")
 
 
 def caught_up(rows: DataFrame, runs_now: int) -> DataFrame:

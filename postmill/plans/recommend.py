@@ -15,6 +15,7 @@ from ..functions.verdict import parse_verdict
 from ..operators.feedback import decision_summary, with_adjustment
 from ..operators.filters import not_hidden
 from ..operators.knn import knn_topk
+from ..sources.tables import one_of
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def pin_hits(hits: DataFrame) -> DataFrame:
     """Fix the at most 100 hits as constants.
 
     Only then can their ids reach the Parquet scans of the big tables as an IN
-    filter, which skips all row groups without a hit.
+    filter. On tables sorted by id (``write_by_id``) it skips all row groups without a hit.
     """
     return hits.sparkSession.createDataFrame(_bounded(hits), hits.schema)
 
@@ -52,13 +53,13 @@ def hit_ids(hits: DataFrame) -> list[int]:
 
 def join_hits_posting(hits: DataFrame, posting: DataFrame) -> DataFrame:
     """Pinned hits with their posting row; a hit without one is dropped."""
-    rows = posting.filter(F.col("id").isin(hit_ids(hits)))
+    rows = posting.filter(one_of("id", hit_ids(hits)))
     return rows.join(F.broadcast(hits.select("vacancy_id", "raw")), F.col("id") == F.col("vacancy_id"))
 
 
 def join_hits_application(hits: DataFrame, application: DataFrame) -> DataFrame:
     """Add ``application_status`` to pinned hits (NULL for untracked ones)."""
-    state = application.filter(F.col("vacancy_id").isin(hit_ids(hits))).select(
+    state = application.filter(one_of("vacancy_id", hit_ids(hits))).select(
         "vacancy_id", F.col("status").alias("application_status"))
     return hits.join(state, "vacancy_id", "left")
 
@@ -83,7 +84,7 @@ def recommend(
     vectors = index.select("vacancy_id", "source", "embedding")
     hits = pin_hits(knn_topk(vectors, query, request.top_k, request.sources).drop("source"))
     wanted = hit_ids(hits)
-    found = posting.filter(F.col("id").isin(wanted)).withColumn(
+    found = posting.filter(one_of("id", wanted)).withColumn(
         "company_key", norm_company(F.col("company")))
     # As few as the hits: only their companies are asked about.
     companies = [r[0] for r in found.select("company_key").distinct().collect() if r[0]]
@@ -92,7 +93,7 @@ def recommend(
         found = found.filter(F.coalesce("status", F.lit("active")) == "active")
     else:
         found = found.filter(F.col("last_seen_at") >= days_before(request.as_of, request.fresh_days))
-    state = application.filter(F.col("vacancy_id").isin(wanted)).select(
+    state = application.filter(one_of("vacancy_id", wanted)).select(
         "vacancy_id", F.col("status").alias("application_status"))
     candidates = (
         found.filter(F.coalesce(~F.col("company_key").isin(excluded), F.lit(True)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remove_dir
+from .tables import id_options
 
 #: Versions whose files stay for readers and writers that started from them.
 KEPT_VERSIONS = 8
@@ -36,14 +37,16 @@ class BucketTable:
     that started from one version the second is told, and joins again. Buckets that nobody
     touched keep their files. What a version replaced goes ``KEPT_VERSIONS`` versions later.
 
-    The number of buckets is fixed by the first version.
+    The number of buckets is fixed by the first version. Files are sorted by ``order``, if
+    given, with Bloom filters on it, so a few values of it read few pages.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, schema: str, keys: Sequence[str], buckets: int = 32,
+        order: str | None = None,
     ):
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, [*keys]
-        self.buckets = buckets
+        self.buckets, self.order = buckets, order
 
     def _path(self, name: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -91,8 +94,11 @@ class BucketTable:
         Large buckets are split over tasks, small ones share one.
         """
         folder = uuid.uuid4().hex
-        rows.withColumn("bucket", self.bucket(version)).hint("rebalance", "bucket").write.partitionBy(
-            "bucket").parquet(f"{self.root}/rows/{folder}")
+        placed = rows.withColumn("bucket", self.bucket(version)).hint("rebalance", "bucket")
+        if self.order:
+            placed = placed.sortWithinPartitions("bucket", self.order)
+        placed.write.partitionBy("bucket").options(
+            **(id_options(self.order) if self.order else {})).parquet(f"{self.root}/rows/{folder}")
         return folder
 
     def staged(self, folder: str, schema: str | None = None) -> DataFrame:

@@ -27,17 +27,60 @@ ATTEMPTS = 20
 
 def scan_change_stream(
     spark: SparkSession, directory: str, schema: StructType | str, glob: str | None = None,
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, bytes_per_trigger: int | None = None,
+    archive: str | None = None, skip_broken: bool = False,
 ) -> DataFrame:
-    """Change rows landed as Parquet files."""
+    """Change rows landed as Parquet files.
+
+    A micro-batch takes ``files_per_trigger`` files or about ``bytes_per_trigger``, not both.
+    Files that were read move below ``archive``. With ``skip_broken`` a file that cannot be
+    read does not stop the stream; ``quarantine`` finds it in the archive and counts it.
+    """
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    options = {
+        "pathGlobFilter": glob, "maxFilesPerTrigger": files_per_trigger,
+        "maxBytesPerTrigger": bytes_per_trigger, "ignoreCorruptFiles": "true" if skip_broken else None,
+        "cleanSource": "archive" if archive else None, "sourceArchiveDir": archive,
+    }
+    for name, value in options.items():
+        if value is not None:
+            reader = reader.option(name, value)
     return reader.parquet(directory)
 
 
+def quarantine(spark: SparkSession, archive: str, broken: str) -> list[str]:
+    """Move unreadable files from ``archive`` to ``broken``; returns their names.
+
+    One scan of no columns, footers alone, tells which files hold rows. Only the others, empty
+    or broken, are opened one by one. Run it after the stream, on what it has archived since.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(archive)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed, names = fs.listFiles(folder, True) if fs.exists(folder) else None, []
+    while listed is not None and listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName().endswith(".parquet"):
+            names.append(path.toString())
+    if not names:
+        return []
+    readable = {hadoop.Path(r.file_path).toUri().getPath() for r in (
+        spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+        .schema("_none string").parquet(archive).select("_metadata.file_path").distinct().collect())}
+    fs.mkdirs(hadoop.Path(broken))
+    moved = []
+    for name in names:
+        path = hadoop.Path(name)
+        if path.toUri().getPath() in readable:
+            continue
+        try:
+            spark.read.parquet(name)
+        except Exception:  # whatever is wrong with it, it cannot be read
+            fs.rename(path, hadoop.Path(f"{broken}/{path.getName()}"))
+            moved.append(path.getName())
+    return sorted(moved)
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait until an ``availableNow`` query has read everything."""
     query.awaitTermination()
@@ -82,7 +125,7 @@ def index_postings(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 def index_table(spark: SparkSession, out: str, buckets: int = 32) -> BucketTable:
     """The stored index: one row per id, with its status."""
-    return BucketTable(spark, out, ddl(INDEX), ["vacancy_id"], buckets)
+    return BucketTable(spark, out, ddl(INDEX), ["vacancy_id"], buckets, order="vacancy_id")
 
 
 def store_index(table: BucketTable, ids: DataFrame, posting: DataFrame, vectors: DataFrame) -> None:

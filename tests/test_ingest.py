@@ -5,6 +5,7 @@ from helpers import NOW, batch, batch_row
 from postmill.operators.upsert import snapshot, upsert_postings
 from postmill.plans.ingest import board_table, current_posting, ingest_run, runs, with_ordinal
 from postmill.session import shared_dir
+from postmill.sources.tables import one_of, write_by_id
 from postmill.sources.versions import BucketTable
 from pyspark.sql import functions as F
 
@@ -174,3 +175,27 @@ def test_versions(spark):
     buckets = [b.getPath().getName() for f in fs.listStatus(place) for b in fs.listStatus(f.getPath())
                if b.getPath().getName().startswith("bucket=")]
     assert buckets.count(f"bucket={touched[0]}") <= 9 and len(set(buckets)) == 4
+
+
+def test_a_few_ids_read_a_few_row_groups(spark):
+    """What the scan puts out, before the filter, is what its row groups hold."""
+    base = shared_dir(spark, "by-id")
+    rows = spark.range(0, 400_000, 2).select((F.col("id") * 7919 % 399_989).alias("id"), F.col("id").alias("v"))
+    rows.repartition(8).write.parquet(f"{base}/plain")
+    write_by_id(rows, f"{base}/clustered", files=16, **{
+        "parquet.block.size": "65536", "parquet.page.row.count.limit": "400"})
+    wanted = sorted(r.id for r in rows.filter("v % 20000 = 0").collect())
+    assert len(wanted) == 20
+
+    def read(path, ids):
+        found = spark.read.parquet(path).filter(one_of("id", ids))
+        got = sorted(r.id for r in found.collect())
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return got, scan.metrics().apply("numOutputRows").value()
+
+    got, out = read(f"{base}/clustered", wanted)
+    assert got == wanted and out < 20_000
+    assert read(f"{base}/plain", wanted)[1] > 100_000
+    # An id between others that is not there: the Bloom filter knows.
+    absent = sorted(set(range(1000, 300_000, 9973)) - {r.id for r in rows.collect()})
+    assert absent and read(f"{base}/clustered", absent)[1] < 20_000

@@ -108,11 +108,15 @@ def test_knn_is_exact(spark, sources):
     assert got == brute(as_float, query, 25, sources)
     asked = spark.createDataFrame(
         [(1, query), (2, as_float[7][2]), (3, None), (4, [1.0])], "profile_id bigint, embedding array<float>")
-    many = knn_topk_many(index, asked, 10, 8, sources, block_rows=50).collect()
-    assert {r.profile_id for r in many} == {1, 2}
-    for pid, vec in ((1, query), (2, as_float[7][2])):
-        mine = [r.vacancy_id for r in sorted((r for r in many if r.profile_id == pid), key=lambda r: r.rank)]
-        assert mine == brute(as_float, vec, 10, sources)
+    for few in (1000, 0):  # queries that go to the one scan, and blocks of both sides
+        frame = knn_topk_many(index, asked, 10, 8, sources, block_rows=50, few_queries=few)
+        many = frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert ("Join" in plan) == (few == 0)
+        assert {r.profile_id for r in many} == {1, 2}
+        for pid, vec in ((1, query), (2, as_float[7][2])):
+            mine = [r.vacancy_id for r in sorted((r for r in many if r.profile_id == pid), key=lambda r: r.rank)]
+            assert mine == brute(as_float, vec, 10, sources)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
@@ -202,7 +206,10 @@ def test_shortlist_and_rerank(spark):
     assert [(r.vacancy_id, r.score) for r in rerank_with_scores(short, responses).collect()] == [(3, 95), (1, 50)]
 
 
-def test_theta_join_by_tokens_equals_literal_search(spark):
+@pytest.mark.parametrize("few", [50_000, 3])
+def test_theta_join_by_tokens_equals_literal_search(spark, monkeypatch, few):
+    """A vocabulary that is broadcast, and one that Bloom filters and a shuffle look for."""
+    monkeypatch.setattr(fb, "FEW_WORDS", few)
     p, _ = texts(spark, [(1, "Go and rust, go!", None), (2, "golang RUST_c", None), (3, "ça c", None),
                          (4, "c++ and c#, php", None), (5, "c+++ xc++ c++x", None), (6, "ci/cd (.net) a.b", None),
                          (7, "we ++ it $1 \\\\d [x]", None)])
@@ -210,7 +217,20 @@ def test_theta_join_by_tokens_equals_literal_search(spark):
              "\\\\d", "[x]", "a.b"]
     table = spark.createDataFrame([(w,) for w in words] + [("Go",), ("  ",), (None,)], "word string")
     a = sorted(fb.theta_join_words(p, words).collect())
-    assert a == sorted(fb.theta_join_single_words(p, table).collect()) and len(a) > 3
+    found = fb.theta_join_single_words(p, table)
+    assert a == sorted(found.collect()) and len(a) > 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("getbit" in plan) == (few == 3)
+
+
+def test_feedback_deltas_beyond_a_constant(spark, monkeypatch):
+    rows = [(i, f"c{i % 7}") for i in range(40)]
+    categories = spark.createDataFrame(rows, "id bigint, category string")
+    deltas = spark.createDataFrame([("c1", 10), ("c3", -10), ("c5", 5)], "category string, delta int")
+    few = sorted(fb.join_feedback_delta(categories, deltas).collect())
+    monkeypatch.setattr(fb, "MOST_CONSTANTS", 2)
+    assert sorted(fb.join_feedback_delta(categories, deltas).collect()) == few
+    assert sum(r.delta for r in few) == 6 * 10 - 6 * 10 + 5 * 5
 
 
 def test_recommendation_properties(spark):

@@ -226,3 +226,38 @@ def test_landing_keeps_rows_without_an_order(spark):
     assert seen[0] == list(range(0, 50, 5)) and seen[-2:] == [[49], [7]]
     assert len(seen) == 9 and [v for part in seen[1:-1] for v in part] == [
         v for v in range(50) if v % 5 and v != 7]
+
+
+def test_read_files_are_archived_and_broken_ones_counted(spark):
+    base = shared_dir(spark, "landing")
+    landing, archive, broken, out, checkpoint = (
+        f"{base}/{n}" for n in ("in", "archive", "broken", "out", "cp"))
+
+    def land(*ids):
+        spark.createDataFrame([(i, NOW) for i in ids], ddl(CHANGE)).coalesce(1).write.mode("append").parquet(landing)
+
+    def spoil(name):
+        with open(f"{landing.removeprefix('file:')}/{name}", "w") as f:
+            f.write("PAR1 but nothing more")
+
+    def work():
+        stream = jobs.scan_change_stream(
+            spark, landing, ddl(CHANGE), glob="*.parquet", bytes_per_trigger=1000, archive=archive, skip_broken=True)
+        jobs.drain(stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    land(1, 2)
+    land()  # an empty file is not broken
+    spoil("a.parquet")
+    work()
+    land(3)
+    spoil("b.parquet")
+    work()
+    land(4)  # a file goes with the batch after the one that read it
+    work()
+    assert sorted(r.vacancy_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+    assert "a.parquet" in jobs.quarantine(spark, archive, broken)
+    assert jobs.quarantine(spark, archive, broken) == []
+    archived = {r.vacancy_id for r in spark.read.option("recursiveFileLookup", "true").schema(
+        ddl(CHANGE)).parquet(archive).collect()}
+    assert {1, 2} <= archived
