@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -74,68 +75,123 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 class _Underfull:
-    """The bins with room left, and the exchanges that push fill from one to fuller ones."""
+    """The bins with room left, and the exchanges that push fill from one to fuller ones.
+
+    What a bin may give back, nothing (a move), one item or two, is listed by the tokens that
+    stay behind: an offer of ``given`` tokens fits where at most ``size - given`` stay, and of
+    the exchanges that leave as many the one that returns the fewest tokens is best. So
+    ``least`` holds one number per count of tokens left, and the best exchange of an offer is a
+    search over those, however many bins there are. Only the two bins of an exchange change
+    their entries; old ones are skipped when they come to the head of their queue.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, size: int):
         self.bins, self.lengths, self.size = bins, lengths.tolist(), size
-        self.fill = np.array([sum(self.lengths[i] for i in b) for b in bins])
-        self._index()
-
-    def _index(self) -> None:
-        """What a bin may give back: nothing (a move), one item, or two."""
-        owner, back, taken = [], [], []
-        for n, items in enumerate(self.bins):
-            if items:
-                owner.append(n)
-                back.append(0)
-                taken.append(())
-                for x, first in enumerate(items):
-                    owner.append(n)
-                    back.append(self.lengths[first])
-                    taken.append((first,))
-                    for second in items[x + 1:]:
-                        owner.append(n)
-                        back.append(self.lengths[first] + self.lengths[second])
-                        taken.append((first, second))
-        self.owner, self.back = np.array(owner), np.array(back)
-        self.items = np.array([len(t) for t in taken])
-        self.taken = taken
-
-    def _best(self, low: int, given: int, most: int) -> int:
-        """The exchange of ``given`` tokens of bin ``low`` that lifts squared fill the most.
-
-        At most ``most`` items come back.
+        self.fill = [sum(self.lengths[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)
+        self.left = np.arange(size + 1)
+        # One row for what returns one item at most, one for any.
+        self.queues = [[[] for _ in range(size + 1)] for _ in range(2)]
+        self.least = np.full((2, size + 1), size + 1)
+        for n in range(len(bins)):
+            self._add(n)
+
+    def _choices(self, items: list[int]) -> tuple[dict[int, tuple], dict[int, tuple]]:
+        """One item, and two, by their tokens: one choice for each number of tokens."""
+        by_length: dict[int, list[int]] = {}
+        for i in items:
+            same = by_length.setdefault(self.lengths[i], [])
+            if len(same) < 2:
+                same.append(i)
+        one = {length: (same[0],) for length, same in by_length.items()}
+        two: dict[int, tuple] = {}
+        kinds = sorted(by_length.items())
+        for x, (length, same) in enumerate(kinds):
+            if len(same) == 2:
+                two.setdefault(2 * length, tuple(same))
+            for other, others in kinds[x + 1:]:
+                two.setdefault(length + other, (same[0], others[0]))
+        return one, two
+
+    def _entries(self, n: int) -> list[tuple[int, int, tuple]]:
+        """Row, tokens returned and items returned."""
+        one, two = self._choices(self.bins[n])
+        return [(0, 0, ()), *((0, back, taken) for back, taken in one.items()),
+                *((1, back, taken) for back, taken in two.items())]
+
+    def _refresh(self, row: int, left: int) -> None:
+        queue = self.queues[row][left]
+        while queue and self.version[queue[0][1]] != queue[0][2]:
+            heappop(queue)
+        own = queue[0][0] if queue else self.size + 1
+        if row == 0:
+            self.least[0, left] = own
+            queue = self.queues[1][left]
+            while queue and self.version[queue[0][1]] != queue[0][2]:
+                heappop(queue)
+            self.least[1, left] = min(own, queue[0][0] if queue else own)
+        else:
+            self.least[1, left] = min(own, self.least[0, left])
+
+    def _add(self, n: int) -> None:
+        if self.bins[n]:
+            for row, back, taken in self._entries(n):
+                left = self.fill[n] - back
+                heappush(self.queues[row][left], (back, n, self.version[n], taken))
+                self.least[row:, left] = np.minimum(self.least[row:, left], back)
+
+    def _drop(self, n: int) -> None:
+        self.version[n] += 1
+        touched = {(row, self.fill[n] - back) for row, back, _ in self._entries(n)}
+        for row, left in sorted(touched, reverse=True):
+            self._refresh(row, left)
+
+    def _best(self, low: int, given: int, most: int) -> tuple[int, int, tuple] | None:
+        """The exchange for ``given`` tokens of bin ``low`` that lifts squared fill the most.
+
+        At most ``most`` items come back. Bin, tokens returned and items returned; bin ``low``
+        itself must have no entries.
         """
-        gain = given - self.back
-        fill = self.fill[self.owner]
-        # Squared fill grows by 2 * gain * (fill + gain - fill of low) for each exchange.
-        lift = gain * (fill + gain - self.fill[low])
-        lift[(gain <= 0) | (fill + gain > self.size) | (self.owner == low) | (self.items > most)] = 0
-        best = int(lift.argmax()) if len(lift) else -1
-        return best if best >= 0 and lift[best] > 0 else -1
+        end = self.size - given + 1
+        least = self.least[most - 1, :end]
+        gain = given - least
+        # Squared fill grows by 2 * gain * (new fill - fill of low) for each exchange.
+        lift = np.maximum(gain, 0) * (self.left[:end] + (given - self.fill[low]))
+        left = int(lift.argmax())
+        if lift[left] <= 0:
+            return None
+        heads = [self.queues[row][left][0] for row in range(most) if self.queues[row][left]
+                 and self.queues[row][left][0][0] == least[left]
+                 and self.version[self.queues[row][left][0][1]] == self.queues[row][left][0][2]]
+        back, n, _, taken = heads[0]
+        return n, back, taken
 
     def improve(self, low: int) -> bool:
         """Push fill out of bin ``low`` until nothing helps; tells whether anything did."""
         moved = False
+        self._drop(low)
         while self.bins[low]:
-            items = self.bins[low]
-            offers = [(i,) for i in items] + [
-                (i, j) for x, i in enumerate(items) for j in items[x + 1:]]
-            for offer in sorted(offers, key=lambda o: -sum(self.lengths[i] for i in o)):
-                given = sum(self.lengths[i] for i in offer)
-                # One for one, two for one, one for two, or a move of either.
-                at = self._best(low, given, 3 - len(offer))
-                if at >= 0:
+            one, two = self._choices(self.bins[low])
+            # One for one, two for one, one for two, or a move of either.
+            offers = sorted(
+                [(-g, 2, taken) for g, taken in one.items()]
+                + [(-g, 1, taken) for g, taken in two.items()])
+            for given, most, offer in offers:
+                found = self._best(low, -given, most)
+                if found:
                     break
             else:
-                return moved
-            other, returned = int(self.owner[at]), self.taken[at]
-            self.bins[low] = [i for i in items if i not in offer] + list(returned)
+                break
+            other, back, returned = found
+            self._drop(other)
+            self.bins[low] = [i for i in self.bins[low] if i not in offer] + list(returned)
             self.bins[other] = [i for i in self.bins[other] if i not in returned] + list(offer)
-            self.fill[low] -= given - self.back[at]
-            self.fill[other] += given - self.back[at]
-            self._index()
+            self.fill[low] += given + back
+            self.fill[other] -= given + back
+            if self.fill[other] < self.size:
+                self._add(other)
             moved = True
+        self._add(low)
         return moved
 
 
@@ -155,7 +211,7 @@ def pack(lengths: np.ndarray, size: int) -> list[list[int]]:
     while moved:
         moved = False
         for low in np.argsort(search.fill, kind="stable").tolist():
-            if search.bins[low]:
+            if search.bins[low] and search.fill[low] < size:
                 moved |= search.improve(low)
     return full + [b for b in search.bins if b]
 
