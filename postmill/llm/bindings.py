@@ -61,7 +61,7 @@ WITH v AS (
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(
            CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e))
 SELECT query_id, CAST(row_number() OVER (
          PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10

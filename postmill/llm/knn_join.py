@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Pivots, and the expected number of rows they are drawn from.
-PIVOTS = 16
-SAMPLE_ROWS = 4096
+#: Pivots at least and at most, rows per pivot squared, and the expected number of rows that
+#: one pivot is drawn from.
+PIVOTS = (16, 512)
+ROWS_PER_PIVOT = 4096
+SAMPLE_ROWS = 64
 #: Rings of equal width that a group's distances are counted in.
 RINGS = 16
 #: Queries or data rows per block; a pair of blocks is one step of a task.
@@ -97,19 +100,27 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def pivots_for(rows: int) -> int:
+    """Pivots for so many rows: they follow the root of the number, within ``PIVOTS``."""
+    return min(PIVOTS[1], max(PIVOTS[0], math.isqrt(rows // ROWS_PER_PIVOT)))
+
+
 def top_k(
     vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10, key: str = "vec_id",
-    vector: str = "embedding", scale: int = 1024, pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    vector: str = "embedding", scale: int = 1024, pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS, report: Callable[[DataFrame, DataFrame], None] | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, score``: each query's ``k`` best other rows by inner product.
 
     Components count as ``floor(scale * x)``. Every vector gets one more component so that a
     larger product is a smaller distance (``lift``). Then:
 
-    1. Rows join the group of their nearest pivot. A group's summary is the count and the
-       farthest row of each of its rings of distance; summaries are few whatever the data.
-    2. Rows are gathered in blocks of one group and ring, of about ``block_rows`` rows.
+    1. Rows join the group of their nearest pivot; pivots follow the number of rows
+       (``pivots_for``) and come from a sample of about ``SAMPLE_ROWS`` rows each. A group's
+       summary is the count and the farthest row of each of its ``RINGS`` rings of distance;
+       summaries are few whatever the data.
+    2. Rows are gathered in blocks of about ``block_rows`` rows: a ring is cut by distance into
+       thinner ones, and only those that are still larger, of rows at one distance, by hash.
     3. A query block's bound follows from the summaries alone (``bound``). A data block goes
        to it only if some row of its range of distances can lie within the bound, by the
        triangle inequality over both pivots.
@@ -119,29 +130,45 @@ def top_k(
     Ties go to the smaller id. A query is not its own answer, and neither are rows that share
     its id; equal vectors under other ids are. Rows that repeat an id all count, as answers
     and as queries of their own. Fewer rows than ``k`` give fewer answers. Null ids, null and
-    empty vectors, vectors that hold null or non-finite components, and those whose length is
-    not the most common one take no part, neither as queries nor as answers. An empty table gives an empty one; other columns
-    are not read.
+    empty vectors and vectors that hold null or non-finite components take no part, neither as
+    queries nor as answers. Vectors of different lengths have no product: each length is
+    solved by itself, one after another; lengths are taken to be few. An empty table gives an
+    empty one; other columns are not read.
+
+    ``report`` gets the pairs of blocks to solve and the blocks, for each length.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "knn")
     whole = whole_vectors(vectors, key, vector, scale)
-    common = whole.filter(F.size("row") > 0).groupBy(F.size("row").alias("width")).agg(
+    found = spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
+    lengths = whole.filter(F.size("row") > 0).groupBy(F.size("row").alias("width")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.aggregate("row", F.lit(0.0), lambda s, v: s + v.cast("double") * v)).alias("square"),
         F.max(F.array_max(F.transform("row", F.abs))).alias("most"),
-    ).orderBy(F.col("n").desc(), "width").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    width, total, longest = common.width, common.n, common.square
-    number = "int" if common.most < 2 ** 31 else "bigint"
-    rows = whole.filter(F.size("row") == width).select(
-        "id", F.col("row").cast(f"array<{number}>").alias("row"))
-
+    ).orderBy("width").collect()
+    for n, facts in enumerate(lengths):
+        number = "int" if facts.most < 2 ** 31 else "bigint"
+        rows = whole.filter(F.size("row") == facts.width).select(
+            "id", F.col("row").cast(f"array<{number}>").alias("row"))
+        own = _solved(
+            rows, is_query, k, facts.width, number, facts.n, facts.square,
+            pivots or pivots_for(facts.n), block_rows, report)
+        found = own if n == 0 else found.unionByName(own)
+    return found
+
+
+def _solved(
+    rows: DataFrame, is_query: Callable[[Column], Column], k: int, width: int, number: str,
+    total: int, longest: float, pivots: int, block_rows: int,
+    report: Callable[[DataFrame, DataFrame], None] | None,
+) -> DataFrame:
+    """``top_k`` among whole vectors of one length."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "knn")
+    sample = SAMPLE_ROWS * pivots
     drawn = _matrix(
         rows.filter(F.pmod(F.xxhash64(F.lit("pivot"), "id"), F.lit(1 << 20))
-                    <= F.lit(SAMPLE_ROWS / total * (1 << 20)))
-        .orderBy("id").limit(4 * SAMPLE_ROWS).toArrow().column("row").combine_chunks(),
+                    <= F.lit(sample / total * (1 << 20)))
+        .orderBy("id").limit(4 * sample).toArrow().column("row").combine_chunks(),
         width).astype(float)
     centres = spread_out(lift(drawn if len(drawn) else np.zeros((1, width)), longest), pivots)
     state = spark.sparkContext.broadcast(centres)
@@ -163,17 +190,24 @@ def top_k(
         place, f"id bigint, row array<{number}>, query boolean, pivot int, far double"
     ).withColumn("place", F.monotonically_increasing_id()))
     most = placed.agg(F.max("far")).first()[0] or 1.0
+    # Queries have no rings: each of their blocks meets whole blocks of data.
+    parts_of = F.when(F.col("query"), 1).otherwise(RINGS)
     placed = placed.withColumn(
-        "ring", F.when(F.col("query"), 0).otherwise(
-            F.least(F.floor(F.col("far") / most * RINGS).cast("int"), F.lit(RINGS - 1))))
+        "ring", F.least(F.floor(F.col("far") / most * parts_of).cast("int"), parts_of - 1))
     sizes = placed.groupBy("query", "pivot", "ring").agg(
         F.count(F.lit(1)).alias("n"), F.max("far").alias("high"))
     summary = sizes.filter(~F.col("query")).orderBy("pivot", "ring").toArrow()
     rings = {c: summary.column(c).to_numpy() for c in ("pivot", "n", "high")}
+    thin = ["query", "pivot", "ring", "thin"]
+    # At most two kinds times PIVOTS[1] times RINGS rows; thin rings are as many as blocks.
+    thinner = placed.join(F.broadcast(sizes.drop("high")), thin[:3]).withColumn("thin", F.least(
+        F.floor((F.col("far") / most * parts_of - F.col("ring")) * F.ceil(F.col("n") / block_rows)),
+        F.ceil(F.col("n") / block_rows) - 1)).drop("n")
+    crowds = thinner.groupBy(*thin).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
     blocks, _ = scratch.cut(
-        placed.join(F.broadcast(sizes.drop("high")), ["query", "pivot", "ring"])
-        .withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / block_rows)))
-        .groupBy("query", "pivot", "ring", "part")
+        thinner.join(crowds, thin, "left")
+        .withColumn("part", F.pmod(F.xxhash64("place"), F.ceil(F.coalesce("n", F.lit(1)) / block_rows)))
+        .groupBy(*thin, "part")
         .agg(F.min("far").alias("low"), F.max("far").alias("high"),
              F.collect_list(F.struct("id", "row", "place")).alias("rows"))
         .withColumn("block", F.monotonically_increasing_id()))
@@ -206,6 +240,8 @@ def top_k(
         .mapInArrow(reach, "q_block bigint, pivot int, from double, to double")
         .join(blocks.filter("NOT query").select("pivot", "block", "low", "high"), "pivot")
         .filter("high >= from AND low <= to").select("q_block", "block"))
+    if report is not None:
+        report(routes, blocks)
     pairs = (
         routes.join(blocks.select(F.col("block").alias("q_block"), F.col("rows").alias("queries")),
                     "q_block")

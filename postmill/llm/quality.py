@@ -9,13 +9,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import SLICE_ROWS, Scratch, text_slices
 
 #: Labelled documents the field is fitted on (expected number).
 SAMPLE_DOCS = 4000
+#: Runs of lines that the driver gets the features of (expected number); 7 kB each.
+SAMPLE_RUNS = 16_000
 #: Lines per training sequence; longer documents give several.
 SEQUENCE = 16
 STEPS = 100
@@ -147,18 +149,28 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _sequences(rows: np.ndarray, per_text: np.ndarray, labels: np.ndarray):
-    """Lines laid out as equally long sequences: features, line there or not, label."""
-    parts = []
+def sequences_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Runs of at most ``SEQUENCE`` lines: text number, run number, feature rows."""
+    rows, _, per_text = line_features(texts)
+    rows = with_neighbours(rows, per_text)
+    owner, number, runs = [], [], []
     at = 0
-    for n, label in zip(per_text.tolist(), labels.tolist(), strict=True):
-        parts += [(at + s, min(SEQUENCE, n - s), label) for s in range(0, n, SEQUENCE)]
-        at += n
-    x = np.zeros((len(parts), SEQUENCE, rows.shape[1]))
-    there = np.zeros((len(parts), SEQUENCE), bool)
-    for i, (start, n, _) in enumerate(parts):
-        x[i, :n], there[i, :n] = rows[start:start + n], True
-    return x, there, np.array([p[2] for p in parts], np.int64)
+    for n, lines in enumerate(per_text.tolist()):
+        for m, start in enumerate(range(at, at + lines, SEQUENCE)):
+            owner.append(n)
+            number.append(m)
+            runs.append(rows[start:min(start + SEQUENCE, at + lines)])
+        at += lines
+    return np.array(owner, np.int64), np.array(number, np.int64), runs
+
+
+def _laid_out(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as equally long sequences: features, and whether a line is there."""
+    x = np.zeros((len(runs), SEQUENCE, 3 * WIDTH + 1))
+    there = np.zeros((len(runs), SEQUENCE), bool)
+    for i, run in enumerate(runs):
+        x[i, :len(run)], there[i, :len(run)] = run, True
+    return x, there
 
 
 def _gradient(model: QualityModel, x, there, label):
@@ -193,13 +205,17 @@ def _gradient(model: QualityModel, x, there, label):
     return by_weight / lines - RIDGE * model.weights, (seen - pair) / lines - RIDGE * model.change
 
 
-def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> QualityModel:
-    """Fit the field on texts whose lines all take their document's label."""
-    if not len(labels) or labels.min() == labels.max():
-        offset = 0.0 if not len(labels) else (4.0 if labels[0] else -4.0)
-        return QualityModel(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 1.0, offset)
-    rows, _, per_text = line_features(texts)
-    x, there, label = _sequences(with_neighbours(rows, per_text), per_text, labels)
+def _constant(labels: np.ndarray) -> QualityModel | None:
+    """The model of labels that are all alike, or of none."""
+    if len(labels) and labels.min() != labels.max():
+        return None
+    offset = 0.0 if not len(labels) else (4.0 if labels[0] else -4.0)
+    return QualityModel(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 1.0, offset)
+
+
+def fit_field(runs: list[np.ndarray], label: np.ndarray, steps: int = STEPS) -> QualityModel:
+    """Weights and scores of changes, from runs of lines that all take their document's label."""
+    x, there = _laid_out(runs)
     model = QualityModel(np.zeros(x.shape[2]), np.zeros((2, 2)))
     first, second = [0.0, 0.0], [0.0, 0.0]
     for step in range(1, steps + 1):
@@ -212,7 +228,12 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Qu
                 model.weights = model.weights + move
             else:
                 model.change = model.change + move
-    share = _logit(good_share(texts, model))
+    return model
+
+
+def scale_to(model: QualityModel, shares: np.ndarray, labels: np.ndarray) -> QualityModel:
+    """Set how a document's share of good text becomes a probability."""
+    share = _logit(shares)
     slope, offset = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(slope * share + offset)))
@@ -226,27 +247,82 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> Qu
     return model
 
 
+def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> QualityModel:
+    """Fit the field on texts at hand; ``fit`` does the same for a table."""
+    constant = _constant(labels)
+    if constant:
+        return constant
+    owner, _, runs = sequences_of(texts)
+    model = fit_field(runs, labels[owner].astype(np.int64), steps)
+    return scale_to(model, good_share(texts, model), labels)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id",
-    text: str = "text", sample_docs: int = SAMPLE_DOCS,
+    text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS,
 ) -> QualityModel:
     """Fit on about ``sample_docs`` labelled documents, taken by the hash of their key.
 
     ``labels`` holds ``key`` and a 0/1 ``label``; rows with a null in either teach nothing,
-    and of several labels for a key the largest counts. The sample and its texts are the only
-    rows that reach the driver, and their number does not grow with the corpus. Without
-    labels of both kinds the model answers alike for every text.
+    and of several labels for a key the largest counts. Features are made where the texts
+    are: the driver gets features of about ``sample_runs`` runs of ``SEQUENCE`` lines, taken
+    by hash if the sample has more, and one share per document, of about twice ``sample_docs``
+    where keys repeat. No text reaches it, and nothing that grows with the corpus or with the
+    length of a text. Without labels of both kinds the model answers alike for every text.
     """
     named = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
         (F.max(label) > 0).cast("int").alias("good"))
     number = named.count()
-    drawn = named.filter(
-        F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20))
-        < F.lit(sample_docs / max(1, number) * (1 << 20)))
-    rows = (
-        docs.select(key, text).join(F.broadcast(drawn), key)
-        .toArrow().sort_by([(key, "ascending"), (text, "ascending")]))
-    return train(rows[text].to_pylist(), rows["good"].to_numpy().astype(np.int64))
+    drawn = named.filter(_drawn(sample_docs / max(1, number), F.lit("sample"), F.col(key)))
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample, path = scratch.cut(
+        docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+        .join(F.broadcast(drawn.withColumnRenamed(key, "key")), "key"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    facts = sample.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.ceil(lines / SEQUENCE)).alias("runs")).first()
+    rows = sample.filter(_drawn(2 * sample_docs / max(1, facts.rows), "key", "text")).select(
+        F.xxhash64("key", "text").alias("row"), "text", "good")
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, "text"):
+            owner, run, features = sequences_of(texts)
+            for at in range(0, len(owner), SLICE_ROWS):
+                some = slice(at, at + SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(pa.array(owner[some])), pa.array(run[some]),
+                     part.column("good").take(pa.array(owner[some])),
+                     pa.array([f.tobytes() for f in features[some]], pa.binary())],
+                    ["row", "run", "good", "features"])
+
+    found = rows.mapInArrow(runs_of, "row bigint, run bigint, good int, features binary").filter(
+        _drawn(sample_runs / max(1, facts.runs or 0), "row", "run")).toArrow().sort_by(
+        [("row", "ascending"), ("run", "ascending")])
+    good = found["good"].to_numpy().astype(np.int64)
+    model = _constant(good)
+    if model is None:
+        runs = [np.frombuffer(f, np.float64).reshape(-1, 3 * WIDTH + 1)
+                for f in found["features"].to_pylist()]
+        model = field = fit_field(runs, good)
+
+        def shares_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in text_slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("good"), pa.array(good_share(texts, field))],
+                    ["row", "good", "share"])
+
+        shares = rows.mapInArrow(shares_of, "row bigint, good int, share double").toArrow().sort_by(
+            [("row", "ascending")])
+        model = scale_to(field, shares["share"].to_numpy(), shares["good"].to_numpy().astype(np.int64))
+    scratch.drop(path)
+    return model
+
+
+def _drawn(share: float, *values: Column | str) -> Column:
+    """About ``share`` of the rows, by the hash of ``values``; all from 1 on."""
+    if share >= 1:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(*values), F.lit(1 << 20)) < F.lit(share * (1 << 20))
 
 
 def score(

@@ -2,7 +2,8 @@ import math
 
 import numpy as np
 import pytest
-from postmill.llm.knn_join import bound, products, top_k
+from postmill.llm.knn_join import bound, pivots_for, products, top_k
+from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, embedding array<float>, id long, row string, score string"
 
@@ -39,6 +40,45 @@ def test_every_answer_in_clustered_data(spark, block_rows):
     assert found(top_k(frame(spark, rows), query, pivots=8, block_rows=block_rows)) == brute(rows, 10)
 
 
+def test_fewer_pairs_are_solved_with_more_pivots_and_thinner_blocks(spark):
+    """Clusters at different places of a sphere: the pairs to solve shrink with both."""
+    draw = np.random.default_rng(8)
+    centres = draw.normal(0, 1, (40, 6))
+    centres *= 5 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(n, (centres[n % 40] + draw.normal(0, 0.05, 6)).tolist()) for n in range(4001)]
+    data = frame(spark, rows)
+    want = brute(rows, 3)
+
+    def share(**how):
+        """Rows met by queries, of all that could be."""
+        counted = []
+
+        def report(routes, blocks):
+            size = blocks.select("block", F.size("rows").alias("n"))
+            met = routes.join(size, "block").withColumnRenamed("n", "data").join(
+                size.select(F.col("block").alias("q_block"), "n"), "q_block")
+            counted.append(met.agg(F.sum(F.col("n") * F.col("data"))).first()[0] / (41 * 4001))
+
+        assert found(top_k(data, query, 3, report=report, **how)) == want
+        return counted[0]
+
+    few, many = share(pivots=2, block_rows=4096), share(pivots=40, block_rows=4096)
+    thin = share(pivots=40, block_rows=16)
+    assert thin <= many < few / 3 and thin < 0.2
+    assert [pivots_for(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 12)] == [16, 16, 156, 512]
+
+
+def test_every_length_is_solved_by_itself(spark):
+    rows = [(100 * n, [float(n), -1.0]) for n in range(10)] + [(100 * n + 1, [1.0, n / 7]) for n in range(5)]
+    short = [(100 * n + 2, [0.5, float(n), 2.0]) for n in range(3)] + [(5000, [1.0, 1.0, 1.0])]
+    assert found(top_k(frame(spark, rows + short), query)) == sorted(brute(rows, 10) + brute(short, 10))
+
+
+def test_many_rows_at_one_distance(spark):
+    rows = [(n, [1.0, 2.0]) for n in range(250)] + [(1000 + n, [2.0, n / 50]) for n in range(60)]
+    assert found(top_k(frame(spark, rows), query, block_rows=8)) == brute(rows, 10)
+
+
 def test_blocks_out_of_reach_are_not_sent(spark):
     """Far clusters on one line: most pairs of blocks fall to the bounds."""
     rings = {"pivot": np.array([0, 1]), "n": np.array([50, 50]), "high": np.array([1.0, 1.0])}

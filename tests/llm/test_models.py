@@ -195,3 +195,66 @@ def test_language_odd_texts(spark, frame):
     nothing = language.fit(taught.filter("lang = 'none'"), VOCABULARY)
     assert {r.lang_pred for r in language.predict(frame(ODD_TEXTS), nothing).collect()} == {"und"}
     assert language.predict(frame([]), model).count() == 0
+
+
+# --- results from scratch, for a given model -------------------------------------------
+
+def test_quality_scores_from_scratch(frame):
+    """Every labelling of every text, its share weighted by bytes and one per line."""
+    draw = np.random.default_rng(12)
+    model = quality.QualityModel(
+        draw.normal(0, 0.7, 3 * quality.WIDTH + 1), draw.normal(0, 1, (2, 2)), 1.7, -0.4)
+    texts = [(1, "one line"), (2, "First line.\nsecond | line\n\nTHE END!"), (3, ""), (4, None),
+             (5, "a\n\nb b b\n12 34\n  \nend."), (6, "ä\nß\nplain")]
+    got = {r.doc_id: r.score for r in quality.score(frame(texts), model).collect()}
+    for key, text in texts:
+        lines = (text or "").split("\n")
+        own = [quality.line_features([line])[0][0] for line in lines]
+        none = np.zeros(quality.WIDTH)
+        scores = [float(np.concatenate([
+            own[i], own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none, [1.0],
+        ]) @ model.weights) for i in range(len(lines))]
+        weight = [len(line.encode()) + 1 for line in lines]
+        share = sum(w * g for w, g in zip(
+            weight, brute_marginals(scores, model.change.tolist()), strict=True)) / sum(weight)
+        odds = 1.7 * math.log(share / (1 - share)) - 0.4
+        assert got[key] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
+def test_quality_fit_takes_a_bounded_sample(spark, frame):
+    """More runs than asked for are drawn by hash; the answer stays one for all texts."""
+    good = "A fine sentence about rivers.\nAnother one follows it.\n" * 30
+    bad = "||| !!! 00 ###\n| | | |\n" * 60
+    docs = frame([(i, good if i % 2 else bad) for i in range(60)] + [(1, good)] * 20)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for runs in (16_000, 40):
+        model = quality.fit(docs, labels, sample_docs=30, sample_runs=runs)
+        rows = quality.score(docs, model).collect()
+        assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in rows)
+
+
+def test_languages_from_scratch(frame):
+    """Every segmentation of every word, added up in plain numbers."""
+    pieces = sorted({language.START, "a", "b", "ab", "▁a", "ba", "aba", "▁ab"})
+    draw = np.random.default_rng(13)
+    model = language.LanguageModel(["x", "y", "z"], pieces, draw.random((3, len(pieces) + 1)) / 9)
+
+    def total(text, chance):
+        if not text:
+            return 1.0
+        found = sum(chance[i] * total(text[len(p):], chance)
+                    for i, p in enumerate(pieces) if text.startswith(p))
+        return found if text[0] in pieces else found + chance[-1] * total(text[1:], chance)
+
+    texts = [(1, "ab"), (2, "Aba, bab!"), (3, "ax ab-ba"), (4, "bbbbbb a b ab"), (5, "12"), (6, None),
+             (7, "aBABAbab zz")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(frame(texts), model).collect()}
+    for key, text in texts:
+        words = language.words_of(text)
+        if not words:
+            assert got[key] == ("und", 0.0)
+            continue
+        odds = [math.prod(total(language.START + w, c.tolist()) for w in words) for c in model.chance]
+        best = max(range(3), key=odds.__getitem__)
+        assert got[key][0] == model.languages[best]
+        assert got[key][1] == pytest.approx(odds[best] / sum(odds))
