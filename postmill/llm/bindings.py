@@ -95,10 +95,11 @@ rolled AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_lines,
          md5(coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') || md5(line)) AS r
   FROM line),
+valued AS (SELECT *, CAST('0x' || substr(r, 1, 8) AS BIGINT) AS v FROM rolled),
 cut AS (
-  SELECT *, CASE WHEN i = n_lines OR CAST('0x' || substr(r, 1, 8) AS BIGINT) % 3 = 0
+  SELECT *, CASE WHEN i = n_lines OR (i > 1 AND i < n_lines - 1 AND v < lag(v) OVER w AND v < lead(v) OVER w)
                  THEN 1 ELSE 0 END AS stop
-  FROM rolled),
+  FROM valued WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
   SELECT *, sum(stop) OVER (PARTITION BY doc_id ORDER BY i) - stop AS c FROM cut),
 chunk AS (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +13,31 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import remove_dir, shared_dir
 
 #: Rows of text handled at once inside a task, and their bytes unless one row alone has more.
 SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
 
 
+#: The scratch folders to be removed by the ``collected`` block that is open.
+_COLLECTED: ContextVar[list[Scratch] | None] = ContextVar("collected", default=None)
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage.
 
     ``cut`` writes a frame and reads it back, so a lost executor costs no more than the
-    tasks it was running. ``drop`` removes tables that nothing reads any longer.
+    tasks it was running. ``drop`` removes tables that nothing reads any longer. What an
+    operator returns is lazy and reads its tables when it is written: a caller that writes it
+    inside a ``collected`` block leaves none of them behind.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.tables = spark, shared_dir(spark, name), 0
+        held = _COLLECTED.get()
+        if held is not None:
+            held.append(self)
 
     def cut(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.tables += 1
@@ -35,11 +46,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            remove_dir(self.spark, path)
+
+    def close(self) -> None:
+        """Remove all of its tables."""
+        self.drop(self.root)
+
+
+@contextmanager
+def collected() -> Iterator[None]:
+    """Scratch tables that are made inside go at the end: write what reads them before that."""
+    held: list[Scratch] = []
+    before = _COLLECTED.set(held)
+    try:
+        yield
+    finally:
+        _COLLECTED.reset(before)
+        for scratch in held:
+            scratch.close()
 
 
 def text_slices(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from .common import Scratch
 
-#: One line in so many ends a chunk, on average.
+#: Lines of a chunk, on average.
 MEAN_LINES = 3
 
 
@@ -19,21 +19,31 @@ def lines_of(text: Column) -> Column:
 def chunk_ends(lines: Column, mean_lines: int) -> Column:
     """Number of lines up to the end of every chunk.
 
-    A line ends a chunk when the rolling hash over its own and the previous line's hash is a
-    multiple of ``mean_lines``; so does the last line. Lines put in before a passage move its
-    chunks but do not change them.
+    A line ends a chunk when the rolling hash over its own and the previous line's hash is
+    lower than those of the ``mean_lines // 2`` lines before it and after it; so does the last
+    line. Two ends are thus at least two lines apart, and the first line and the last but one
+    are none, so only a text of one line has a chunk of one. Lines put in before a passage
+    move its chunks but do not change them.
     """
-    def ends(hashes: Column) -> Column:
+    reach = max(1, mean_lines // 2)
+
+    def rolling(hashes: Column) -> Column:
+        return F.transform(hashes, lambda own, at: F.conv(F.substring(F.md5(F.concat(
+            F.coalesce(F.get(hashes, at - 1), F.lit("")), own)), 1, 8), 16, 10).cast("long"))
+
+    def ends(rolled: Column) -> Column:
         def stops(line: Column) -> Column:
-            rolled = F.md5(F.concat(
-                F.coalesce(F.try_element_at(hashes, F.nullif(line - 1, F.lit(0))), F.lit("")),
-                F.element_at(hashes, line)))
-            number = F.conv(F.substring(rolled, 1, 8), 16, 10).cast("long")
-            return (number % mean_lines == 0) | (line == F.size(hashes))
+            own = F.element_at(rolled, line)
+            first = F.greatest(line - reach, F.lit(1))
+            inside = (line > 1) & (line < F.size(rolled) - 1)
+            # In a condition, as places before the first line cannot be looked up.
+            return (line == F.size(rolled)) | F.when(
+                inside, (own < F.array_min(F.slice(rolled, first, line - first)))
+                & (own < F.array_min(F.slice(rolled, line + 1, F.lit(reach))))).otherwise(F.lit(False))
 
-        return F.filter(F.sequence(F.lit(1), F.size(hashes)), stops)
+        return F.filter(F.sequence(F.lit(1), F.size(rolled)), stops)
 
-    return let(F.transform(lines, F.md5), ends)
+    return let(let(F.transform(lines, F.md5), rolling), ends)
 
 
 def chunks_of(lines: Column, mean_lines: int) -> Column:

@@ -164,18 +164,23 @@ def test_components_of_chains_and_stars(spark):
 
 # --- lines -------------------------------------------------------------------------
 
+def line_chunks(text, mean=3):
+    lines = (text or "").split("\n")
+    hashes = [hashlib.md5(x.encode()).hexdigest() for x in lines]
+    rolled = [int(hashlib.md5((before + own).encode()).hexdigest()[:8], 16)
+              for before, own in zip(["", *hashes], hashes, strict=False)]
+    out, start, reach = [], 0, max(1, mean // 2)
+    for n in range(len(lines)):
+        around = rolled[max(0, n - reach):n] + rolled[n + 1:n + 1 + reach]
+        if n == len(lines) - 1 or 0 < n < len(lines) - 2 and rolled[n] < min(around):
+            out.append(lines[start:n + 1])
+            start = n + 1
+    return out
+
+
 def brute_lines(texts, mean=3):
     def chunks(text):
-        lines = (text or "").split("\n")
-        hashes = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-        out, now = [], []
-        for n, line in enumerate(lines):
-            now.append(line)
-            rolled = hashlib.md5(((hashes[n - 1] if n else "") + hashes[n]).encode()).hexdigest()
-            if n == len(lines) - 1 or int(rolled[:8], 16) % mean == 0:
-                out.append(now)
-                now = []
-        return out
+        return line_chunks(text, mean)
 
     seen, out = set(), []
     for i, text in sorted(texts, key=lambda p: p[0]):
@@ -203,6 +208,36 @@ def test_line_chunks_whole_table_and_planted(frame, documents):
     assert {r.row for r in got} == {"clash"}
 
 
+@pytest.mark.parametrize("mean", [2, 5, 9])
+def test_line_chunks_of_other_lengths(frame, mean):
+    draw = np.random.default_rng(mean)
+    shared = [f"line {n}" for n in draw.integers(0, 400, 300)]
+    texts = [(i, "\n".join([f"own {i}"] * int(draw.integers(0, 3)) + shared[int(a):int(a) + int(n)] + ["end"] * (i % 2)))
+             for i, (a, n) in enumerate(zip(draw.integers(0, 250, 40), draw.integers(0, 60, 40), strict=True))]
+    got = remove_repeated_chunks(frame(texts), mean_lines=mean).collect()
+    assert sorted((r.doc_id, r.kept_text, r.n_lines, r.n_removed) for r in got) == brute_lines(texts, mean)
+    assert all(len(c) > 1 for _, t in texts if "\n" in t for c in line_chunks(t, mean))
+
+
+def test_whole_copies_and_most_repeated_lines_go(spark):
+    """Exact copies go whole; of lines in repeated runs of two or more at least three quarters."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    texts = sorted((r.doc_id, (r.text or "").split("\n")) for r in docs.collect())
+    gone = {r.doc_id: r.n_removed for r in remove_repeated_chunks(docs).collect()}
+    seen, first, repeated = set(), {}, 0
+    for i, lines in texts:
+        for pair in zip(lines, lines[1:], strict=False):
+            first.setdefault(pair, i)
+    for i, lines in texts:
+        if len(lines) > 1:
+            if tuple(lines) in seen:
+                assert gone[i] == len(lines)
+            seen.add(tuple(lines))
+        held = [first[p] < i for p in zip(lines, lines[1:], strict=False)]
+        repeated += sum(a or b for a, b in zip([False, *held], [*held, False], strict=True))
+    assert repeated > 500 and sum(gone.values()) >= 0.75 * repeated
+
+
 def test_line_chunks_odd_texts(frame):
     again = "\n".join(f"line {n}" for n in range(12))
     texts = [*ODD_TEXTS, (30, again), (31, again), (31, again), (None, again), (32, again + "x")]

@@ -114,3 +114,51 @@ def test_run_equals_the_stages(spark, documents, stages):
 def test_empty_table_passes_through(spark, documents, tmp_path):
     documents.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, documents):
+    """Null ids, repeated rows, very long texts and columns that clash with a stage's own."""
+    passage = " ".join(f"word{n}" for n in range(80))
+    lines = "\n".join(f"a line number {n}" for n in range(40))
+    rows = [(1, passage), (1, passage), (2, f"before {passage}"), (None, passage), (None, None), (3, ""),
+            (4, "x" * 60_000), (5, "alpha beta gamma delta\n" * 4000), (6, lines), (7, lines), (None, lines),
+            (8, "Ünïcode Σας <|endoftext|>"), (9, "12 34")]
+    clash = "kept_text n_removed n_lines n_words lang_pred score row component_id ids".split()
+    plain = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], documents.schema)
+    docs = plain.withColumns({c: F.lit("clash") for c in clash})
+
+    def after(name):
+        out = dict(p.STAGES)[name](spark, docs, SF)
+        assert name == "best_fit_packing" or out.columns == COLUMNS
+        return out.collect()
+
+    kept = Counter((r.doc_id, r.text) for r in after("language_id"))
+    assert kept == Counter((i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t))
+    got = after("line_dedup")
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, 8, 9, None}  # the later copy goes whole
+    assert sum(r.doc_id is None for r in got) == 3 and sum(r.doc_id == 1 for r in got) == 2
+    got = after("simhash_dedup")
+    assert sum(r.text == passage for r in got) == 1 and sum(r.text == lines for r in got) == 1
+    assert {r.doc_id for r in got} >= {1, 4, 5, 6, 8, 9}
+    got = after("substring_dedup")
+    assert [r.text for r in got if r.doc_id == 2] == ["before"]
+    assert sum(r.text == passage for r in got) == 3
+    got = after("best_fit_packing")
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    assert sum(r.length for r in got if r.doc_id == 1) % 2 == 0
+
+
+def test_run_leaves_its_output_alone(spark):
+    """Scratch tables of all stages are gone once the last result is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def listed(path):
+        return {s.getPath().toString() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+    before = listed(folder)
+    got = p.run(spark, SF)
+    left = listed(folder) - before
+    assert len(left) == 1 and "/pipeline-" in next(iter(left))
+    tables = listed(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(next(iter(left))))
+    assert len(tables) == 1 and got.count() > 0
