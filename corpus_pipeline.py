@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import language
 from postmill.llm.bindings import tokenizer
-from postmill.llm.common import Scratch, held_out
+from postmill.llm.common import Scratch, collected, held_out
 from postmill.llm.line_chunks import remove_repeated_chunks
 from postmill.llm.packing import pack_documents
 from postmill.llm.simhash import near_duplicates
@@ -90,12 +90,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written and read again."""
+    """All stages over ``documents``, each one's result written and read again.
+
+    What the stages put down goes with them; only the last result stays, for the caller.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     before: list[str] = []
-    for name, stage in STAGES[:-1]:
-        docs, path = scratch.cut(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        with collected():
+            docs, path = scratch.cut(stage(spark, docs, sf_dir))
         scratch.drop(*before)
         before = [path]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
