@@ -33,13 +33,12 @@ def chunk_ends(lines: Column, mean_lines: int) -> Column:
 
     def ends(rolled: Column) -> Column:
         def stops(line: Column) -> Column:
-            own = F.element_at(rolled, line)
-            first = F.greatest(line - reach, F.lit(1))
-            inside = (line > 1) & (line < F.size(rolled) - 1)
-            # In a condition, as places before the first line cannot be looked up.
-            return (line == F.size(rolled)) | F.when(
-                inside, (own < F.array_min(F.slice(rolled, first, line - first)))
-                & (own < F.array_min(F.slice(rolled, line + 1, F.lit(reach))))).otherwise(F.lit(False))
+            own = F.get(rolled, line - 1)
+            lower = (line > 1) & (line < F.size(rolled) - 1)
+            for away in range(1, reach + 1):
+                for other in (line - 1 - away, line - 1 + away):
+                    lower = lower & (own < F.coalesce(F.get(rolled, other), F.lit(1 << 32)))
+            return (line == F.size(rolled)) | lower
 
         return F.filter(F.sequence(F.lit(1), F.size(rolled)), stops)
 
