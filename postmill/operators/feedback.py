@@ -25,7 +25,7 @@ from .filters import SALTS
 #: Categories that become a constant instead of a join.
 MOST_CONSTANTS = 1000
 #: Texts that tell which tokens are rare, and words of a vocabulary that is broadcast.
-SAMPLE_TEXTS = 1000
+SAMPLE_TEXTS = 200
 FEW_WORDS = 50_000
 #: Longs of a Bloom filter of anchors: two million bits, whatever the vocabulary.
 BLOOM_SLOTS = 1 << 15
