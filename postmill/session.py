@@ -18,9 +18,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # State with timers and several values per key needs it; large state leaves the heap.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Call-site capture costs several gateway calls per Column operation.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

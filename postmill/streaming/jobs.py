@@ -21,6 +21,8 @@ from ..operators.upsert import KEY, snapshot, upsert_counts, upsert_postings
 from ..schemas import CONTENT, INDEX, ddl
 from ..sources.versions import BucketTable
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Times a writer of the index joins again because another one was quicker.
 ATTEMPTS = 20
 
@@ -233,7 +235,8 @@ def stream_delivery(
     them and whose files go once they were read. Delivery is at least once: an id may come
     again before its outcome is read, and is then replaced by the same row.
 
-    Needs the RocksDB state store. ``report`` gets the batch id and the ids of every batch.
+    The query is started with the RocksDB state store, which state with timers needs; the
+    session keeps its own setting. ``report`` gets the batch id and the ids of every batch.
     """
     spark = changes.sparkSession
     settled = f"{out}/settled"
@@ -256,14 +259,23 @@ def stream_delivery(
             report(batch_id, batch)
         batch.unpersist()
 
-    return (
+    writer = (
         changes.select("vacancy_id", F.lit(False).alias("settled")).unionByName(outcomes)
         .groupBy("vacancy_id")
         .transformWithState(
             Redelivery(int(1000 * pause_seconds)), "vacancy_id bigint", "Update", "ProcessingTime")
         .writeStream.foreachBatch(write).outputMode("update")
-        .option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+        .option("checkpointLocation", checkpoint).trigger(processingTime=every)
     )
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        return writer.start()  # a query takes a copy of the session's settings along
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def stop_when(query: StreamingQuery, done: Callable[[], bool], seconds: float) -> None:
