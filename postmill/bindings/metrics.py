@@ -256,6 +256,13 @@ def _delivered(spark, d):
         last = query.lastProgress
         return last is not None and last.batchId > FILES and not last.sources[0].numInputRows
 
+    def batches():
+        """The number of the last batch, until all changes were read."""
+        last = query.lastProgress
+        if last is not None and not state["late"]:
+            state["batch"] = last.batchId
+        return state.get("batch")
+
     def finished():
         if not state["late"]:
             state["late"] = read()
@@ -263,7 +270,7 @@ def _delivered(spark, d):
         held = jobs.waiting_ids(index).join(vectors, "vacancy_id", "left_semi")
         return held.isEmpty()
 
-    jobs.stop_when(query, finished, 600)
+    jobs.stop_when(query, finished, 600, batches)
     return jobs.latest_index(spark, out)
 
 

@@ -25,6 +25,8 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Times a writer of the index joins again because another one was quicker.
 ATTEMPTS = 20
+#: Keys of state that the ids waiting for redelivery share.
+WAITING_GROUPS = 1024
 
 
 def scan_change_stream(
@@ -184,9 +186,11 @@ def stream_index(
 
 
 class Redelivery(StatefulProcessor):
-    """Hands an id on when it changes, and again every ``pause_ms`` until it is settled.
+    """Hands a waiting id on ``pause_ms`` after it was found to wait, once.
 
-    The state of an id is the time of its next delivery, which a timer watches over.
+    Its state is the time of its next delivery, which a timer watches over. If that delivery
+    finds it waiting again, it comes in again. Ids share ``WAITING_GROUPS`` keys of state by
+    their hash: a call to the state store serves all ids of a key, not one.
     """
 
     def __init__(self, pause_ms: int):
@@ -194,29 +198,29 @@ class Redelivery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "at bigint")
+        self.due = handle.getValueState("due", "ids array<bigint>, at array<bigint>")
 
-    def _wait(self, timers: TimerValues) -> None:
-        at = timers.getCurrentProcessingTimeInMs() + self.pause_ms
-        self.handle.registerTimer(at)
-        self.due.update((at,))
-
-    def _stop(self) -> None:
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-            self.due.clear()
+    def _held(self) -> dict[int, int]:
+        held = self.due.get()
+        return dict(zip(held[0], held[1], strict=True)) if held is not None else {}
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[Row]:
-        # A change beside the outcome of the delivery before it is delivered like any other.
-        changed = any([not row.settled for row in rows])
-        self._stop()
-        if changed:
-            self._wait(timerValues)
-            yield Row(vacancy_id=key[0])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.pause_ms
+        held = self._held() | {row.vacancy_id: at for row in rows}
+        self.handle.registerTimer(at)
+        self.due.update(([*held], [*held.values()]))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._wait(timerValues)
-        yield Row(vacancy_id=key[0])
+        now, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        rest = {i: at for i, at in held.items() if at > now}
+        if rest:
+            self.due.update(([*rest], [*rest.values()]))
+        else:
+            self.due.clear()
+        for i, at in held.items():
+            if at <= now:
+                yield Row(vacancy_id=i)
 
     def close(self) -> None:
         pass
@@ -229,21 +233,26 @@ def stream_delivery(
 ) -> StreamingQuery:
     """Index changed ids as they land and deliver waiting ones again by timer. Runs until stopped.
 
-    Each id has a state of its own (``Redelivery``): it comes back every ``pause_seconds``,
-    with or without new changes, until it is ``indexed``, ``not_found`` or ``failed``. Outcomes
-    are a second input of the same state, read from ``out/settled``, where every batch puts
-    them and whose files go once they were read. Delivery is at least once: an id may come
-    again before its outcome is read, and is then replaced by the same row.
+    A changed id is delivered at once and needs no state. Only an id that is left ``retrying``
+    has a time of its next delivery there (``Redelivery``): it comes back every ``pause_seconds``, with or without new
+    changes, until it is ``indexed``, ``not_found`` or ``failed``. Waiting ids are a second
+    input of the query, read from ``out/waiting``, where every batch puts them and whose files
+    go once they were read. Delivery is at least once: an id that changed while it waited may
+    come once more after it was settled, and is then replaced by the same row.
 
     The query is started with the RocksDB state store, which state with timers needs; the
     session keeps its own setting. ``report`` gets the batch id and the ids of every batch.
     """
     spark = changes.sparkSession
-    settled = f"{out}/settled"
-    shape = "vacancy_id bigint, settled boolean"
-    spark.createDataFrame([], shape).write.mode("append").parquet(settled)
-    outcomes = (
-        spark.readStream.schema(shape).option("cleanSource", "delete").parquet(settled))
+    waiting = f"{out}/waiting"
+    shape = "vacancy_id bigint"
+    spark.createDataFrame([], shape).write.mode("append").parquet(waiting)
+    again = (
+        spark.readStream.schema(shape).option("cleanSource", "delete").parquet(waiting)
+        .withColumn("_group", F.pmod(F.xxhash64("vacancy_id"), F.lit(WAITING_GROUPS)))
+        .groupBy("_group")
+        .transformWithState(
+            Redelivery(int(1000 * pause_seconds)), "vacancy_id bigint", "Update", "ProcessingTime"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -251,19 +260,15 @@ def stream_delivery(
             table = index_table(spark, out)
             store_index(table, batch, posting(), vectors())
             version = table.newest()
-            done = table.read(version, table.touched(version, batch)).filter("status <> 'retrying'").join(
-                batch.withColumnRenamed("vacancy_id", "_id"),
-                F.col("vacancy_id").eqNullSafe(F.col("_id")), "left_semi")
-            done.select("vacancy_id", F.lit(True).alias("settled")).write.mode("append").parquet(settled)
+            held = table.read(version, table.touched(version, batch)).filter("status = 'retrying'").join(
+                batch, "vacancy_id", "left_semi")
+            held.select("vacancy_id").write.mode("append").parquet(waiting)
         if report is not None:
             report(batch_id, batch)
         batch.unpersist()
 
     writer = (
-        changes.select("vacancy_id", F.lit(False).alias("settled")).unionByName(outcomes)
-        .groupBy("vacancy_id")
-        .transformWithState(
-            Redelivery(int(1000 * pause_seconds)), "vacancy_id bigint", "Update", "ProcessingTime")
+        changes.select("vacancy_id").unionByName(again)
         .writeStream.foreachBatch(write).outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(processingTime=every)
     )
@@ -278,13 +283,22 @@ def stream_delivery(
             spark.conf.set(STATE_STORE, before)
 
 
-def stop_when(query: StreamingQuery, done: Callable[[], bool], seconds: float) -> None:
-    """Let a running query work until ``done``, then stop it; an error if time runs out first."""
-    end = time.monotonic() + seconds
+def stop_when(
+    query: StreamingQuery, done: Callable[[], bool], seconds: float,
+    moved: Callable[[], object] | None = None,
+) -> None:
+    """Let a running query work until ``done``, then stop it; an error if time runs out first.
+
+    The time starts anew whenever ``moved`` gives another value than before.
+    """
+    seen, end = None, time.monotonic() + seconds
     try:
         while not done():
             if query.exception() is not None:
                 raise query.exception()
+            now = moved() if moved is not None else None
+            if now != seen:
+                seen, end = now, time.monotonic() + seconds
             if time.monotonic() > end:
                 raise TimeoutError(f"not done after {seconds} s")
             time.sleep(0.2)

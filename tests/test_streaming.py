@@ -147,6 +147,47 @@ def test_a_vector_lands_after_the_last_change(spark):
     assert table.read().filter("vacancy_id = 3").first().embedding == [3.0, 1.0]
 
 
+def test_only_waiting_ids_have_state(spark):
+    """Ids that are settled at once leave nothing in the state store; waiting ones come again."""
+    landing, out, checkpoint = (shared_dir(spark, n) for n in ("changes", "index", "cp"))
+    stored = posting(spark, *[posting_row(i) for i in range(1, 4)])
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vacancy_id bigint, embedding array<float>")
+    spark.createDataFrame([(i, NOW) for i in range(1, 200)], ddl(CHANGE)).coalesce(1).write.parquet(landing)
+    again = []
+    query = jobs.stream_delivery(
+        jobs.scan_change_stream(spark, landing, ddl(CHANGE)), lambda: stored, lambda: vectors, out, checkpoint,
+        pause_seconds=0.2, every="0 seconds",
+        report=lambda _, ids: again.append({r.vacancy_id for r in ids.collect()}))
+    jobs.stop_when(query, lambda: sum(ids == {2, 3} for ids in again) >= 2, 120)
+    assert again[0] == set(range(1, 200))
+    assert all(ids <= {2, 3} for ids in again[1:])
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(updated) <= 6
+
+
+def test_the_time_limit_starts_anew_with_progress(spark):
+    class Query:
+        stopped = False
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+    query, calls = Query(), []
+
+    def done():
+        calls.append(1)
+        return len(calls) > 8
+
+    jobs.stop_when(query, done, 0.5, moved=lambda: len(calls))
+    assert query.stopped
+    calls.clear()
+    with pytest.raises(TimeoutError):
+        jobs.stop_when(Query(), done, 0.5, moved=lambda: 1)
+
+
 def test_index_replaces_touched_buckets_only(spark):
     table = jobs.index_table(spark, shared_dir(spark, "index"), buckets=8)
     stored = posting(spark, *[posting_row(i) for i in range(1, 41)])
