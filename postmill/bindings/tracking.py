@@ -221,7 +221,9 @@ def run_rows(spark, d):
     starts = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("source"),
         F.col("o_orderdate").alias("started_at"))
-    finishes = table(spark, d, "lineitem").groupBy(
+    starts, lines = tr.by_run(starts, table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag"), "l_orderkey")
+    finishes = lines.groupBy(
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq")
     ).agg(
         F.max("l_shipdate").alias("finished_at"),

@@ -10,6 +10,9 @@ from ..functions.text import truncate
 from .filters import check_run_limit, run_state, validate_enum
 from .ordered import CHUNK_ROWS, number_rows, with_previous
 
+#: Runs per task of a run log: with each error at its limit, a few hundred MB.
+RUNS_PER_TASK = 50_000
+
 
 def status_order(status: Column) -> Column:
     """Position of a status in the enum (1-based)."""
@@ -123,11 +126,22 @@ def pipeline_counts(application: DataFrame, posting: DataFrame) -> DataFrame:
     )
 
 
+def by_run(starts: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Start rows and rows of their finishes, dealt alike to tasks of about ``RUNS_PER_TASK`` runs.
+
+    Spark sizes its partitions by compressed bytes, and error texts that are alike unpack to a
+    hundred times theirs. The number of tasks follows the runs instead; deal rows before they
+    get their texts, then ``run_log`` moves no text at all.
+    """
+    parts = max(1, -(-starts.count() // RUNS_PER_TASK))
+    return starts.repartition(parts, "run_id"), rows.repartition(parts, key)
+
+
 def run_log(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     """Run view from append-only start and finish rows; the last finish row counts.
 
     ``finishes`` carries ``seq``, the order its rows were appended in. A run without
-    a finish row is still open.
+    a finish row is still open. Long logs come dealt by run (``by_run``).
     """
     short = finishes.withColumn("error", truncate(F.col("error"), ERROR_TEXT_LIMIT))
     last = short.groupBy("run_id").agg(F.max_by(F.struct(

@@ -117,6 +117,26 @@ def test_run_log(spark):
             fl.filter_runs(named, limit=limit)
 
 
+def test_run_log_by_run(spark, monkeypatch):
+    """Tasks follow the number of runs, whatever their texts come to when compressed."""
+    monkeypatch.setattr(tr, "RUNS_PER_TASK", 10)
+    starts = spark.createDataFrame([(i, "a", NOW) for i in range(95)], "run_id bigint, source string, started_at timestamp")
+    rows = spark.range(400).select((F.col("id") % 100).alias("run_id"), F.floor(F.col("id") / 100).alias("seq"))
+    dealt, lines = tr.by_run(starts, rows, "run_id")
+
+    def texts(lines):
+        return lines.select(
+            "run_id", "seq", F.lit(NOW).alias("finished_at"), *[F.lit(1).alias(f"{n}_count") for n in ("fetched", "new", "updated")],
+            F.when(F.col("run_id") % 2 == 0, F.rpad(F.lit("e"), 2500, "x")).alias("error"))
+
+    runs = tr.run_log(dealt, texts(lines).hint("merge"))
+    assert runs.rdd.getNumPartitions() == 10
+    assert sorted(runs.collect()) == sorted(tr.run_log(starts, texts(rows)).collect())
+    assert runs._jdf.queryExecution().toString().count("rpad") >= 1
+    assert all("rpad" not in line and "error" not in line for line in
+               runs._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+
+
 def test_filters(spark):
     stored = posting(spark, posting_row(1, title="PHP", tags=["web"]), posting_row(2, source="dou", description="Symfony"))
     def ids(df):
