@@ -222,6 +222,7 @@ def knn_topk_many(
     blocked, number = blocks(held, "vacancy_id", "held")
     asked, _ = blocks(good, "profile_id", "asked")
     pairs = asked.withColumn(
-        "held_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(blocked, "held_block")
+        "held_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(
+            blocked.hint("merge"), "held_block")  # sizes of arrays are guessed far too low to broadcast by
     return _top_by_query(pairs.select("asked", "held").mapInArrow(
         solve, "profile_id bigint, vacancy_id bigint, raw double"), k)

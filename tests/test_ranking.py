@@ -120,6 +120,14 @@ def test_knn_is_exact(spark, sources):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_blocks_of_queries_stay_off_the_driver(spark):
+    """Neither side of the block join is broadcast, however small Spark takes it to be."""
+    index = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vacancy_id bigint, embedding array<float>")
+    frame = knn_topk_many(index, index.withColumnRenamed("vacancy_id", "profile_id"), 3, 2, block_rows=8, few_queries=0)
+    assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert frame.count() == 120
+
+
 def test_odd_vectors_are_quarantined(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [])]
     index = spark.createDataFrame(rows, "vacancy_id bigint, embedding array<float>")
