@@ -67,8 +67,12 @@ def unescape_entities(text: Column) -> Column:
 
     The text is split at its ampersands once, the start of each part decoded and the parts
     joined again, so nothing is decoded twice and each reference costs the same. An ampersand
-    without a known reference stays.
+    without a known reference stays. The commonest references, which stand for no letter, digit,
+    ``;``, ``#`` or ``&`` and so can make no other, are replaced before.
     """
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+        text = F.replace(text, F.lit(name), F.lit(char))
+
     def decoded(reference: Column) -> Column:
         number = F.when(
             reference.rlike(r"\A#[xX]"),
@@ -81,7 +85,8 @@ def unescape_entities(text: Column) -> Column:
             .otherwise(F.coalesce(_named(reference), F.concat(F.lit("&"), reference))))
 
     def part(piece: Column, at: Column) -> Column:
-        return F.when(at == 0, piece).otherwise(let(
+        return F.when(at == 0, piece).when(
+            piece.startswith("amp;"), F.concat(F.lit("&"), F.substr(piece, F.lit(5)))).otherwise(let(
             F.regexp_extract(piece, _REFERENCE, 0),
             lambda head: F.concat(decoded(head), F.substr(piece, F.length(head) + 1))))
 
